@@ -1,119 +1,110 @@
-"""Probing dynamic JSON objects held as VARIANT.
+"""Reading dynamic JSON lines into a struct of the fields a source uses.
 
-Three degrees of leniency for integers are needed:
+A shape names containers and leaves. Containers become structs (NULL where the JSON has
+something else); leaves stay VARIANT, because what a value may be differs by field:
 
 * ``number``: any JSON number, truncated; strings are refused;
 * ``lenient``: the same, and strings holding a plain integer;
 * ``strict``: JSON integers only.
 
-``try_variant_get`` alone would also turn booleans into integers and any scalar into a
-string, so the kind of the value is tested first.
+A cast alone would turn booleans into integers and any scalar into text, so the kind of a
+leaf is tested first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterbook.functions.clock import epoch_to_millis, rfc3339_to_millis
 from meterbook.functions.text import none_if_empty, trimmed
 
-_INTEGER_TEXT = r"^[+-]?\d+$"
+Shape = dict
 
 
-def parse_object(line: Column) -> Column:
-    """The JSON object of a whole line, or NULL if the line is anything else.
+def leaves(*names: str) -> Shape:
+    return dict.fromkeys(names, "variant")
+
+
+def ddl(shape: Shape | str) -> str:
+    if isinstance(shape, str):
+        return shape
+    return "struct<" + ",".join(f"`{k}`:{ddl(v)}" for k, v in shape.items()) + ">"
+
+
+def read(lines: DataFrame, shape: Shape) -> DataFrame:
+    """Add ``doc``: the JSON object of a whole line in the given shape, else NULL.
 
     The parser stops after the first value and ignores what follows. Parsed as the only
     element of an array, trailing text is an error or a second element, unless it closes
     the bracket itself; lines where that is possible are parsed inside an object as well.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    line, array = F.col("value"), F.col("_array")
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
-    value = F.try_variant_get(in_array, "$[0]", "variant")
     whole = (
         line.rlike(r"^\s*\{")
         & line.rlike(r"\}\s*$")
-        & F.try_variant_get(in_array, "$[1]", "variant").isNull()
+        & F.try_variant_get(array, "$[1]", "variant").isNull()
         & F.when(line.rlike(r"\}\s*\]"), in_object.isNotNull()).otherwise(True)
     )
-    return F.when(whole, value)
-
-
-def at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "variant")
-
-
-def kind(value: Column) -> Column:
-    """Schema text of a VARIANT; ``VOID`` is JSON null, NULL is an absent value."""
-    return F.schema_of_variant(value)
-
-
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
-
-
-def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
+    return (
+        lines.withColumn("_array", F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+        .withColumn("doc", F.when(whole, F.try_variant_get(array, "$[0]", ddl(shape))))
+        .drop("_array")
+    )
 
 
-def object_at(doc: Column, path: str) -> Column:
-    value = at(doc, path)
-    return F.when(is_object(value), value)
+def may_contain(line: Column, *words: str) -> Column:
+    """Cheap test before parsing: names are in the text unless it uses unicode escapes."""
+    found = line.contains("\\u")
+    for word in words:
+        found = found | line.contains(word)
+    return found
 
 
-def as_text(value: Column) -> Column:
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def kind(leaf: Column) -> Column:
+    """Schema text of a leaf; ``VOID`` is JSON null, NULL is an absent value."""
+    return F.schema_of_variant(leaf)
 
 
-def text_at(doc: Column, path: str) -> Column:
-    """A string value; absent, empty and non-string values are NULL."""
-    return none_if_empty(as_text(at(doc, path)))
+def text(leaf: Column) -> Column:
+    """A string that is not empty; anything else is NULL."""
+    return none_if_empty(F.when(kind(leaf) == "STRING", leaf.try_cast("string")))
 
 
-def filled_text_at(doc: Column, *paths: str) -> Column:
+def filled_text(*alternatives: Column) -> Column:
     """First string that is not blank, as it stands."""
-    values = [as_text(at(doc, p)) for p in paths]
+    values = [text(leaf) for leaf in alternatives]
     return F.coalesce(*[F.when(trimmed(v) != "", v) for v in values])
 
 
-def flag_at(doc: Column, path: str) -> Column:
-    value = at(doc, path)
-    is_flag = kind(value) == "BOOLEAN"
-    return F.coalesce(F.when(is_flag, F.try_variant_get(value, "$", "boolean")), F.lit(False))
-
+def flag(leaf: Column) -> Column:
+    return F.coalesce(F.when(kind(leaf) == "BOOLEAN", leaf.try_cast("boolean")), F.lit(False))
 
-def is_number(value: Column) -> Column:
-    k = kind(value)
-    return (k == "BIGINT") | (k == "DOUBLE") | k.startswith("DECIMAL")
 
+def long(*alternatives: Column, mode: str = "lenient") -> Column:
+    """First leaf usable as an integer, else NULL."""
 
-def as_long(value: Column, mode: str) -> Column:
-    number = F.try_variant_get(value, "$", "bigint")
-    if mode == "strict":
-        return F.when(kind(value) == "BIGINT", number)
-    if mode == "number":
-        return F.when(is_number(value), number)
-    text = trimmed(F.try_variant_get(value, "$", "string"))
-    from_text = F.when(text.rlike(_INTEGER_TEXT), text.try_cast("bigint"))
-    return F.when(is_number(value), number).when(kind(value) == "STRING", from_text)
+    def one(leaf: Column) -> Column:
+        number = F.try_variant_get(leaf, "$", "bigint")
+        if mode == "strict":
+            return F.when(kind(leaf) == "BIGINT", number)
+        if mode == "number":
+            return F.when(~kind(leaf).isin("BOOLEAN", "STRING"), number)
+        return F.when(kind(leaf) != "BOOLEAN", number)
 
+    return F.coalesce(*[one(leaf) for leaf in alternatives])
 
-def long_at(doc: Column, *paths: str, mode: str = "lenient") -> Column:
-    """First value usable as an integer over alias paths, else NULL."""
-    return F.coalesce(*[as_long(at(doc, p), mode) for p in paths])
 
+def count(leaf: Column) -> Column:
+    return F.coalesce(long(leaf, mode="number"), F.lit(0).cast("bigint"))
 
-def count_at(doc: Column, path: str, mode: str = "number") -> Column:
-    return F.coalesce(long_at(doc, path, mode=mode), F.lit(0).cast("bigint"))
 
+def instant(*alternatives: Column) -> Column:
+    """First time in milliseconds, given as RFC 3339 text or as a number, else NULL."""
 
-def instant_at(doc: Column, path: str) -> Column:
-    """Milliseconds of a timestamp given as RFC 3339 text or as a number, else NULL."""
-    from meterbook.functions.clock import epoch_to_millis, rfc3339_to_millis
+    def one(leaf: Column) -> Column:
+        found = F.coalesce(rfc3339_to_millis(text(leaf)), epoch_to_millis(long(leaf, mode="number")))
+        return F.when(found > 0, found)
 
-    value = at(doc, path)
-    number = F.when(is_number(value), F.try_variant_get(value, "$", "bigint"))
-    found = F.when(kind(value) == "STRING", rfc3339_to_millis(as_text(value))).otherwise(
-        epoch_to_millis(number)
-    )
-    return F.when(found > 0, found)
+    return F.coalesce(*[one(leaf) for leaf in alternatives])

@@ -9,7 +9,8 @@ from meterbook import schema as S
 from meterbook.functions import jsonprobe as J
 from meterbook.functions.naming import speed_model
 from meterbook.functions.text import none_if_empty, path_parts, tail_from_marker
-from meterbook.sources.parsed import as_parsed
+from meterbook.session import Staging
+from meterbook.sources.parsed import as_parsed, settled
 
 # A line with one of these fields set to null is not usage.
 NULL_FIELDS = (
@@ -74,59 +75,67 @@ def project_from_path(path: Column) -> Column:
     )
 
 
-def extract(lines: DataFrame) -> DataFrame:
+_USAGE = J.leaves(*COUNTERS.values(), "speed")
+_MESSAGE = {**J.leaves("id", "model"), "usage": _USAGE}
+_META = J.leaves("timestamp", "requestId", "isSidechain")
+SHAPE = {
+    **_META,
+    **J.leaves("sessionId", "uuid", "model", "cwd"),
+    "usage": _USAGE,
+    "message": _MESSAGE,
+    "data": {"message": {**_META, "message": _MESSAGE}},
+}
+
+
+def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
     doc = F.col("doc")
-    parsed = lines.where(
-        (F.col("value").contains("usage") | F.col("value").contains("\\u"))
-        & ~has_null_field(F.col("value"))
-    ).withColumn("doc", J.parse_object(F.col("value")))
+    value = F.col("value")
+    docs = J.read(lines.where(J.may_contain(value, "usage") & ~has_null_field(value)), SHAPE)
 
-    message = J.object_at(doc, "$.message")
-    usage = F.coalesce(J.object_at(doc, "$.usage"), J.object_at(doc, "$.message.usage"))
-    wrapped = J.object_at(doc, "$.data.message.message.usage")
-    is_plain = message.isNotNull() & usage.isNotNull()
+    # Usage stands beside a message, in it, or in a message wrapped by a progress entry.
+    plain_usage = F.when(
+        doc["message"].isNotNull(), F.coalesce(doc["usage"], doc["message"]["usage"])
+    )
+    wrapper = doc["data"]["message"]
+    located = docs.select(
+        "file_path",
+        "line_number",
+        "value",
+        "doc",
+        plain_usage.isNotNull().alias("plain"),
+        F.coalesce(plain_usage, wrapper["message"]["usage"]).alias("usage"),
+    )
 
     def choose(plain: Column, inner: Column) -> Column:
         return F.when(F.col("plain"), plain).otherwise(inner)
 
-    located = parsed.select(
-        "*",
-        is_plain.alias("plain"),
-        F.when(is_plain, usage).otherwise(wrapped).alias("usage"),
-    ).where(F.col("usage").isNotNull())
-
     use = F.col("usage")
-    counts = [J.count_at(use, f"$.{key}").alias(name) for name, key in COUNTERS.items()]
+    message = choose(doc["message"], wrapper["message"])
+    meta = {name: choose(doc[name], wrapper[name]) for name in _META}
     fields = located.select(
         "file_path",
         "line_number",
-        "value",
-        *counts,
-        J.text_at(use, "$.speed").alias("speed"),
+        F.sha2("value", 256).alias("raw_sha256"),
+        use.isNotNull().alias("has_usage"),
+        *[J.count(use[key]).alias(name) for name, key in COUNTERS.items()],
+        J.text(use["speed"]).alias("speed"),
         choose(
-            J.filled_text_at(doc, "$.model", "$.message.model"),
-            J.text_at(doc, "$.data.message.message.model"),
+            J.filled_text(doc["model"], doc["message"]["model"]), J.text(message["model"])
         ).alias("model"),
-        choose(J.instant_at(doc, "$.timestamp"), J.instant_at(doc, "$.data.message.timestamp")).alias(
-            "timestamp_ms"
-        ),
-        F.when(F.col("plain"), J.text_at(doc, "$.sessionId")).alias("native_session"),
-        choose(
-            J.text_at(doc, "$.requestId"), J.text_at(doc, "$.data.message.requestId")
-        ).alias("request_id"),
-        choose(
-            F.coalesce(J.text_at(doc, "$.message.id"), J.text_at(doc, "$.uuid")),
-            J.text_at(doc, "$.data.message.message.id"),
+        J.instant(meta["timestamp"]).alias("timestamp_ms"),
+        F.when(F.col("plain"), J.text(doc["sessionId"])).alias("native_session"),
+        J.text(meta["requestId"]).alias("request_id"),
+        F.coalesce(
+            J.text(message["id"]), F.when(F.col("plain"), J.text(doc["uuid"]))
         ).alias("message_id"),
-        choose(J.flag_at(doc, "$.isSidechain"), J.flag_at(doc, "$.data.message.isSidechain")).alias(
-            "is_sidechain"
-        ),
-        J.filled_text_at(doc, "$.cwd").alias("cwd"),
+        J.flag(meta["isSidechain"]).alias("is_sidechain"),
+        J.filled_text(doc["cwd"]).alias("cwd"),
     )
 
     used = sum((F.col(name) for name in COUNTERS), F.lit(0))
-    kept = fields.where(
-        ~F.coalesce((F.col("model") == "<synthetic>") & (used == 0), F.lit(False))
+    kept = settled(fields, staging, "claude").where(
+        F.col("has_usage")
+        & ~F.coalesce((F.col("model") == "<synthetic>") & (used == 0), F.lit(False))
     )
     path, message_id, request_id = F.col("file_path"), F.col("message_id"), F.col("request_id")
     has_message = F.trim(F.coalesce(message_id, F.lit(""))) != ""

@@ -15,6 +15,8 @@ from meterbook.functions.text import (
     trimmed,
 )
 from meterbook.operators.counters import SNAPSHOT_DDL, snapshot
+from meterbook.session import Staging
+from meterbook.sources.parsed import settled
 
 # Counter names in all spellings.
 COUNTERS = (
@@ -25,40 +27,36 @@ COUNTERS = (
     ("total_tokens",),
 )
 
-_CONTAINERS = ("payload", "payload.info", "data", "result", "response")
-# A model name may stand at the top or in one of the containers, plainly or as metadata.
-MODEL_PATHS = tuple(
-    f"{prefix}{name}"
-    for prefix in ("", *(f"{c}." for c in _CONTAINERS))
-    for name in ("model", "model_name", "metadata.model")
-)
-TURN_MODEL_PATHS = ("payload.model", "payload.info.model", "payload.metadata.model", "turn_context.model")
-SESSION_PATHS = ("session_id", "sessionId", "payload.session_id")
-EVENT_PATHS = ("event_id", "eventId", "payload.event_id", "payload.eventId", "id", "payload.id")
-REQUEST_PATHS = ("request_id", "payload.request_id")
-MESSAGE_PATHS = ("id", "message_id")
-SEGMENT_PATHS = ("segment_id", "payload.segment_id")
-TIME_PATHS = tuple(
-    f"{prefix}{name}"
-    for prefix in ("", "data.", "result.", "response.")
-    for name in ("timestamp", "created_at", "createdAt")
-)
-HEADLESS_PATHS = ("usage", "data.usage", "result.usage", "response.usage")
-PARENT_PATHS = (
-    "payload.forked_from_id",
-    "payload.source.subagent.thread_spawn.parent_thread_id",
-)
+_USAGE = J.leaves(*[n for names in COUNTERS for n in names])
+_MODEL = {**J.leaves("model", "model_name"), "metadata": J.leaves("model")}
+_TIMES = ("timestamp", "created_at", "createdAt")
+_BODY = {**_MODEL, **J.leaves(*_TIMES), "usage": _USAGE}
+SHAPE = {
+    **_BODY,
+    **J.leaves("type", "session_id", "sessionId", "event_id", "eventId", "id"),
+    **J.leaves("message_id", "request_id", "segment_id"),
+    "turn_context": J.leaves("model"),
+    "data": _BODY,
+    "result": _BODY,
+    "response": _BODY,
+    "payload": {
+        **_MODEL,
+        **J.leaves("type", "id", "event_id", "eventId", "session_id", "request_id"),
+        **J.leaves("segment_id", "turn_id", "forked_from_id"),
+        "thread_settings": J.leaves("model"),
+        "source": {"subagent": {"thread_spawn": J.leaves("parent_thread_id")}},
+        "info": {**_MODEL, "total_token_usage": _USAGE, "last_token_usage": _USAGE},
+    },
+}
+# Where usage, model and time may stand, in order of preference.
+BODIES = ("data", "result", "response")
 
 # A line without any of these words has no usage, model, turn or fork information.
-WORDS = ("usage", "thread_settings", "turn_context", "task_complete", "session_meta", "\\u")
-
-
-def _p(names: tuple[str, ...]) -> list[str]:
-    return [f"$.{n}" for n in names]
+WORDS = ("usage", "thread_settings", "turn_context", "task_complete", "session_meta")
 
 
 def _snapshot(usage: Column) -> Column:
-    values = snapshot(*[J.long_at(usage, *_p(names)) for names in COUNTERS])
+    values = snapshot(*[J.long(*[usage[n] for n in names]) for names in COUNTERS])
     return F.when(usage.isNotNull(), values).cast(SNAPSHOT_DDL)
 
 
@@ -80,71 +78,109 @@ def path_rank(path: Column) -> Column:
     return F.when(nearest == "sessions", 0).when(nearest == "archived_sessions", 1).otherwise(2)
 
 
-def extract(lines: DataFrame) -> DataFrame:
+def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
     """Typed rows: ``row_kind`` is usage, declaration, task_complete or meta."""
     doc = F.col("doc")
-    relevant = F.lit(False)
-    for word in WORDS:
-        relevant = relevant | F.col("value").contains(word)
-    docs = lines.where(relevant | (F.col("line_number") == 1)).withColumn(
-        "doc", J.parse_object(F.col("value"))
+    payload, info = doc["payload"], doc["payload"]["info"]
+    docs = J.read(
+        lines.where(J.may_contain(F.col("value"), *WORDS) | (F.col("line_number") == 1)), SHAPE
     )
-    typed = docs.where(doc.isNotNull()).select(
+
+    def type_is(name: str) -> Column:
+        return F.coalesce(F.col("type") == name, F.lit(False))
+
+    def event_is(name: str) -> Column:
+        return type_is("event_msg") & F.coalesce(F.col("payload_type") == name, F.lit(False))
+
+    typed = docs.select(
         "file_path",
         "line_number",
         "value",
         "doc",
-        J.text_at(doc, "$.type").alias("type"),
-        J.text_at(doc, "$.payload.type").alias("payload_type"),
+        J.text(doc["type"]).alias("type"),
+        J.text(payload["type"]).alias("payload_type"),
     )
-    is_event = F.coalesce(F.col("type") == "event_msg", F.lit(False))
-    payload_is = lambda name: is_event & F.coalesce(F.col("payload_type") == name, F.lit(False))
-
-    settings_model = F.when(
-        payload_is("thread_settings_applied"),
-        none_if_empty(trimmed(J.text_at(doc, "$.payload.thread_settings.model"))),
+    counts = event_is("token_count")
+    headless = F.coalesce(doc["usage"], *[doc[b]["usage"] for b in BODIES])
+    turn_model = J.filled_text(
+        payload["model"], info["model"], payload["metadata"]["model"], doc["turn_context"]["model"]
     )
-    is_turn = F.coalesce(F.col("type") == "turn_context", F.lit(False))
-    turn_model = F.when(is_turn, trimmed(J.filled_text_at(doc, *_p(TURN_MODEL_PATHS))))
-    info_counts = payload_is("token_count")
-    cumulative = F.when(info_counts, J.object_at(doc, "$.payload.info.total_token_usage"))
-    last = F.when(info_counts, J.object_at(doc, "$.payload.info.last_token_usage"))
-    headless = F.when(
-        ~is_event, F.coalesce(*[J.object_at(doc, p) for p in _p(HEADLESS_PATHS)])
+    is_meta = (F.col("line_number") == 1) & type_is("session_meta")
+    located = typed.select(
+        "*",
+        F.when(
+            event_is("thread_settings_applied"),
+            none_if_empty(trimmed(J.text(payload["thread_settings"]["model"]))),
+        ).alias("settings_model"),
+        type_is("turn_context").alias("is_turn"),
+        F.when(type_is("turn_context"), trimmed(turn_model)).alias("turn_model"),
+        F.when(counts, info["total_token_usage"]).alias("total_usage"),
+        F.when(counts, info["last_token_usage"]).alias("last_usage"),
+        F.when(~type_is("event_msg"), headless).alias("headless_usage"),
+        is_meta.alias("is_meta"),
+    )
+    has_usage = (
+        F.col("total_usage").isNotNull()
+        | F.col("last_usage").isNotNull()
+        | F.col("headless_usage").isNotNull()
     )
-    has_usage = cumulative.isNotNull() | last.isNotNull() | headless.isNotNull()
     row_kind = (
-        F.when(settings_model.isNotNull(), "declaration")
-        .when(is_turn, F.when(turn_model.isNotNull(), "declaration"))
-        .when(payload_is("task_complete"), "task_complete")
+        F.when(F.col("settings_model").isNotNull(), "declaration")
+        .when(F.col("is_turn"), F.when(F.col("turn_model").isNotNull(), "declaration"))
+        .when(event_is("task_complete"), "task_complete")
         .when(has_usage, "usage")
     )
-    is_meta = (F.col("line_number") == 1) & F.coalesce(F.col("type") == "session_meta", F.lit(False))
-    explicit = J.filled_text_at(doc, *_p(SESSION_PATHS))
-    stem = file_stem(F.col("file_path"))
-    rows = typed.select(
+    kept = located.withColumn(
+        "row_kind", F.coalesce(row_kind, F.when(F.col("is_meta"), F.lit("meta")))
+    )
+
+    models = [m for body in (doc, payload, info, *[doc[b] for b in BODIES])
+              for m in (body["model"], body["model_name"], body["metadata"]["model"])]
+    times = [body[t] for body in (doc, *[doc[b] for b in BODIES]) for t in _TIMES]
+    rows = kept.select(
         "file_path",
         "line_number",
         F.sha2("value", 256).alias("raw_sha256"),
-        F.coalesce(row_kind, F.when(is_meta, F.lit("meta"))).alias("row_kind"),
-        explicit.alias("explicit_session"),
-        F.coalesce(explicit, F.when(F.trim(stem) != "", stem), F.lit("unknown")).alias("session"),
-        F.coalesce(*[J.instant_at(doc, p) for p in _p(TIME_PATHS)], F.lit(0)).alias("ts"),
-        F.coalesce(settings_model, turn_model).alias("declared_model"),
-        F.when(settings_model.isNotNull(), F.lit("thread_settings"))
+        "row_kind",
+        J.filled_text(doc["session_id"], doc["sessionId"], payload["session_id"]).alias(
+            "explicit_session"
+        ),
+        F.coalesce(J.instant(*times), F.lit(0).cast("bigint")).alias("ts"),
+        F.coalesce("settings_model", "turn_model").alias("declared_model"),
+        F.when(F.col("settings_model").isNotNull(), F.lit("thread_settings"))
         .otherwise(F.lit("turn_context"))
         .alias("declared_by"),
-        F.when(payload_is("task_complete"), J.text_at(doc, "$.payload.turn_id")).alias("turn_id"),
-        _snapshot(cumulative).alias("cumulative"),
-        _snapshot(last).alias("last"),
-        _snapshot(headless).alias("headless"),
-        trimmed(J.filled_text_at(doc, *_p(MODEL_PATHS))).alias("direct_model"),
-        trimmed(J.filled_text_at(doc, *_p(EVENT_PATHS))).alias("event_id"),
-        J.filled_text_at(doc, *_p(REQUEST_PATHS)).alias("request_id"),
-        J.filled_text_at(doc, *_p(MESSAGE_PATHS)).alias("message_id"),
-        J.filled_text_at(doc, *_p(SEGMENT_PATHS)).alias("segment_id"),
-        F.when(is_meta, J.text_at(doc, "$.payload.id")).alias("meta_session"),
-        F.when(is_meta, J.filled_text_at(doc, *_p(PARENT_PATHS))).alias("meta_parent"),
-        is_meta.alias("is_meta"),
+        F.when(event_is("task_complete"), J.text(payload["turn_id"])).alias("turn_id"),
+        _snapshot(F.col("total_usage")).alias("cumulative"),
+        _snapshot(F.col("last_usage")).alias("last"),
+        _snapshot(F.col("headless_usage")).alias("headless"),
+        trimmed(J.filled_text(*models)).alias("direct_model"),
+        trimmed(
+            J.filled_text(
+                doc["event_id"],
+                doc["eventId"],
+                payload["event_id"],
+                payload["eventId"],
+                doc["id"],
+                payload["id"],
+            )
+        ).alias("event_id"),
+        J.filled_text(doc["request_id"], payload["request_id"]).alias("request_id"),
+        J.filled_text(doc["id"], doc["message_id"]).alias("message_id"),
+        J.filled_text(doc["segment_id"], payload["segment_id"]).alias("segment_id"),
+        F.when(F.col("is_meta"), J.text(payload["id"])).alias("meta_session"),
+        F.when(
+            F.col("is_meta"),
+            J.filled_text(
+                payload["forked_from_id"],
+                payload["source"]["subagent"]["thread_spawn"]["parent_thread_id"],
+            ),
+        ).alias("meta_parent"),
+        "is_meta",
+    )
+    stem = file_stem(F.col("file_path"))
+    rows = settled(rows, staging, "codex").where(F.col("row_kind").isNotNull())
+    return rows.withColumn(
+        "session",
+        F.coalesce("explicit_session", F.when(F.trim(stem) != "", stem), F.lit("unknown")),
     )
-    return rows.where(F.col("row_kind").isNotNull())

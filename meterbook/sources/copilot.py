@@ -20,7 +20,8 @@ from meterbook.functions.text import (
 )
 from meterbook.operators.carry import Carry, carry
 from meterbook.operators.dedupe import best_candidates
-from meterbook.sources.parsed import as_parsed
+from meterbook.session import Staging
+from meterbook.sources.parsed import as_parsed, settled
 
 ATTRIBUTE_MAP = "map<string,variant>"
 
@@ -73,55 +74,67 @@ CANDIDATE_COLUMNS = ("key", "score", "priority")
 _TIMES = ("timestamp", "time", "startTime", "endTime")
 _NANO_TIMES = ("timeUnixNano", "startTimeUnixNano", "endTimeUnixNano")
 
-
-def _unwrapped(value: Column) -> Column:
-    """Plain value of a typed wrapper; a wrapper present with null stays null."""
-    inner = F.lit(None).cast("variant")
-    for name in reversed(VALUE_WRAPPERS):
-        wrapped = J.at(value, f"$.{name}")
-        inner = F.when(wrapped.isNotNull(), wrapped).otherwise(inner)
-    has_wrapper = F.coalesce(*[J.kind(J.at(value, f"$.{n}")) for n in VALUE_WRAPPERS]).isNotNull()
-    return F.when(J.is_object(value) & has_wrapper, inner).otherwise(value)
+_ATTRIBUTES = {
+    "attributes": "variant",
+    "resource": {"attributes": "variant"},
+    "scope": {"attributes": "variant"},
+}
+_EVENT = {**_ATTRIBUTES, "name": "variant"}
+_SPAN_IDS = J.leaves("traceId", "spanId")
+_CONTEXT = J.leaves("gitRoot", "cwd")
+_SUMMARY = J.leaves(*[n for names in SUMMARY_COUNTERS.values() for n in names])
+
+SPAN_SHAPE = {
+    **_ATTRIBUTES,
+    **_SPAN_IDS,
+    **J.leaves("name", "eventName", "model", *_TIMES, *_NANO_TIMES),
+    "spanContext": _SPAN_IDS,
+    "events": f"array<{J.ddl(_EVENT)}>",
+}
+SESSION_SHAPE = {
+    **J.leaves("type", "id", "timestamp"),
+    "data": {
+        **_CONTEXT,
+        **J.leaves("sessionId", "sessionStartTime"),
+        "context": _CONTEXT,
+        "modelMetrics": f"map<string,{J.ddl({'usage': _SUMMARY})}>",
+    },
+}
 
 
 def attribute_map(value: Column) -> Column:
     """Attributes given as an object, or as a list of ``{key, value}``, as one map."""
     empty = F.create_map().cast(ATTRIBUTE_MAP)
-    as_object = F.transform_values(
-        F.try_variant_get(value, "$", ATTRIBUTE_MAP), lambda _, v: _unwrapped(v)
-    )
-    items = F.filter(
-        F.try_variant_get(value, "$", "array<variant>"),
-        lambda e: J.is_object(e) & J.text_at(e, "$.key").isNotNull(),
+    entries = F.filter(
+        F.try_variant_get(value, "$", "array<struct<key:variant,value:variant>>"),
+        lambda e: J.text(e["key"]).isNotNull(),
     )
     as_list = F.map_from_entries(
         F.transform(
-            items, lambda e: F.struct(J.text_at(e, "$.key"), _unwrapped(J.at(e, "$.value")))
+            entries, lambda e: F.struct(e["key"].try_cast("string").alias("k"), e["value"].alias("v"))
         )
     )
-    return F.coalesce(
-        F.when(J.is_object(value), as_object).when(J.is_array(value), as_list), empty
-    )
+    return F.coalesce(F.try_variant_get(value, "$", ATTRIBUTE_MAP), as_list, empty)
 
 
 def _all_attributes(doc: Column) -> Column:
+    """Attributes of entry, resource and scope; later ones win."""
     return F.map_concat(
-        attribute_map(J.at(doc, "$.attributes")),
-        attribute_map(J.at(doc, "$.resource.attributes")),
-        attribute_map(J.at(doc, "$.scope.attributes")),
+        attribute_map(doc["attributes"]),
+        attribute_map(doc["resource"]["attributes"]),
+        attribute_map(doc["scope"]["attributes"]),
     )
 
 
-def _attr(attrs: Column, name: str) -> Column:
-    return F.try_element_at(attrs, F.lit(name))
-
-
-def _attr_text(attrs: Column, name: str) -> Column:
-    return none_if_empty(J.as_text(_attr(attrs, name)))
+def _attribute(name: str) -> Column:
+    """Value of an attribute without its type wrapper, from the map ``attrs``."""
+    value = F.try_element_at(F.col("attrs"), F.lit(name))
+    wrapper = F.try_variant_get(value, "$", J.ddl(J.leaves(*VALUE_WRAPPERS)))
+    return F.coalesce(*[wrapper[w] for w in VALUE_WRAPPERS], value)
 
 
-def _attr_long(attrs: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*[J.as_long(_attr(attrs, n), "lenient") for n in names])
+def _attribute_text(name: str) -> Column:
+    return J.text(_attribute(name))
 
 
 def _score() -> Column:
@@ -154,96 +167,111 @@ def _stored_counts() -> dict[str, Column]:
     }
 
 
-def session_context(docs: DataFrame) -> DataFrame:
-    """Session id and project from earlier context lines of the same file.
-
-    ``docs`` has ``file_path, line_number, doc``; adds ``ctx_session``, ``ctx_project`` and
-    ``ctx_seen`` (whether any earlier line carried data) as of the line before.
-    """
-    doc = F.col("doc")
-    kind = J.text_at(doc, "$.type")
-    data = J.object_at(doc, "$.data")
-    starts = kind.isin("session.start", "session.resume")
-    context = F.when(starts, J.object_at(doc, "$.data.context")).when(
-        kind == "session.context_changed", data
-    )
-    rows = docs.withColumns(
-        {
-            "_session": F.when(starts, J.text_at(doc, "$.data.sessionId")),
-            "_project": J.filled_text_at(context, "$.gitRoot", "$.cwd"),
-            "_data": F.when(data.isNotNull(), F.lit(True)),
-        }
-    )
-    return carry(
-        rows,
-        [
-            Carry("ctx_session", F.col("_session"), ("file_path",)),
-            Carry("ctx_project", F.col("_project"), ("file_path",)),
-            Carry("ctx_seen", F.col("_data"), ("file_path",)),
-        ],
-    ).drop("_session", "_project", "_data")
-
-
 def _session_path_id(path: Column) -> Column:
     parts = path_parts(path)
     return F.when(base_name(path) == "events.jsonl", F.get(parts, F.size(parts) - 2))
 
 
 def _metrics(doc: Column) -> Column:
-    """Summaries with usage: ``array<struct<model, counters, total>>``."""
-    entries = F.map_entries(F.try_variant_get(doc, "$.data.modelMetrics", ATTRIBUTE_MAP))
-    is_shutdown = F.coalesce(J.text_at(doc, "$.type") == "session.shutdown", F.lit(False))
+    """Summaries of a shutdown line that have usage."""
 
     def counters(e: Column) -> Column:
-        usage = J.object_at(e["value"], "$.usage")
-        fields = {
-            name: J.long_at(usage, *[f"$.{n}" for n in names])
-            for name, names in SUMMARY_COUNTERS.items()
-        }
+        usage = e["value"]["usage"]
         return F.struct(
-            e["key"].alias("model"), *[value.alias(name) for name, value in fields.items()]
+            e["key"].alias("model"),
+            *[
+                J.long(*[usage[n] for n in names]).alias(name)
+                for name, names in SUMMARY_COUNTERS.items()
+            ],
         )
 
     def has_usage(m: Column) -> Column:
         plain, cached = split_cached_input(m["raw_input"], m["cache_read"])
-        zero = F.lit(0).cast("bigint")
-        rest = [F.coalesce(m[n], zero) for n in ("output", "cache_write", "reasoning")]
-        return (plain + cached + rest[0] + rest[1] + rest[2]) != 0
+        total = plain + cached
+        for name in ("output", "cache_write", "reasoning"):
+            total = total + F.coalesce(m[name], F.lit(0).cast("bigint"))
+        return total != 0
 
-    return F.when(is_shutdown, F.filter(F.transform(entries, counters), has_usage))
+    found = F.transform(F.map_entries(doc["data"]["modelMetrics"]), counters)
+    return F.when(J.text(doc["type"]) == "session.shutdown", F.filter(found, has_usage))
 
 
-def extract(lines: DataFrame) -> DataFrame:
-    """Both shapes of lines to records, best candidate per request and file."""
-    docs = lines.withColumn("doc", J.parse_object(F.col("value"))).where(F.col("doc").isNotNull())
-    candidates = summary_candidates(docs).unionByName(span_candidates(docs))
-    return best_candidates(candidates)
-
-
-def summary_candidates(docs: DataFrame) -> DataFrame:
-    """One candidate per model of a shutdown line."""
+def session_lines(lines: DataFrame) -> DataFrame:
+    """Context and shutdown lines: every line with a ``data`` object, reduced to its facts."""
     doc = F.col("doc")
-    relevant = docs.where(
-        F.col("value").contains("session.") | F.col("value").contains("data") | F.col("value").contains("\\u")
-    )
-    located = session_context(relevant.select("file_path", "line_number", "value", "doc"))
-    shutdowns = located.where(F.size(_metrics(doc)) > 0)
-    rows = shutdowns.select(
+    data = doc["data"]
+    kind = F.col("type")
+    docs = J.read(lines.where(J.may_contain(F.col("value"), '"data"')), SESSION_SHAPE)
+    typed = docs.withColumn("type", J.text(doc["type"]))
+    starts = kind.isin("session.start", "session.resume")
+    return typed.select(
         "file_path",
         "line_number",
-        "value",
-        "ctx_project",
-        J.text_at(doc, "$.data.sessionId").alias("data_session"),
-        F.coalesce(
-            "ctx_session", F.when(F.col("ctx_seen"), _session_path_id(F.col("file_path")))
-        ).alias("ctx_session"),
-        _session_path_id(F.col("file_path")).alias("path_id"),
-        none_if_empty(trimmed(J.text_at(doc, "$.id"))).alias("shutdown_id"),
+        F.sha2("value", 256).alias("raw_sha256"),
+        data.isNotNull().alias("has_data"),
+        F.when(starts, J.text(data["sessionId"])).alias("started_session"),
+        F.when(starts, J.filled_text(data["context"]["gitRoot"], data["context"]["cwd"]))
+        .when(kind == "session.context_changed", J.filled_text(data["gitRoot"], data["cwd"]))
+        .alias("project"),
+        J.text(data["sessionId"]).alias("data_session"),
+        none_if_empty(trimmed(J.text(doc["id"]))).alias("shutdown_id"),
         F.coalesce(
-            J.instant_at(doc, "$.timestamp"), J.instant_at(doc, "$.data.sessionStartTime"), F.lit(0)
+            J.instant(doc["timestamp"], data["sessionStartTime"]), F.lit(0).cast("bigint")
         ).alias("ts"),
-        F.posexplode(_metrics(doc)).alias("pos", "m"),
-    ).select("*", "m.*")
+        _metrics(doc).alias("metrics"),
+    )
+
+
+def session_context(rows: DataFrame) -> DataFrame:
+    """Session id and project from earlier context lines of the same file.
+
+    Adds ``ctx_session``, ``ctx_project`` and ``ctx_seen`` (whether any earlier line carried
+    data) as of the line before.
+    """
+    return carry(
+        rows,
+        [
+            Carry("ctx_session", F.col("started_session"), ("file_path",)),
+            Carry("ctx_project", F.col("project"), ("file_path",)),
+            Carry("ctx_seen", F.when(F.col("has_data"), F.lit(True)), ("file_path",)),
+        ],
+    )
+
+
+def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """Both shapes of lines to records, best candidate per request and file."""
+    sessions = settled(session_lines(lines), staging, "sessions").where(F.col("has_data"))
+    summaries = summary_candidates(sessions)
+    shutdowns = sessions.where(F.size("metrics") > 0).select("file_path", "line_number")
+    spans = settled(span_fields(lines), staging, "spans")
+    spans = span_candidates(spans).join(
+        shutdowns.withColumnRenamed("file_path", "source_file"),
+        ["source_file", "line_number"],
+        "left_anti",
+    )
+    return best_candidates(summaries.unionByName(spans))
+
+
+def summary_candidates(sessions: DataFrame) -> DataFrame:
+    """One candidate per model of a shutdown line."""
+    path_id = _session_path_id(F.col("file_path"))
+    rows = (
+        session_context(sessions)
+        .where(F.size("metrics") > 0)
+        .select(
+            "file_path",
+            "line_number",
+            "raw_sha256",
+            "ctx_project",
+            "data_session",
+            F.coalesce("ctx_session", F.when(F.col("ctx_seen"), path_id)).alias("ctx_session"),
+            path_id.alias("path_id"),
+            "shutdown_id",
+            "ts",
+            F.posexplode("metrics").alias("pos", "m"),
+        )
+        .select("*", "m.*")
+    )
     rows = _with_split(rows).withColumn("total", _sum_parts())
     native = first_filled(F.col("data_session"), F.col("ctx_session"))
     label = F.coalesce("shutdown_id", F.concat(F.lit("line:"), F.col("line_number").cast("string")))
@@ -290,86 +318,76 @@ def summary_candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def span_candidates(docs: DataFrame) -> DataFrame:
-    """A candidate for the entry itself and one for each of its events with usage.
+def span_fields(lines: DataFrame) -> DataFrame:
+    """One row for each entry, and one for each of its events, with what they report.
 
     Events inherit the attributes of the entry; their own attributes win.
     """
     doc = F.col("doc")
-    no_event = F.struct(
-        F.lit(0).alias("part"), F.lit("root").alias("label"), F.lit(None).cast("variant").alias("event")
+    event = F.col("event")
+    docs = J.read(lines.where(J.may_contain(F.col("value"), "gen_ai.usage.")), SPAN_SHAPE)
+    no_event = F.lit(None).cast(J.ddl(_EVENT))
+    # The entry itself is element 0; non-object events are NULL elements.
+    all_parts = F.concat(F.array(no_event), F.coalesce(doc["events"], F.array().cast(f"array<{J.ddl(_EVENT)}>")))
+    parts = (
+        docs.withColumn("base", _all_attributes(doc))
+        .select("*", F.posexplode(all_parts).alias("part", "event"))
+        .where((F.col("part") == 0) | event.isNotNull())
     )
-    events = F.transform(
-        F.try_variant_get(doc, "$.events", "array<variant>"),
-        lambda e, i: F.struct(
-            (i + 1).alias("part"),
-            F.concat(F.lit("event:"), i.cast("string")).alias("label"),
-            e.alias("event"),
-        ),
+    attrs = F.when(F.col("part") == 0, F.col("base")).otherwise(
+        F.map_concat(F.col("base"), _all_attributes(event))
     )
-    no_events = F.array().cast("array<struct<part:int,label:string,event:variant>>")
-    listed = F.when(J.is_array(J.at(doc, "$.events")), events)
-    entries = (
-        docs.where(
-            (F.col("value").contains("gen_ai.usage.") | F.col("value").contains("\\u"))
-            & (F.coalesce(F.size(_metrics(doc)), F.lit(0)) <= 0)
-        )
-        .withColumn("base", _all_attributes(doc))
-        .withColumn("e", F.explode(F.concat(F.array(no_event), F.coalesce(listed, no_events))))
+    label = F.when(F.col("part") == 0, "root").otherwise(
+        F.concat(F.lit("event:"), (F.col("part") - 1).cast("string"))
     )
-    event = F.col("e.event")
-    entries = entries.where((F.col("e.part") == 0) | J.is_object(event))
-    name = J.text_at(event, "$.name")
-    attrs = F.when(F.col("e.part") == 0, F.col("base")).otherwise(
-        F.map_concat(F.col("base"), _all_attributes(event))
+    context = doc["spanContext"]
+    text = _attribute_text
+    name = first_filled(
+        J.text(doc["name"]),
+        J.text(doc["eventName"]),
+        F.coalesce(J.text(event["name"]), text("event.name")),
+        text("name"),
     )
-    rows = entries.withColumn("attrs", attrs).withColumn("event_name", name)
-    a = F.col("attrs")
-    rows = rows.select(
+    nanos = [J.long(doc[n]) for n in _NANO_TIMES]
+    return parts.withColumn("attrs", attrs).select(
         "file_path",
         "line_number",
-        "value",
-        F.col("e.part").alias("part"),
-        F.col("e.label").alias("label"),
-        *[_attr_long(a, names).alias(n) for n, names in SPAN_COUNTERS.items()],
+        F.sha2("value", 256).alias("raw_sha256"),
+        "part",
+        label.alias("label"),
+        *[J.long(*[_attribute(a) for a in names]).alias(n) for n, names in SPAN_COUNTERS.items()],
         first_filled(
-            J.text_at(doc, "$.traceId"),
-            J.text_at(doc, "$.spanContext.traceId"),
-            _attr_text(a, "traceId"),
-            _attr_text(a, "spanContext.traceId"),
+            J.text(doc["traceId"]),
+            J.text(context["traceId"]),
+            text("traceId"),
+            text("spanContext.traceId"),
         ).alias("trace"),
         first_filled(
-            J.text_at(doc, "$.spanId"),
-            J.text_at(doc, "$.spanContext.spanId"),
-            _attr_text(a, "spanId"),
-            _attr_text(a, "spanContext.spanId"),
+            J.text(doc["spanId"]),
+            J.text(context["spanId"]),
+            text("spanId"),
+            text("spanContext.spanId"),
         ).alias("span"),
-        _attr_text(a, "gen_ai.response.id").alias("response"),
-        _attr_text(a, "github.copilot.interaction_id").alias("interaction"),
-        _attr_text(a, "gen_ai.request.id").alias("request"),
+        text("gen_ai.response.id").alias("response"),
+        text("github.copilot.interaction_id").alias("interaction"),
+        text("gen_ai.request.id").alias("request"),
         first_filled(
-            _attr_text(a, "gen_ai.response.model"),
-            _attr_text(a, "gen_ai.request.model"),
-            J.text_at(doc, "$.model"),
+            text("gen_ai.response.model"), text("gen_ai.request.model"), J.text(doc["model"])
         ).alias("model"),
-        first_filled(*[_attr_text(a, n) for n in SESSION_ATTRIBUTES]).alias("session"),
-        F.lower(
-            F.coalesce(
-                first_filled(
-                    J.text_at(doc, "$.name"),
-                    J.text_at(doc, "$.eventName"),
-                    F.coalesce(F.col("event_name"), _attr_text(a, "event.name")),
-                    _attr_text(a, "name"),
-                ),
-                F.lit(""),
-            )
-        ).alias("name"),
-        F.coalesce(J.text_at(doc, "$.spanId"), J.text_at(doc, "$.spanContext.spanId"))
-        .isNotNull()
-        .alias("has_span"),
-        _span_time(doc).alias("ts"),
-    ).where(F.coalesce(*[F.col(n) for n in SPAN_COUNTERS]).isNotNull())
+        first_filled(*[text(a) for a in SESSION_ATTRIBUTES]).alias("session"),
+        F.lower(F.coalesce(name, F.lit(""))).alias("name"),
+        F.coalesce(J.text(doc["spanId"]), J.text(context["spanId"])).isNotNull().alias("has_span"),
+        F.coalesce(
+            J.instant(*[doc[n] for n in _TIMES]),
+            *[F.when(n > 0, whole_div(n, 1_000_000)) for n in nanos],
+            F.lit(0).cast("bigint"),
+        ).alias("ts"),
+    )
+
 
+def span_candidates(fields: DataFrame) -> DataFrame:
+    """Candidates from the rows of ``span_fields`` that report any counter."""
+    rows = fields.where(F.coalesce(*[F.col(n) for n in SPAN_COUNTERS]).isNotNull())
     has_parts = F.coalesce(*[F.col(n) for n in SPAN_COUNTERS if n != "source_total"]).isNotNull()
     rows = _with_split(rows.withColumn("has_parts", has_parts))
     parts = _sum_parts()
@@ -428,12 +446,3 @@ def span_candidates(docs: DataFrame) -> DataFrame:
         ),
         accounting_profile="input_includes_cache_read",
     )
-
-
-def _span_time(doc: Column) -> Column:
-    nanos = [J.long_at(doc, f"$.{n}") for n in _NANO_TIMES]
-    return F.coalesce(
-        *[J.instant_at(doc, f"$.{n}") for n in _TIMES],
-        *[F.when(n > 0, whole_div(n, 1_000_000)) for n in nanos],
-        F.lit(0),
-    )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from meterbook import schema as S
 from meterbook.functions import jsonprobe as J
-from meterbook.functions.text import record_subkey, tail_from_marker
-from meterbook.sources.parsed import as_parsed
+from meterbook.functions.text import record_subkey, tail_from_marker, trimmed
+from meterbook.session import Staging
+from meterbook.sources.parsed import as_parsed, settled
 
 # Counter names in both spellings.
 ALIASES = {
@@ -20,87 +21,85 @@ ALIASES = {
     "total": ("totalTokenCount", "total_token_count"),
 }
 
-EVENT_PATHS = ("event_id", "eventId", "id", "response.event_id", "response.eventId", "response.id")
-MESSAGE_PATHS = ("message_id", "messageId", "response.message_id")
-REQUEST_PATHS = ("request_id", "requestId", "response.request_id")
-SESSION_PATHS = ("session_id", "sessionId", "metadata.session_id", "response.session_id")
-
-
-def _paths(names: tuple[str, ...]) -> list[str]:
-    return [f"$.{n}" for n in names]
+_USAGE = J.leaves(*[n for names in ALIASES.values() for n in names])
+_IDS = J.leaves("event_id", "eventId", "id", "message_id", "request_id", "session_id")
+_COMMON = {**_IDS, **J.leaves("model", "timestamp"), "usageMetadata": _USAGE}
+SHAPE = {
+    **_COMMON,
+    **J.leaves("messageId", "requestId", "sessionId", "segment_id", "part_id"),
+    "metadata": J.leaves("session_id"),
+    "response": _COMMON,
+}
 
 
-def extract(lines: DataFrame) -> DataFrame:
+def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
     """JSONL lines to records."""
-    docs = lines.where(
-        F.col("value").contains("usageMetadata") | F.col("value").contains("\\u")
-    ).withColumn("doc", J.parse_object(F.col("value")))
-    return _from_objects(docs)
+    docs = J.read(lines.where(J.may_contain(F.col("value"), "usageMetadata")), SHAPE)
+    return _records(settled(_fields(docs), staging, "gemini"))
 
 
-def extract_documents(documents: DataFrame) -> DataFrame:
+def extract_documents(documents: DataFrame, staging: Staging | None = None) -> DataFrame:
     """Whole files: an object is line 1, elements of an array are numbered from 1."""
+    first = F.lit(1).cast("bigint").alias("line_number")
+    single = J.read(documents.select("file_path", first, "value"), SHAPE)
     body = F.regexp_replace("value", r"^\s+|\s+$", "")
-    single = documents.select(
-        "file_path", F.lit(1).cast("bigint").alias("line_number"), "value"
-    ).withColumn("doc", J.parse_object(F.col("value")))
-    wrapped = documents.select(
-        "file_path",
-        "value",
-        J.parse_object(F.concat(F.lit('{"items":'), F.col("value"), F.lit("}"))).alias("doc"),
-    ).where(body.startswith("["))
-    items = J.at(F.col("doc"), "$.items")
+    arrays = documents.where(body.startswith("[")).select(
+        "file_path", F.concat(F.lit('{"items":'), F.col("value"), F.lit("}")).alias("value")
+    )
+    items = F.col("doc.items")
+    other = lambda e: ~(J.kind(e).startswith("OBJECT") | (J.kind(e) == "VOID"))
     elements = (
-        wrapped.where(J.is_array(items))
-        .select("file_path", F.posexplode(F.try_variant_get(items, "$", "array<variant>")))
+        J.read(arrays, {"items": "array<variant>"})
+        # An array with an element that is neither an object nor null is not a log at all.
+        .where(~F.exists(items, other))
+        .select("file_path", F.posexplode(items).alias("pos", "item"))
         .select(
             "file_path",
             (F.col("pos") + 1).cast("bigint").alias("line_number"),
-            F.to_json("col").alias("value"),
-            F.col("col").alias("doc"),
+            F.to_json("item").alias("value"),
+            F.try_variant_get("item", "$", J.ddl(SHAPE)).alias("doc"),
         )
     )
-    # An array with an element that is neither an object nor null is not a log at all.
-    broken = (
-        elements.where(~J.is_object(F.col("doc")) & (J.kind(F.col("doc")) != "VOID"))
-        .select("file_path")
-        .distinct()
-    )
-    return _from_objects(single).unionByName(
-        _from_objects(elements.join(broken, "file_path", "left_anti"))
-    )
+    fields = _fields(single).unionByName(_fields(elements))
+    return _records(settled(fields, staging, "documents"))
 
 
-def _from_objects(docs: DataFrame) -> DataFrame:
+def _fields(docs: DataFrame) -> DataFrame:
     doc = F.col("doc")
+    inner = doc["response"]
     use = F.col("usage")
     rows = docs.withColumn(
-        "usage",
-        F.coalesce(
-            J.object_at(doc, "$.usageMetadata"), J.object_at(doc, "$.response.usageMetadata")
-        ),
-    ).where(use.isNotNull())
+        "usage", F.coalesce(doc["usageMetadata"], inner["usageMetadata"])
+    )
 
-    native_event = J.filled_text_at(doc, *_paths(EVENT_PATHS))
-    native_message = J.filled_text_at(doc, *_paths(MESSAGE_PATHS))
-    native_request = J.filled_text_at(doc, *_paths(REQUEST_PATHS))
-    fields = rows.select(
+    event_names = ("event_id", "eventId", "id")
+    native_event = J.filled_text(*[d[n] for d in (doc, inner) for n in event_names])
+    native_message = J.filled_text(doc["message_id"], doc["messageId"], inner["message_id"])
+    native_request = J.filled_text(doc["request_id"], doc["requestId"], inner["request_id"])
+    return rows.select(
         "file_path",
         "line_number",
-        "value",
-        F.trim(F.coalesce(native_event, native_message, native_request)).alias("native"),
-        F.when(native_event.isNotNull(), "event")
-        .when(native_message.isNotNull(), "message")
-        .when(native_request.isNotNull(), "request")
-        .otherwise("record")
-        .alias("kind"),
-        J.filled_text_at(doc, *_paths(SESSION_PATHS)).alias("native_session"),
-        J.filled_text_at(doc, "$.segment_id", "$.part_id").alias("segment"),
-        F.coalesce(J.text_at(doc, "$.model"), J.text_at(doc, "$.response.model")).alias("model"),
-        F.coalesce(
-            J.instant_at(doc, "$.timestamp"), J.instant_at(doc, "$.response.timestamp"), F.lit(0)
-        ).alias("timestamp_ms"),
-        *[J.long_at(use, *_paths(names)).alias(name) for name, names in ALIASES.items()],
+        F.sha2("value", 256).alias("raw_sha256"),
+        use.isNotNull().alias("has_usage"),
+        native_event.alias("native_event"),
+        native_message.alias("native_message"),
+        native_request.alias("native_request"),
+        J.filled_text(
+            doc["session_id"], doc["sessionId"], doc["metadata"]["session_id"], inner["session_id"]
+        ).alias("native_session"),
+        J.filled_text(doc["segment_id"], doc["part_id"]).alias("segment"),
+        F.coalesce(J.text(doc["model"]), J.text(inner["model"])).alias("model"),
+        F.coalesce(J.instant(doc["timestamp"], inner["timestamp"]), F.lit(0)).alias("timestamp_ms"),
+        *[J.long(*[use[n] for n in names]).alias(name) for name, names in ALIASES.items()],
+    )
+def _records(fields: DataFrame) -> DataFrame:
+    ids = ("native_event", "native_message", "native_request")
+    fields = fields.where(F.col("has_usage")).withColumn("native", trimmed(F.coalesce(*ids))).withColumn(
+        "kind",
+        F.when(F.col(ids[0]).isNotNull(), "event")
+        .when(F.col(ids[1]).isNotNull(), "message")
+        .when(F.col(ids[2]).isNotNull(), "request")
+        .otherwise("record"),
     )
     zero = F.lit(0).cast("bigint")
     raw_input = F.coalesce("prompt", zero) + F.coalesce("tool_input", zero)

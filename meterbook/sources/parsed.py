@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterbook.functions.text import path_parts
 from meterbook.schema import PARSED_SCHEMA
+from meterbook.session import Staging
 
 # Order in which the log families are imported.
 SOURCE_ORDER = ("claude", "codex", "gemini", "copilot", "workbuddy")
@@ -22,6 +23,22 @@ def order_key(agent: str, path: Column, line: Column, part: Column) -> Column:
     )
 
 
+def _raw_digest(df: DataFrame) -> Column | None:
+    """Digest of the raw line, for diagnosis only."""
+    if "raw_sha256" in df.columns:
+        return F.col("raw_sha256")
+    return F.sha2(F.col("value"), 256) if "value" in df.columns else None
+
+
+def settled(df: DataFrame, staging: Staging | None, name: str) -> DataFrame:
+    """Store freshly parsed fields before they are filtered.
+
+    A filter on a parsed value would otherwise move below the projection and parse every
+    line a second time.
+    """
+    return df if staging is None else staging.put(df, name)
+
+
 def as_parsed(
     df: DataFrame, agent: str, part: Column | None = None, keep: tuple[str, ...] = (), **cols
 ) -> DataFrame:
@@ -30,7 +47,7 @@ def as_parsed(
         "agent": F.lit(agent),
         "source_file": F.col("file_path"),
         "line_number": F.col("line_number"),
-        "raw_sha256": F.sha2(F.col("value"), 256) if "value" in df.columns else None,
+        "raw_sha256": _raw_digest(df),
         "order_key": order_key(
             agent, F.col("file_path"), F.col("line_number"), F.lit(0) if part is None else part
         ),

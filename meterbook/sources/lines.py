@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,17 +54,33 @@ def _reader(spark: SparkSession, suffix: str, grace_minutes: int | None, now: da
     return reader
 
 
-def scan_lines(
+@dataclass
+class LogScan:
+    """``lines``: ``(file_path, line_number, value)`` of readable files, empty lines left out;
+    ``files``: ``(file_path, n_lines, longest, readable)``."""
+
+    lines: DataFrame
+    files: DataFrame
+
+
+def scan_lines(spark: SparkSession, roots: list[str], suffix: str = ".jsonl", **options) -> DataFrame:
+    """The lines of a scan alone."""
+    return scan_logs(spark, roots, suffix, **options).lines
+
+
+def scan_logs(
     spark: SparkSession,
     roots: list[str],
     suffix: str = ".jsonl",
     grace_minutes: int | None = None,
     now: datetime | None = None,
     staging: Staging | None = None,
-) -> DataFrame:
-    """``(file_path, line_number, value)`` for every non-empty line below the roots.
+    line_limit: int = LINE_LIMIT,
+) -> LogScan:
+    """Every line below the roots with its number.
 
-    Files changed within ``grace_minutes`` are left to the next run.
+    Files changed within ``grace_minutes`` are left to the next run. A file with a line of
+    ``line_limit`` bytes or more is not readable as a whole.
     """
     raw = (
         _reader(spark, suffix, grace_minutes, now)
@@ -75,10 +92,12 @@ def scan_lines(
             "value",
         )
     )
-    return number_lines(raw, staging)
+    return number_lines(raw, staging, line_limit)
 
 
-def number_lines(raw: DataFrame, staging: Staging | None = None) -> DataFrame:
+def number_lines(
+    raw: DataFrame, staging: Staging | None = None, line_limit: int = LINE_LIMIT
+) -> LogScan:
     """Line numbers from two reads, so that no file has to pass through one task.
 
     A split is read by one task in order, so a line's place in its split is known locally.
@@ -86,37 +105,46 @@ def number_lines(raw: DataFrame, staging: Staging | None = None) -> DataFrame:
     one small row per split.
     """
     splits = raw.groupBy("uri", "split_start").agg(
-        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n")
-    )
-    before = (
-        Window.partitionBy("uri")
-        .orderBy("split_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        F.min("seq").alias("first_seq"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.octet_length("value")).alias("split_longest"),
     )
+    whole_file = Window.partitionBy("uri")
+    before = whole_file.orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "uri",
         "split_start",
         "first_seq",
+        "n",
         F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("lines_before"),
+        F.max("split_longest").over(whole_file).alias("longest"),
     )
     if staging is not None:
         offsets = staging.put(offsets, "splits")
-        if offsets.count() <= BROADCAST_ROWS:
-            offsets = F.broadcast(offsets)
-    placed = raw.join(offsets, ["uri", "split_start"], "left").withColumn(
-        "lines_before",
-        F.when(
-            F.col("first_seq").isNull() | (F.col("seq") < F.col("first_seq")),
-            F.raise_error(F.lit("file splits changed between two reads")).cast("bigint"),
-        ).otherwise(F.col("lines_before")),
+    path = plain_path(F.col("uri")).alias("file_path")
+    files = offsets.groupBy("uri").agg(F.sum("n").alias("n_lines"), F.max("longest").alias("longest"))
+    files = files.select(
+        path, "n_lines", "longest", (F.col("longest") < line_limit).alias("readable")
     )
+    places = offsets.select("uri", "split_start", "first_seq", "lines_before", "longest")
+    if staging is not None and places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    moved = F.col("first_seq").isNull() | (F.col("seq") < F.col("first_seq"))
     line = F.col("lines_before") + F.col("seq") - F.col("first_seq") + 1
-    return placed.select(
-        plain_path(F.col("uri")).alias("file_path"),
-        line.alias("line_number"),
-        F.regexp_replace("value", "\r$", "").alias("value"),
-        F.octet_length("value").alias("n_bytes"),
-    ).where(F.col("value") != "")
+    checked = F.when(
+        moved, F.raise_error(F.lit("file splits changed between two reads")).cast("bigint")
+    ).otherwise(line)
+    lines = (
+        raw.join(places, ["uri", "split_start"], "left")
+        .where(F.coalesce(F.col("longest") < line_limit, F.lit(True)))
+        .select(
+            path,
+            checked.alias("line_number"),
+            F.regexp_replace("value", "\r$", "").alias("value"),
+        )
+        .where(F.col("value") != "")
+    )
+    return LogScan(lines, files)
 
 
 def scan_documents(
@@ -131,19 +159,16 @@ def scan_documents(
     )
 
 
-def drop_oversized(lines: DataFrame, limit: int = LINE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """``(lines of readable files, paths of files with a line of ``limit`` bytes or more)``."""
-    void = lines.where(F.col("n_bytes") >= limit).select("file_path").distinct()
-    return lines.join(void, "file_path", "left_anti"), void
-
-
-def inside_excluded_dir(path: Column, root: str) -> Column:
-    """Whether a directory between the root and the file is one of the excluded ones."""
-    below = F.substring(path, len(root.rstrip("/")) + 1, 1_000_000)
-    dirs = F.split(F.lower(below), "/")
-    return F.arrays_overlap(
-        F.slice(dirs, 1, F.size(dirs) - 1), F.array(*[F.lit(d) for d in EXCLUDED_DIRS])
-    )
+def admitted_below(path: Column, roots: list[str]) -> Column:
+    """Whether no directory between the file and one of the roots is an excluded one."""
+    names = F.array(*[F.lit(d) for d in EXCLUDED_DIRS])
+    admitted = F.lit(False)
+    for root in roots:
+        prefix = root.rstrip("/") + "/"
+        dirs = F.split(F.lower(F.substring(path, len(prefix) + 1, 1_000_000)), "/")
+        excluded = F.arrays_overlap(F.slice(dirs, 1, F.size(dirs) - 1), names)
+        admitted = admitted | (path.startswith(prefix) & ~excluded)
+    return admitted
 
 
 def copilot_session_file(path: Column) -> Column:
@@ -173,7 +198,19 @@ def discover_roots(spark: SparkSession, product: str, roots: list[str]) -> list[
             chosen = _child_dir(spark, root, "sessions") or root
         if chosen not in found:
             found.append(chosen)
-    return found
+    return outermost(found)
+
+
+def outermost(roots: list[str]) -> list[str]:
+    """Roots that exist to be read once: folders inside another root are dropped."""
+    return [r for r in roots if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in roots)]
+
+
+def existing(spark: SparkSession, roots: list[str]) -> list[str]:
+    """Roots that can be read; a missing folder is not an error."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [(r, spark._jvm.org.apache.hadoop.fs.Path(r)) for r in roots]
+    return [r for r, p in paths if p.getFileSystem(conf).exists(p)]
 
 
 def copilot_roots(spark: SparkSession, roots: list[str]) -> dict[str, list[str]]:
@@ -208,16 +245,23 @@ def prefer_request_level(otel: DataFrame, summaries: DataFrame) -> DataFrame:
     return otel if has_otel else summaries
 
 
-def file_inventory(spark: SparkSession, roots_by_source: dict[str, list[str]]) -> DataFrame:
-    """Q8: number of files per source; only the listing is read, not the content."""
-    counted = [
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(roots)
-        .select(F.lit(source).alias("source"), "path")
+def list_files(
+    spark: SparkSession, roots: list[str], suffix: str, grace_minutes: int | None = None
+) -> DataFrame:
+    """Paths of the files a scan would read; only the listing is read, not the content."""
+    files = _reader(spark, suffix, grace_minutes, None).format("binaryFile").load(roots)
+    return files.select(plain_path(F.col("path")).alias("file_path"))
+
+
+def file_inventory(
+    spark: SparkSession, roots_by_source: dict[str, list[str]], suffix: str = ".jsonl"
+) -> DataFrame:
+    """Q8: number of files per source."""
+    frames = [
+        list_files(spark, roots, suffix).select(F.lit(source).alias("source"), "file_path")
         for source, roots in roots_by_source.items()
     ]
-    merged = counted[0]
-    for other in counted[1:]:
+    merged = frames[0]
+    for other in frames[1:]:
         merged = merged.unionByName(other)
-    return merged.groupBy("source").agg(F.count("path").alias("files")).orderBy("source")
+    return merged.groupBy("source").agg(F.count("file_path").alias("files")).orderBy("source")

@@ -72,10 +72,26 @@ def text(leaf: Column) -> Column:
     return none_if_empty(F.when(kind(leaf) == "STRING", leaf.try_cast("string")))
 
 
+def _first(alternatives: tuple[Column, ...], convert) -> Column:
+    """First alternative that ``convert`` accepts.
+
+    Many alternatives go through one array expression: written out one by one, the fields
+    of a log line would fill the plan with hundreds of nearly equal expressions.
+    """
+    if len(alternatives) == 1:
+        return convert(alternatives[0])
+    found = F.filter(F.transform(F.array(*alternatives), convert), lambda v: v.isNotNull())
+    return F.get(found, F.lit(0))
+
+
 def filled_text(*alternatives: Column) -> Column:
     """First string that is not blank, as it stands."""
-    values = [text(leaf) for leaf in alternatives]
-    return F.coalesce(*[F.when(trimmed(v) != "", v) for v in values])
+
+    def one(leaf: Column) -> Column:
+        value = leaf.try_cast("string")
+        return F.when((kind(leaf) == "STRING") & value.rlike(r"(?U)\S"), value)
+
+    return _first(alternatives, one)
 
 
 def flag(leaf: Column) -> Column:
@@ -93,7 +109,7 @@ def long(*alternatives: Column, mode: str = "lenient") -> Column:
             return F.when(~kind(leaf).isin("BOOLEAN", "STRING"), number)
         return F.when(kind(leaf) != "BOOLEAN", number)
 
-    return F.coalesce(*[one(leaf) for leaf in alternatives])
+    return _first(alternatives, one)
 
 
 def count(leaf: Column) -> Column:
@@ -107,4 +123,4 @@ def instant(*alternatives: Column) -> Column:
         found = F.coalesce(rfc3339_to_millis(text(leaf)), epoch_to_millis(long(leaf, mode="number")))
         return F.when(found > 0, found)
 
-    return F.coalesce(*[one(leaf) for leaf in alternatives])
+    return _first(alternatives, one)

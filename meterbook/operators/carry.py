@@ -57,29 +57,38 @@ def carry(
     """
     specs = sorted(specs, key=lambda s: len(s.group))
     groups = list(dict.fromkeys(s.group for s in specs))
-    blocked = df.withColumn("_block", block_of(F.col(order), block_rows))
-    for i, s in enumerate(specs):
-        blocked = blocked.withColumn(f"_in{i}", s.value)
+    blocked = df.withColumns(
+        {
+            "_block": block_of(F.col(order), block_rows),
+            **{f"_in{i}": s.value for i, s in enumerate(specs)},
+        }
+    )
 
     # The widest group comes first: its distribution also serves the narrower ones.
     out = blocked
-    for i, s in enumerate(specs):
-        window = (
-            Window.partitionBy(*s.group, "_block")
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
+    for group in groups:
+        before = Window.partitionBy(*group, "_block").orderBy(order)
+        frames = {
+            inclusive: before.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+            for inclusive in (True, False)
+        }
+        out = out.withColumns(
+            {
+                f"_local{i}": _over(s.how, F.col(f"_in{i}"), frames[s.inclusive])
+                for i, s in enumerate(specs)
+                if s.group == group
+            }
         )
-        out = out.withColumn(f"_local{i}", _over(s.how, F.col(f"_in{i}"), window))
-
     for group in groups:
         mine = [(i, s) for i, s in enumerate(specs) if s.group == group]
         out = out.join(_carried(blocked, group, mine, order), [*group, "_block"], "left")
-
-    for i, s in enumerate(specs):
-        out = out.withColumn(s.name, _merge(s.how, F.col(f"_local{i}"), F.col(f"_carried{i}")))
-    internal = ["_block"]
-    internal += [f"{p}{i}" for i in range(len(specs)) for p in ("_in", "_local", "_carried")]
-    return out.drop(*internal)
+    return out.select(
+        *df.columns,
+        *[
+            _merge(s.how, F.col(f"_local{i}"), F.col(f"_carried{i}")).alias(s.name)
+            for i, s in enumerate(specs)
+        ],
+    )
 
 
 def _carried(blocked: DataFrame, group, mine, order: str) -> DataFrame:

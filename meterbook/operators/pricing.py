@@ -290,18 +290,23 @@ class Costing:
 
 def unpriced_models(df: DataFrame, profile: Profile, resolution: str | None = None) -> DataFrame:
     """Models without price, or with the zero policy, by tokens."""
-    rows = with_cost(df, profile)
-    if resolution == POLICY_ZERO:
-        rows = rows.where(F.col("resolution") == POLICY_ZERO)
-    else:
-        rows = rows.where(F.col("resolution").isin(MISSING_MODEL, MISSING_RULE))
+    wanted = (POLICY_ZERO,) if resolution == POLICY_ZERO else (MISSING_MODEL, MISSING_RULE)
+    # Rows are classified once and selected as groups: a filter on the class before the
+    # aggregation would evaluate the price rules twice per row.
     return (
-        rows.groupBy(
+        with_cost(df, profile)
+        .groupBy(
             or_empty(F.col("provider")).alias("provider"),
             "channel",
             F.col("model_normalized").alias("model"),
             F.col("resolution").alias("reason"),
         )
-        .agg(F.count(F.lit(1)).alias("events"), F.sum("coverage_tokens").alias("tokens"))
+        .agg(
+            F.count(F.lit(1)).alias("events"),
+            F.sum("coverage_tokens").alias("tokens"),
+            F.bool_or(F.col("resolution").isin(*wanted)).alias("wanted"),
+        )
+        .where("wanted")
+        .drop("wanted")
         .orderBy(F.desc("tokens"), "model", "provider", "channel", "reason")
     )

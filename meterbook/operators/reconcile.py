@@ -70,12 +70,12 @@ def _known_differs(cur: Column, inc: Column, *names: str) -> Column:
     return out
 
 
-def conflict_code(cur: Column, inc: Column) -> Column:
+def conflict_code(cur: Column, inc: Column, cur_rank: Column, inc_rank: Column) -> Column:
     """First incompatibility of two versions of one event, or NULL."""
     counts = F.lit(False)
     for name in _OPTIONAL_COUNTS:
         counts = counts | F.coalesce(cur[name] != inc[name], F.lit(False))
-    both_direct = (evidence_rank(cur) == 2) & (evidence_rank(inc) == 2)
+    both_direct = (cur_rank == 2) & (inc_rank == 2)
     other_model = F.lower(cur["model_normalized"]) != F.lower(inc["model_normalized"])
     return (
         F.when(
@@ -100,67 +100,90 @@ def conflict_code(cur: Column, inc: Column) -> Column:
     )
 
 
-def merged_event(cur: Column, inc: Column, now_ms: int) -> tuple[Column, Column, Column]:
-    """``(event with missing facts filled, content changed, metadata changed)``."""
-    cur_rank, inc_rank = evidence_rank(cur), evidence_rank(inc)
-    stronger = inc_rank > cur_rank
+def _fillable(cur: Column, inc: Column, *names: str) -> Column:
+    out = F.lit(False)
+    for name in names:
+        out = out | (cur[name].isNull() & inc[name].isNotNull())
+    return out
+
+
+def content_fills(cur: Column, inc: Column, cur_rank: Column, inc_rank: Column) -> Column:
+    """Whether the incoming row knows content the current version lacks."""
     same_model = (inc_rank == cur_rank) & (
         F.lower(cur["model_normalized"]) == F.lower(inc["model_normalized"])
     )
+    return (
+        (inc_rank > cur_rank)
+        | (same_model & _fillable(cur, inc, "model_raw", "model_resolution"))
+        | (_is_unknown(cur["provider"]) & ~_is_unknown(inc["provider"]))
+        | _fillable(cur, inc, *_CONTENT_FILLS, *_OPTIONAL_COUNTS)
+    )
 
-    def fillable(name: str) -> Column:
-        return cur[name].isNull() & inc[name].isNotNull()
 
-    content, metadata = stronger, F.lit(False)
+def merged_event(
+    cur: Column, inc: Column, stronger: Column, content: Column, now_ms: int
+) -> Column:
+    """The current version with missing facts filled in."""
     out: dict[str, Column] = {name: cur[name] for name in S.EVENT_COLUMNS}
+    # Texts of an equally good model may be filled in; a better model replaces all of them.
+    same_name = F.lower(cur["model_normalized"]) == F.lower(inc["model_normalized"])
     for name in _MODEL:
-        take = stronger
+        kept = cur[name]
         if name in ("model_raw", "model_resolution"):
-            take = stronger | (same_model & fillable(name))
-            content = content | (same_model & fillable(name))
-        out[name] = F.when(take, inc[name]).otherwise(cur[name])
-    new_provider = _is_unknown(cur["provider"]) & ~_is_unknown(inc["provider"])
-    out["provider"] = F.when(new_provider, inc["provider"]).otherwise(cur["provider"])
-    content = content | new_provider
-    for name in _CONTENT_FILLS + _OPTIONAL_COUNTS:
+            kept = F.when(same_name, F.coalesce(cur[name], inc[name])).otherwise(cur[name])
+        out[name] = F.when(stronger, inc[name]).otherwise(kept)
+    known_now = _is_unknown(cur["provider"]) & ~_is_unknown(inc["provider"])
+    out["provider"] = F.when(known_now, inc["provider"]).otherwise(cur["provider"])
+    for name in (*_CONTENT_FILLS, *_OPTIONAL_COUNTS, *_METADATA_FILLS, "line_number"):
         out[name] = F.coalesce(cur[name], inc[name])
-        content = content | fillable(name)
-    for name in (*_METADATA_FILLS, "line_number"):
-        out[name] = F.coalesce(cur[name], inc[name])
-        metadata = metadata | fillable(name)
     out["content_sha256"] = F.when(content, inc["content_sha256"]).otherwise(cur["content_sha256"])
     out["updated_at_ms"] = F.greatest(inc["updated_at_ms"], F.lit(now_ms).cast("bigint"))
-    event = F.struct(*[out[name].alias(name) for name in S.EVENT_COLUMNS])
-    return event, content, metadata
-
-
-def decide(pairs: DataFrame, now_ms: int, cur: str = "cur", inc: str = "inc") -> DataFrame:
-    """Add ``status``, ``code`` and, for updates, ``merged`` to pairs of event structs."""
-    c, i = F.col(cur), F.col(inc)
-    event, content, metadata = merged_event(c, i, now_ms)
-    conflict = conflict_code(c, i)
-    weaker = evidence_rank(i) < evidence_rank(c)
-    changed = content | metadata
-    flagged = pairs.withColumn("_conflict", conflict).withColumn("_changed", changed)
+    return F.struct(*[out[name].alias(name) for name in S.EVENT_COLUMNS])
+
+
+def decide(pairs: DataFrame, now_ms: int) -> DataFrame:
+    """``status``, ``code`` and, for updates, ``merged`` for pairs of versions.
+
+    ``pairs`` has the structs ``cur`` (NULL for a new event) and ``inc`` with their
+    evidence ranks ``cur_rank`` and ``inc_rank``, computed before the two met.
+    """
+    cur, inc, cur_rank, inc_rank = (F.col(n) for n in ("cur", "inc", "cur_rank", "inc_rank"))
+    conflict, content = F.col("_conflict"), F.col("_content")
+    changed = content | F.col("_metadata")
     status = (
-        F.when(c.isNull(), INSERTED)
-        .when(F.col("_conflict").isNotNull(), REJECTED)
-        .when(c["content_sha256"] == i["content_sha256"], SKIPPED)
-        .when(F.col("_changed"), UPDATED)
-        .when(weaker, SKIPPED)
+        F.when(cur.isNull(), INSERTED)
+        .when(conflict.isNotNull(), REJECTED)
+        .when(cur["content_sha256"] == inc["content_sha256"], SKIPPED)
+        .when(changed, UPDATED)
+        # A weaker observation of the model cannot replace a stronger one.
+        .when(inc_rank < cur_rank, SKIPPED)
         .otherwise(REJECTED)
     )
-    out = flagged.withColumn("status", status)
-    code = F.when(
-        F.col("status") == REJECTED, F.coalesce("_conflict", F.lit("content_conflict"))
-    )
+    code = F.coalesce("_conflict", F.lit("content_conflict"))
+    event = merged_event(cur, inc, inc_rank > cur_rank, content, now_ms)
     return (
-        out.withColumn("code", code)
-        .withColumn("merged", F.when(F.col("status") == UPDATED, event))
-        .drop("_conflict", "_changed")
+        pairs.withColumns(
+            {
+                "_conflict": conflict_code(cur, inc, cur_rank, inc_rank),
+                "_content": content_fills(cur, inc, cur_rank, inc_rank),
+                "_metadata": _fillable(cur, inc, *_METADATA_FILLS, "line_number"),
+            }
+        )
+        .withColumn("status", status)
+        .withColumns(
+            {
+                "code": F.when(F.col("status") == REJECTED, code),
+                "merged": F.when(F.col("status") == UPDATED, event),
+            }
+        )
+        .drop("_conflict", "_content", "_metadata", "cur_rank", "inc_rank")
     )
 
 
+def ranked(rows: DataFrame, version: str) -> DataFrame:
+    return rows.withColumn(f"{version}_rank", evidence_rank(F.col(version)))
+
+
 @dataclass
 class Reconciled:
     """``decisions``: one row per incoming row; ``changes``: one row per changed event."""
@@ -171,8 +194,8 @@ class Reconciled:
 
 def pair_with_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming events beside the stored version, if any."""
-    left = incoming.select("event_id", event_struct().alias("inc"))
-    right = stored.select("event_id", event_struct().alias("cur"))
+    left = ranked(incoming.select("event_id", event_struct().alias("inc")), "inc")
+    right = ranked(stored.select("event_id", event_struct().alias("cur")), "cur")
     return left.join(right, "event_id", "left")
 
 
@@ -199,7 +222,7 @@ def reconcile_batch(
         F.lit(REJECTED).alias("status"),
         F.col("reject_code").alias("code"),
     )
-    good = incoming.where(F.col("reject_code").isNull()).drop("reject_code")
+    good = ranked(incoming.where(F.col("reject_code").isNull()).drop("reject_code"), "inc")
     known = staging.put(
         matching(stored, good.select("event_id")).select("event_id", event_struct().alias("cur")),
         "known",
@@ -222,7 +245,7 @@ def reconcile_batch(
     rows, round_no = good, 0
     while True:
         round_no += 1
-        open_rows = rows.join(state, "event_id").where(
+        open_rows = rows.join(ranked(state, "cur"), "event_id").where(
             F.col("at").isNull() | (F.col("order_key") > F.col("at"))
         )
         judged = staging.put(decide(open_rows, now_ms).drop("cur", "at"), f"round{round_no}")
@@ -239,7 +262,7 @@ def reconcile_batch(
         if not turns.take(1):
             break
         versions.append(turns.select("event_id", "cur", F.lit(round_no).alias("round")))
-        state, rows = turns, judged.select("event_id", "order_key", "inc")
+        state, rows = turns, ranked(judged.select("event_id", "order_key", "inc"), "inc")
 
     all_decisions = decisions[0]
     for more in decisions[1:]:

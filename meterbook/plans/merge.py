@@ -39,7 +39,7 @@ def merge_decisions(
     stored: they are read several times, and filters on them should not be rewritten into
     the comparison of two rows.
     """
-    rows = validated(cleaned(incoming))
+    rows = staging.put(validated(cleaned(incoming)), "incoming")
     refused = rows.where(F.col("reject_code").isNotNull()).select(
         "event_id",
         F.lit(reconcile.REJECTED).alias("status"),

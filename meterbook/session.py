@@ -21,6 +21,9 @@ _TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Hot event ids, files and sessions are split even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM never compiles methods above 8000 bytes of bytecode. Wide projections (prices,
+    # validation, extraction) run faster as many small methods than as one interpreted one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

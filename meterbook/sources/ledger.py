@@ -36,13 +36,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _partitioned(df: DataFrame) -> DataFrame:
-    """Rows of a date side by side in few files, clustered by session within a file.
+    """Rows in ranges of date, session and event.
 
-    The session is part of the distribution, so that a date holding much of the table is
-    written by many tasks.
+    Ranges are balanced by rows, so a date or a session holding much of the table is
+    written by many tasks, a small date goes into one file, and row groups cover few sessions.
     """
-    spread = F.pmod(F.xxhash64("session_key", "event_id"), F.lit(16))
-    return df.repartition(PARTITION, spread).sortWithinPartitions(PARTITION, "session_key")
+    order = (PARTITION, "session_key", "event_id")
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_ledger(events: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -108,15 +108,7 @@ class Importer:
         return Extracted(records, files, [self._oversized("gemini", scan)])
 
     def copilot(self, roots: list[str]) -> Extracted:
-        groups = L.copilot_roots(self.spark, roots)
-        chosen = {name: L.existing(self.spark, paths) for name, paths in groups.items()}
-        read = chosen["otel"] + chosen["other"]
-        has_otel = bool(chosen["otel"]) and bool(
-            L.list_files(self.spark, chosen["otel"], ".jsonl").take(1)
-        )
-        if not (has_otel and chosen["session"]):
-            read = read + chosen["session"]
-        read = L.outermost(list(dict.fromkeys(read)))
+        read = L.preferred_copilot_roots(self.spark, roots)
         keep = L.copilot_session_file(F.col("file_path"))
         scan = self._scan(read)
         lines = scan.lines.where(keep)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meterbook import schema as S
 from meterbook.functions import jsonprobe as J
 from meterbook.functions.naming import speed_model
-from meterbook.functions.text import none_if_empty, path_parts, tail_from_marker
+from meterbook.functions.text import is_blank, none_if_blank, path_parts, tail_from_marker
 from meterbook.session import Staging
 from meterbook.sources.parsed import as_parsed, settled
 
@@ -138,14 +138,14 @@ def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
         & ~F.coalesce((F.col("model") == "<synthetic>") & (used == 0), F.lit(False))
     )
     path, message_id, request_id = F.col("file_path"), F.col("message_id"), F.col("request_id")
-    has_message = F.trim(F.coalesce(message_id, F.lit(""))) != ""
+    has_message = ~is_blank(message_id)
     by_request = ~has_message & request_id.isNotNull()
     return as_parsed(
         kept,
         "claude",
         provider="anthropic",
         model=speed_model(F.col("model"), F.col("speed")),
-        native_session_id=none_if_empty(F.trim("native_session")),
+        native_session_id=none_if_blank(F.col("native_session")),
         session_path_id=tail_from_marker(path, "projects"),
         native_event_id=F.when(by_request, request_id).otherwise(message_id),
         identity_kind=F.when(by_request, F.lit("request")).otherwise(F.lit("message")),

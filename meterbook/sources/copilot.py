@@ -41,6 +41,7 @@ SPAN_COUNTERS = {
     "source_total": ("gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count"),
 }
 
+# Attributes that may name the session, first filled wins.
 SESSION_ATTRIBUTES = (
     "gen_ai.conversation.id",
     "copilot_chat.session_id",
@@ -49,6 +50,7 @@ SESSION_ATTRIBUTES = (
     "github.copilot.interaction_id",
 )
 
+# Counter names of a session summary in all spellings.
 SUMMARY_COUNTERS = {
     "raw_input": ("inputTokens", "input_tokens"),
     "output": ("outputTokens", "output_tokens"),

@@ -239,10 +239,18 @@ def copilot_roots(spark: SparkSession, roots: list[str]) -> dict[str, list[str]]
     return groups
 
 
-def prefer_request_level(otel: DataFrame, summaries: DataFrame) -> DataFrame:
-    """S3: summaries count only if there is no request-level file at all."""
-    has_otel = len(otel.select("file_path").take(1)) > 0
-    return otel if has_otel else summaries
+def preferred_copilot_roots(spark: SparkSession, roots: list[str]) -> list[str]:
+    """S3: session summaries are read only if there is no request-level file at all.
+
+    The rule is global: one request-level file anywhere stands for all sessions, so that
+    usage is not counted from both kinds.
+    """
+    groups = {name: existing(spark, paths) for name, paths in copilot_roots(spark, roots).items()}
+    chosen = groups["otel"] + groups["other"]
+    has_requests = groups["otel"] and list_files(spark, groups["otel"], ".jsonl").take(1)
+    if not has_requests:
+        chosen = chosen + groups["session"]
+    return outermost(list(dict.fromkeys(chosen)))
 
 
 def list_files(

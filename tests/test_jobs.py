@@ -179,6 +179,11 @@ def test_discovery_rules(spark, tmp_path):
     assert L.outermost(["/a", "/a/b", "/ab"]) == ["/a", "/ab"]
     groups = L.copilot_roots(spark, [f"{t}/o", f"{t}/w", f"{t}/z/otel/x", f"{t}/z/session-state"])
     assert len(groups["otel"]) == 2 and len(groups["session"]) == 2 and groups["other"] == [f"{t}/w"]
+    # Summaries are read until the first request-level file appears.
+    last = lambda: [r.rsplit("/", 1)[-1] for r in L.preferred_copilot_roots(spark, [f"{t}/o"])]
+    assert last() == ["otel", "session-state"]
+    (tmp_path / "o/otel/a.jsonl").write_text("{}\n")
+    assert last() == ["otel"]
     df = spark.createDataFrame(
         [(f"{t}/w/p/a.jsonl", True), (f"{t}/w/Logs/a.jsonl", False), (f"{t}/w/p/blobs/q/a.jsonl", False),
          (f"{t}/w/logs.jsonl", True)], "p string, want boolean")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import chat_format, exact_dedup, token_count, url_filter
+from meterbook.llm import chat_format, exact_dedup, mixing, token_count, toxicity, url_filter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -103,3 +103,22 @@ def op10_chat_format(spark, sf_dir):
     )
     turns = chat_format.turns_of_table(rows.unionByName(planted))
     return chat_format.read_back(chat_format.formatted(turns))
+
+
+@_query()
+def op1_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.scored(docs, toxicity.learn(docs, labels))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@_query()
+def op5_source_mix(spark, sf_dir):
+    mix = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import chat_format, exact_dedup, mixing, token_count, toxicity, url_filter
+from meterbook.llm import chat_format, decontaminate, exact_dedup, mixing, token_count, toxicity, url_filter, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -122,3 +122,69 @@ def op1_toxicity(spark, sf_dir):
 def op5_source_mix(spark, sf_dir):
     mix = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+def _uuid_sql(name: str) -> str:
+    h = f"sha256({name})"
+    return (
+        f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-8' || substr({h}, 14, 3) || '-a' "
+        f"|| substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+    )
+
+
+def _warc_sql() -> str:
+    """The same records in SQL; numeric references do not occur in the given pages."""
+    text = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
+    for name in warc.INVISIBLE:
+        text = rf"regexp_replace({text}, '<{name}\b.*?</{name}\s*>', '', 'gis')"
+    text = rf"regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '</?(?:{'|'.join(warc.BLOCKS)})\b[^>]*>', chr(10), 'gi')"
+    text = f"regexp_replace({text}, '<[/!?A-Za-z][^>]*>', '', 'g')"
+    for name, value in (*warc.REFERENCES, ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{value.replace(chr(39), chr(39) * 2)}')"
+    text = rf"trim(regexp_replace({text}, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    line = lambda name, value: f"'{name}: ' || {value} || chr(13) || chr(10)"
+    fields = " || ".join(
+        (
+            line("title", r"trim(regexp_replace(regexp_extract(html, '<title\b[^>]*>(.*?)</title\s*>', 1, 'is'), '\s+', ' ', 'g'))"),
+            line("language", r"""regexp_extract(html, '<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1, 'is')"""),
+            line("links", r"len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref'))"),
+            line("images", r"len(regexp_extract_all(html, '(?i)<img\b'))"),
+            line("text-chars", "length(text)"),
+            line("conversion", "conversion_id"),
+        )
+    )
+    headers = " || ".join(
+        (
+            f"'{warc.VERSION}' || chr(13) || chr(10)",
+            line("WARC-Type", "warc_type"),
+            line("WARC-Record-ID", "record_id"),
+            line("WARC-Refers-To", "refers_to"),
+            f"coalesce({line('WARC-Target-URI', 'target_uri')}, '')",
+            line("WARC-Date", f"'{warc.CAPTURED}'"),
+            line("WARC-Source-Payload-Digest", "source_digest"),
+            line("WARC-Block-Digest", "'sha256:' || sha256(block)"),
+            line("Content-Type", "mime"),
+            line("Content-Length", "strlen(block)"),
+        )
+    )
+    response = _uuid_sql("'response ' || coalesce(CAST(page_id AS VARCHAR), '') || ' ' || coalesce(url, '')")
+    return f"""WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS html, {response} AS refers_to FROM pages),
+ t AS (SELECT *, {text} AS text, {_uuid_sql("'conversion ' || refers_to")} AS conversion_id,
+  {_uuid_sql("'metadata ' || refers_to")} AS metadata_id, 'sha256:' || sha256(html) AS source_digest FROM p),
+ r AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS mime, metadata_id AS record_id, {fields} AS block FROM t
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', conversion_id, text FROM t)
+ SELECT page_id, warc_type, record_id, refers_to, target_uri, source_digest, 'sha256:' || sha256(block) AS block_digest,
+  strlen(block) AS content_length, {headers} AS headers, block FROM r"""
+
+
+@_query(_warc_sql())
+def op2_warc_derivatives(spark, sf_dir):
+    records = warc.derivatives(warc.responses_of_pages(_table(spark, sf_dir, "pages")))
+    return records.withColumnRenamed("key", "page_id")
+
+
+@_query()
+def op7_decontamination(spark, sf_dir):
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.matches(docs, benchmark)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import chat_format, decontaminate, exact_dedup, mixing, token_count, toxicity, url_filter, warc
+from meterbook.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, token_count, toxicity, url_filter, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -188,3 +188,8 @@ def op2_warc_derivatives(spark, sf_dir):
 def op7_decontamination(spark, sf_dir):
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.matches(docs, benchmark)
+
+
+@_query()
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked(_table(spark, sf_dir, "documents"), k=4, percent=85)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, token_count, toxicity, url_filter, warc
+from meterbook.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, repeats, token_count, toxicity, url_filter, warc
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -193,3 +193,9 @@ def op7_decontamination(spark, sf_dir):
 @_query()
 def op3_jaccard_join(spark, sf_dir):
     return jaccard_join.linked(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@_query()
+def op9_substring_dedup(spark, sf_dir):
+    kept = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

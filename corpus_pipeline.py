@@ -1,11 +1,68 @@
-"""Corpus pipeline (stages are added as their operators arrive)."""
+"""Corpus pipeline: five operators in a row, each on what the one before kept.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and returns the rows
+that stay with the columns of ``documents``; the last returns the mix, with ``copies``. A stage's
+result is written to the shared folder and read again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from meterbook.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
+from meterbook.llm.queries import BATCH_ROWS
+from meterbook.session import Staging
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go; the scores are learned from rows that are not held out."""
+    return toxicity.clean(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8: the least id of each component stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return jaccard_join.representatives(docs, k=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, within its edit budget, go."""
+    return decontaminate.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with how often it takes them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources", mix_sources),
+]
+
+#: No stage but exact dedup can be written in SQL; tests compare each with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of ``documents`` after all stages."""
+    staging = Staging(spark, "pipeline")
+    docs = _table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = staging.put(stage(spark, docs, sf_dir), f"stage{n}")
     return docs

@@ -86,16 +86,16 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, k: int) -> DataFrame:
-    """Rows ``doc_id, node, n``, and rows ``block, counts`` with each task's part of the sketch."""
-    key = docs.schema["doc_id"].dataType
-    kinds = [to_arrow_type(key), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["doc_id", "node", "n", "block", "counts"]
+    """Rows ``doc_id, key, node, n``, and rows ``block, counts`` with each task's part of the sketch."""
+    kind = docs.schema["doc_id"].dataType
+    kinds = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["doc_id", "key", "node", "n", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, held = np.zeros(CELLS, np.uint32), [], 0
         for batch in batches:
             nodes, sizes = [], []
-            for _, shingles in _sets(batch.column(1), k):
+            for _, shingles in _sets(batch.column(2), k):
                 nodes.append(set_id(shingles))
                 sizes.append(len(shingles))
                 waiting.append(_cells(shingles))
@@ -103,19 +103,19 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                 if held > CELLS:
                     total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
                     waiting, held = [], 0
-            none = [None] * len(nodes)
-            columns = [batch.column(0).cast(kinds[0]), nodes, sizes, none, none]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            made = [nodes, sizes, [None] * len(nodes), [None] * len(nodes)]
+            columns = [pa.array(c, t) for c, t in zip(made, kinds[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kinds[0]), batch.column(1), *columns], names)
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
         for b in range(0, CELLS, _CELL_BLOCK):
             part = total[b : b + _CELL_BLOCK]
             if part.any():
-                row = [[None], [None], [None], [b // _CELL_BLOCK], [zlib.compress(part.tobytes(), 1)]]
+                row = [[None], [None], [None], [None], [b // _CELL_BLOCK], [zlib.compress(part.tobytes(), 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names)
 
-    schema = f"doc_id {key.simpleString()}, node bigint, n int, block int, counts binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {kind.simpleString()}, key bigint, node bigint, n int, block int, counts binary"
+    return docs.select("doc_id", "key", "text").mapInArrow(run, schema)
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -445,19 +445,19 @@ def _tasks(groups: DataFrame, group_nodes: int) -> DataFrame:
 def linked(
     docs: DataFrame, k: int = 5, percent: int = 80, long_list: int = LONG_LIST, group_nodes: int = GROUP_NODES
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+    """``doc_id, n_shingles, component_id, row_key`` for every row of ``docs``."""
+    docs = _keyed(docs)
     staging = Staging(docs.sparkSession, "jaccard")
     described = staging.put(_described(docs, k), "described")
-    rows = described.where("node IS NOT NULL").select("doc_id", "node", "n")
+    rows = described.where("node IS NOT NULL").select("doc_id", "key", "node", "n")
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(described.where("block IS NOT NULL")))
     edges = _candidate_edges(_postings(docs, counts, k, percent), percent, long_list)
     candidates = staging.put(edges, "candidates")
     groups = components(candidates, staging)
 
-    first = rows.groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
+    first = rows.groupBy("node").agg(F.min("key").alias("key"))
     groups = staging.put(groups.join(first, "node"), "groups")
-    keyed = docs.select(F.xxhash64("doc_id").alias("key"), "text")
-    sets = _candidate_sets(keyed, groups, k)
+    sets = _candidate_sets(docs.select("key", "text"), groups, k)
     tasks = _tasks(groups.select("node", "root"), group_nodes)
     dealt = sets.select("node", "shingles", (F.octet_length("shingles") / 8).cast("int").alias("n")).join(tasks, "node")
     links = staging.put(_search_groups(dealt, percent), "links")
@@ -465,6 +465,37 @@ def linked(
 
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    alone = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    some = placed.where("n > 0").join(least, "root").select("doc_id", "n", "component_id")
-    return some.unionByName(alone).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+    some = placed.where("n > 0").join(least, "root")
+    alone = placed.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", F.col("key").alias("row_key")]
+    return some.select(*columns).unionByName(alone.select(*columns))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component, with their columns.
+
+    Rows that repeat such an id in the same component stay with it; so do rows without an id where
+    a component has no other. A bounded Bloom filter of the rows to drop lets all others pass
+    without a shuffle.
+    """
+    staging = Staging(docs.sparkSession, "jaccard")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    dropped = staging.put(linked(docs, k, percent).where(~same).select(F.col("row_key").alias("key")), "dropped")
+    shared = docs.sparkSession.sparkContext.broadcast(
+        sketch.build(dropped, sketch.bits_for(dropped.count()), 4)
+    )
+
+    @F.arrow_udf("boolean")
+    def suspect(column: pa.Array) -> pa.Array:
+        hashes = column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return pa.array(sketch.contains(shared.value, hashes, 4))
+
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keyed = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), row)
+    passed = keyed.where(~suspect("key"))
+    checked = keyed.where(suspect("key")).join(dropped, "key", "left_anti")
+    return passed.select("row.*").unionByName(checked.select("row.*"))

@@ -192,7 +192,8 @@ def op7_decontamination(spark, sf_dir):
 
 @_query()
 def op3_jaccard_join(spark, sf_dir):
-    return jaccard_join.linked(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    linked = jaccard_join.linked(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return linked.select("doc_id", "n_shingles", "component_id")
 
 
 @_query()

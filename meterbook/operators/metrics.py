@@ -17,6 +17,7 @@ from meterbook.operators.pricing import Costing
 SESSION_PAGE = (50, 500)
 EVENT_PAGE = (200, 1000)
 RUN_PAGE = (20, 200)
+_TOP_SLOTS = 64
 
 DIMENSIONS = ("channel", "source_product", "provider", "model", "session", "project")
 
@@ -41,9 +42,13 @@ EVENT_LIST = (
 
 
 def page_bounds(limit: int, offset: int, page: tuple[int, int]) -> tuple[int, int]:
-    """Page size within its bounds, offset not negative."""
+    """0 stands for the usual page size; other sizes and offsets must be within bounds."""
     default, highest = page
-    return (default if limit <= 0 else min(limit, highest)), max(offset, 0)
+    if not 0 <= limit <= highest:
+        raise ValueError(f"limit must be between 1 and {highest}")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
+    return limit or default, offset
 
 
 def _token_sums() -> list[Column]:
@@ -185,25 +190,19 @@ def session_rollup(events: DataFrame, costing: Costing) -> DataFrame:
     )
 
 
-def sessions(
-    events: DataFrame,
-    filters: Filters = Filters(),
-    limit: int = 0,
-    offset: int = 0,
-    costing: Costing | None = None,
-    page: tuple[int, int] = SESSION_PAGE,
-) -> Page:
-    """Newest sessions first."""
+def session_list(events: DataFrame, filters: Filters = Filters(), costing: Costing | None = None) -> DataFrame:
+    """Every session, newest first; sorted in ranges, so no task sees them all."""
     costing = costing or Costing.load()
-    limit, offset = page_bounds(limit, offset, page)
-    rows = apply_filters(events, filters)
-    listed = (
-        session_rollup(rows, costing)
-        .orderBy(F.desc("last_ms"), "session_key")
-        .offset(offset)
-        .limit(limit)
-    )
-    items = listed.select(
+    rollup = session_rollup(apply_filters(events, filters), costing)
+    return _session_columns(_newest(rollup), filters, costing)
+
+
+def _newest(rollup: DataFrame) -> DataFrame:
+    return rollup.orderBy(F.desc("last_ms"), "session_key")
+
+
+def _session_columns(rollup: DataFrame, filters: Filters, costing: Costing) -> DataFrame:
+    return rollup.select(
         "session_key",
         "session_id",
         "channel",
@@ -216,8 +215,29 @@ def sessions(
         *S.TOKEN_COLUMNS,
         *costing.columns(),
     )
+
+
+def sessions(
+    events: DataFrame,
+    filters: Filters = Filters(),
+    limit: int = 0,
+    offset: int = 0,
+    costing: Costing | None = None,
+    after: tuple[int, str] | None = None,
+) -> Page:
+    """A page of sessions, newest first. ``after`` (last event time, key of the last session
+    seen) reads the next page without keeping the pages before it, where an offset would."""
+    costing = costing or Costing.load()
+    limit, offset = page_bounds(limit, offset, SESSION_PAGE)
+    rows = apply_filters(events, filters)
+    rollup = session_rollup(rows, costing)
+    if after is not None:
+        ts, key = after
+        same_time = (F.col("last_ms") == ts) & (F.col("session_key") > key)
+        rollup = rollup.where((F.col("last_ms") < ts) | same_time)
+    listed = _newest(rollup).offset(offset).limit(limit)
     total = rows.agg(F.count_distinct("session_key").alias("total"))
-    return Page(items, total, limit, offset)
+    return Page(_session_columns(listed, filters, costing), total, limit, offset)
 
 
 def primary_models(events: DataFrame) -> DataFrame:
@@ -318,25 +338,41 @@ def cache_rate(rows: DataFrame) -> DataFrame:
 def top_share(rows: DataFrame, n: int = 5, others: str = "others") -> DataFrame:
     """The ``n`` largest labels, the rest as one row, and the share of each.
 
-    Input is a report with one row per label. The rest is the whole less the top, so only
-    ``n`` rows are ever ranked.
+    Input is a report with one row per label; it is read once. A running top-k is kept per task
+    as a grouped list of the ``n`` best, so one row of ``n`` labels and the sum decide the rest.
     """
     positive = rows.where(F.col("total_tokens") > 0).select("label", "total_tokens")
-    top = positive.orderBy(F.desc("total_tokens"), "label").limit(n)
-    whole = positive.agg(F.sum("total_tokens").alias("s"))
-    kept = top.agg(F.sum("total_tokens").alias("s"))
-    rest = whole.select(
-        F.lit(others).alias("label"),
-        (F.col("s") - kept.scalar()).alias("total_tokens"),
-        F.lit(1).alias("is_rest"),
-    ).where(F.col("total_tokens") > 0)
-    share = F.col("total_tokens").cast("double") / whole.scalar().cast("double")
+    slot = F.pmod(F.xxhash64("label"), F.lit(_TOP_SLOTS))
+    best = Window.partitionBy("slot").orderBy(F.desc("total_tokens"), "label")
+    # per slot: its n best labels and its sum; then one row holds them all
+    slots = (
+        positive.withColumn("slot", slot)
+        .withColumn("place", F.row_number().over(best))
+        .groupBy("slot")
+        .agg(
+            F.sum("total_tokens").alias("s"),
+            F.collect_list(
+                F.when(F.col("place") <= n, F.struct((-F.col("total_tokens")).alias("t"), "label"))
+            ).alias("best"),
+        )
+    )
+    whole = slots.agg(
+        F.sum("s").alias("whole"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("top"),
+    ).where(F.col("whole").isNotNull())
+    kept = F.aggregate("top", F.lit(0).cast("bigint"), lambda a, x: a - x["t"])
+    entry = lambda rest, label, tokens: F.struct(
+        F.lit(rest).alias("is_rest"), label.alias("label"), tokens.cast("bigint").alias("total_tokens")
+    )
+    entries = F.concat(
+        F.transform("top", lambda x: entry(0, x["label"], -x["t"])),
+        F.array(entry(1, F.lit(others), F.col("whole") - kept)),
+    )
     return (
-        top.withColumn("is_rest", F.lit(0))
-        .unionByName(rest)
-        .withColumn("share", share)
+        whole.select("whole", F.inline(entries))
+        .where(F.col("total_tokens") > 0)
         .orderBy("is_rest", F.desc("total_tokens"), "label")
-        .drop("is_rest")
+        .select("label", "total_tokens", (F.col("total_tokens").cast("double") / F.col("whole").cast("double")).alias("share"))
     )
 
 
@@ -369,13 +405,39 @@ def chart_series(series: DataFrame) -> DataFrame:
     )
 
 
-def chart_labels(rows: DataFrame, n: int = 12) -> DataFrame:
+def chart_labels(rows: DataFrame, n: int) -> DataFrame:
     """The first labels in label order, not the largest."""
     return rows.select("label", "total_tokens").orderBy("label").limit(n)
 
 
+def natural_key(text: Column) -> Column:
+    """Sort key of a string in which runs of digits count by value: ``m2`` before ``m10``.
+
+    Digit runs become their length without leading zeros, six digits wide, then the digits.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def part(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        sized = F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+        return F.when(run.rlike("^[0-9]"), sized).otherwise(run)
+
+    return F.transform(runs, part)
+
+
 def sorted_rows(rows: DataFrame, column: str, descending: bool = True, limit: int = 50) -> DataFrame:
-    """Any column, missing values last in both directions; ``limit`` 0 shows all."""
-    key = F.col(column)
-    ordered = rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
+    """Any column, missing values last in both directions; ``limit`` 0 shows all.
+
+    Strings sort by ``natural_key``, then as they are; other columns decide between equals, so
+    a limit cuts at one place only.
+    """
+    keys = [F.col(column)]
+    if rows.schema[column].dataType.typeName() == "string":
+        keys.insert(0, natural_key(F.col(column)))
+    others = [
+        F.col(f.name).asc_nulls_last()
+        for f in rows.schema.fields
+        if f.name != column and f.dataType.typeName() not in ("map", "variant")
+    ]
+    ordered = rows.orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys], *others)
     return ordered.limit(limit) if limit > 0 else ordered

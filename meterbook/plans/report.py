@@ -8,9 +8,6 @@ from meterbook.operators import metrics
 from meterbook.operators.filters import Filters
 from meterbook.operators.pricing import Costing
 
-# The session report lists up to this many sessions.
-SESSION_REPORT_ROWS = 1_000_000
-
 _BREAKDOWNS = {
     "models": "model",
     "channels": "channel",
@@ -34,6 +31,5 @@ def report(
     if name in _BREAKDOWNS:
         return metrics.breakdown(events, _BREAKDOWNS[name], filters, costing)
     if name == "sessions":
-        limit = SESSION_REPORT_ROWS
-        return metrics.sessions(events, filters, limit, 0, costing, page=(limit, limit)).items
+        return metrics.session_list(events, filters, costing)
     raise ValueError(f"unsupported report type {name!r}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -58,10 +60,22 @@ def staging_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     fallback = tempfile.mkdtemp(prefix="meterbook-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
+#: Staged tables nobody has dropped: a lazy result still reads them.
+_open: list[Staging] = []
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Drop all tables that this process has staged; results that read them end with that."""
+    for staging in list(_open):
+        if staging.spark is spark:
+            staging.drop()
+
+
 class Staging:
     """Tables written once and read back, to cut lineage and share work.
 
@@ -72,6 +86,7 @@ class Staging:
     def __init__(self, spark: SparkSession, label: str = "job"):
         self.spark = spark
         self.root = f"{staging_root(spark)}/meterbook-{label}-{uuid.uuid4().hex}"
+        _open.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -82,6 +97,8 @@ class Staging:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(hadoop, True)
+        if self in _open:
+            _open.remove(self)
 
     def __enter__(self) -> Staging:
         return self

@@ -21,6 +21,11 @@ from meterbook.functions.text import none_if_empty, trimmed
 
 Shape = dict
 
+#: Lines above this many bytes are read field by field; the parser for whole values has limits.
+LONG_LINE = 8_000_000
+NOT_JSON = "not_a_json_object"
+_CORRUPT = "_corrupt"
+
 
 def leaves(*names: str) -> Shape:
     return dict.fromkeys(names, "variant")
@@ -47,13 +52,31 @@ def read(lines: DataFrame, shape: Shape) -> DataFrame:
         & F.try_variant_get(array, "$[1]", "variant").isNull()
         & F.when(line.rlike(r"\}\s*\]"), in_object.isNotNull()).otherwise(True)
     )
+    is_long = F.octet_length(line) > LONG_LINE
+    short_text = F.when(~is_long, F.concat(F.lit("["), line, F.lit("]")))
+    short = F.when(whole, F.try_variant_get(array, "$[0]", ddl(shape)))
     return (
-        lines.withColumn("_array", F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
-        .withColumn("doc", F.when(whole, F.try_variant_get(array, "$[0]", ddl(shape))))
+        lines.withColumn("_array", F.try_parse_json(short_text))
+        .withColumn("doc", F.when(is_long, long_document(line, shape)).otherwise(short))
         .drop("_array")
     )
 
 
+def long_document(line: Column, shape: Shape) -> Column:
+    """A long line in the given shape. Only the fields of the shape are kept while it is read, so
+    other fields may have any length; text after the object is not noticed."""
+    checked = f"struct<`{_CORRUPT}`:string," + ddl(shape).removeprefix("struct<")
+    found = F.from_json(line, checked, {"columnNameOfCorruptRecord": _CORRUPT, "maxNestingDepth": "10000"})
+    starts = line.rlike(r"^\s*\{")
+    fields = F.struct(*[found[name].alias(name) for name in shape])
+    return F.when(starts & found[_CORRUPT].isNull(), fields)
+
+
+def refusal(doc: Column) -> Column:
+    """Why a line with usage words gave nothing, or NULL."""
+    return F.when(doc.isNull(), F.lit(NOT_JSON))
+
+
 def may_contain(line: Column, *words: str) -> Column:
     """Cheap test before parsing: names are in the text unless it uses unicode escapes."""
     found = line.contains("\\u")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterbook.operators import reconcile
@@ -16,22 +16,23 @@ from meterbook.operators.validate import validated
 from meterbook.session import Staging
 from meterbook.sources import claude, codex, copilot, gemini, ledger, workbuddy
 from meterbook.sources import lines as L
-from meterbook.sources.parsed import SOURCE_ORDER, order_key
+from meterbook.sources.parsed import SOURCE_ORDER
 
-# A run keeps this many warnings, and this many characters of them.
-KEPT_WARNINGS = 5
-WARNING_LENGTH = 2000
+# Reasons of rejects besides those of the extractors and of reconcile.
+CHANGED_FILE = "changed_while_read"
+LEFT_OUT = "replay_left_out"
 
-_WARNING_DDL = "order_key struct<source:int,path:array<string>,line:bigint,part:bigint>, text string"
+_REJECT_DDL = "source string, file_path string, line_number bigint, reason string, detail string"
+_SUMMARY_REASONS = 5
 
 
 @dataclass
 class Extracted:
-    """Records of one source; ``warnings`` has ``(order_key, text)``."""
+    """Records of one source, how many files it has, and what it refused (``_REJECT_DDL``)."""
 
     records: DataFrame
     files: int
-    warnings: list[DataFrame] = field(default_factory=list)
+    rejects: list[DataFrame] = field(default_factory=list)
     diagnostics: DataFrame | None = None
 
 
@@ -42,6 +43,34 @@ class ImportResult:
     warnings: int
 
 
+def _rejects(source: str, rows: DataFrame) -> DataFrame:
+    detail = "detail" if "detail" in rows.columns else F.lit(None).cast("string").alias("detail")
+    return rows.select(F.lit(source).alias("source"), "file_path", "line_number", "reason", detail)
+
+
+class _Files:
+    """The files of one source, listed before they are read and once more after that."""
+
+    def __init__(self, job: Importer, source: str, roots: list[str], suffix: str = ".jsonl", keep=None):
+        self.job, self.source, self.where = job, source, (roots, suffix, job.before, keep)
+        self.listed = job.staging.put(L.file_states(job.spark, *self.where), "files")
+        self.count = self.listed.count()
+
+    def scan(self) -> L.LogScan:
+        roots, suffix, before, keep = self.where
+        return L.scan_logs(self.job.spark, roots, suffix, before, self.job.staging, keep)
+
+    def steady(self, rows: DataFrame, rejects: list[DataFrame], path: str = "file_path") -> DataFrame:
+        """Rows of files that did not change while they were read; the others cost one reject."""
+        now = L.file_states(self.job.spark, *self.where)
+        changed = self.job.staging.put(L.changed_files(self.listed, now), "changed")
+        if changed.isEmpty():
+            return rows
+        none = F.lit(None).cast("bigint").alias("line_number")
+        rejects.append(_rejects(self.source, changed.select("file_path", none, F.lit(CHANGED_FILE).alias("reason"))))
+        return rows.join(changed.withColumnRenamed("file_path", path), path, "left_anti")
+
+
 class Importer:
     """One import run: scans, extracts, reconciles and writes."""
 
@@ -54,87 +83,61 @@ class Importer:
     ):
         self.spark = spark
         self.staging = staging
-        self.grace = grace_minutes
+        self.before = L.cutoff(grace_minutes)
         self.policy = duplicate_policy
 
-    def _scan(self, roots: list[str], limit: int = L.LINE_LIMIT) -> L.LogScan:
-        return L.scan_logs(
-            self.spark, roots, grace_minutes=self.grace, staging=self.staging, line_limit=limit
-        )
-
-    def _count(self, roots: list[str], suffix: str, keep: Column | None = None) -> int:
-        files = L.list_files(self.spark, roots, suffix, self.grace)
-        return (files if keep is None else files.where(keep)).count()
+    def _roots(self, product: str, roots: list[str]) -> list[str]:
+        return L.existing(self.spark, L.discover_roots(self.spark, product, roots))
 
-    def _oversized(self, agent: str, scan: L.LogScan) -> DataFrame:
-        """A file with an oversized line contributes a warning and no records."""
-        path = F.col("file_path")
-        return scan.files.where(~F.col("readable")).select(
-            order_key(agent, path, F.lit(0), F.lit(0)).alias("order_key"),
-            F.concat(F.lit("failed to parse "), path, F.lit(": line too long")).alias("text"),
-        )
+    def _told(self, source: str, rows: list[DataFrame]) -> list[DataFrame]:
+        return [_rejects(source, r) for r in rows]
 
     def claude(self, roots: list[str]) -> Extracted:
-        roots = L.existing(self.spark, L.discover_roots(self.spark, "claude", roots))
-        scan = self._scan(roots)
-        records = deduplicate_messages(claude.extract(scan.lines, self.staging))
-        return Extracted(records, self._count(roots, ".jsonl"), [self._oversized("claude", scan)])
+        files, bad, told = _Files(self, "claude", self._roots("claude", roots)), [], []
+        scan = files.scan()
+        rows = claude.extract(scan.raw, self.staging, scan, bad)
+        records = deduplicate_messages(files.steady(rows, told, "source_file"))
+        return Extracted(records, files.count, told + self._told("claude", bad))
 
     def codex(self, roots: list[str]) -> Extracted:
-        roots = L.existing(self.spark, L.discover_roots(self.spark, "codex", roots))
-        scan = self._scan(roots, L.LINE_LIMIT_CODEX)
-        rows = codex.extract(scan.lines, self.staging)
+        files, bad, told = _Files(self, "codex", self._roots("codex", roots)), [], []
+        scan = files.scan()
+        rows = files.steady(codex.extract(scan.raw, self.staging, scan, bad), told)
         result = build_records(rows, self.policy, self.staging)
-        path = F.col("file_path")
         left_out = result.verdicts.where(F.col("quarantine").isNotNull()).select(
-            order_key("codex", path, F.lit(0), F.lit(0)).alias("order_key"),
-            F.concat(F.lit("codex replay child quarantined: "), F.col("quarantine")).alias("text"),
-        )
-        return Extracted(
-            result.records,
-            self._count(roots, ".jsonl"),
-            [self._oversized("codex", scan), left_out],
-            result.diagnostics,
+            "file_path",
+            F.lit(None).cast("bigint").alias("line_number"),
+            F.lit(LEFT_OUT).alias("reason"),
+            F.col("quarantine").alias("detail"),
         )
+        rejects = told + self._told("codex", [*bad, left_out])
+        return Extracted(result.records, files.count, rejects, result.diagnostics)
 
     def gemini(self, roots: list[str]) -> Extracted:
-        roots = L.existing(self.spark, L.discover_roots(self.spark, "gemini", roots))
-        scan = self._scan(roots)
-        documents = L.scan_documents(self.spark, roots, grace_minutes=self.grace)
-        records = gemini.extract(scan.lines, self.staging).unionByName(
-            gemini.extract_documents(documents, self.staging)
-        )
-        files = self._count(roots, ".jsonl") + self._count(roots, ".json")
-        return Extracted(records, files, [self._oversized("gemini", scan)])
+        roots, bad, told = self._roots("gemini", roots), [], []
+        logs, documents = _Files(self, "gemini", roots), _Files(self, "gemini", roots, ".json")
+        scan = logs.scan()
+        texts = L.scan_documents(self.spark, roots, before=self.before)
+        lines = logs.steady(gemini.extract(scan.raw, self.staging, scan, bad), told, "source_file")
+        whole = gemini.extract_documents(texts, self.staging, bad)
+        records = lines.unionByName(documents.steady(whole, told, "source_file"))
+        return Extracted(records, logs.count + documents.count, told + self._told("gemini", bad))
 
     def copilot(self, roots: list[str]) -> Extracted:
-        read = L.preferred_copilot_roots(self.spark, roots)
-        keep = L.copilot_session_file(F.col("file_path"))
-        scan = self._scan(read)
-        lines = scan.lines.where(keep)
-        return Extracted(
-            copilot.extract(lines, self.staging),
-            self._count(read, ".jsonl", keep),
-            [self._oversized("copilot", scan)],
-        )
+        read, bad, told = L.preferred_copilot_roots(self.spark, roots), [], []
+        files = _Files(self, "copilot", read, keep=L.copilot_session_file)
+        scan = files.scan()
+        rows = copilot.extract(scan.raw, self.staging, scan, bad)
+        records = files.steady(rows, told, "source_file")
+        return Extracted(records, files.count, told + self._told("copilot", bad))
 
     def workbuddy(self, roots: list[str]) -> Extracted:
-        roots = L.existing(self.spark, L.discover_roots(self.spark, "workbuddy", roots))
-        keep = L.admitted_below(F.col("file_path"), roots)
-        scan = self._scan(roots)
-        records, refused = workbuddy.extract(scan.lines.where(keep), self.staging)
-        path = F.col("file_path")
-        notes = workbuddy.summarize_refused(refused).select(
-            order_key("workbuddy", path, F.lit(0), F.lit(0)).alias("order_key"),
-            F.concat(
-                F.lit("workbuddy parse warning for "), path, F.lit(": "), F.col("warning")
-            ).alias("text"),
-        )
-        return Extracted(
-            records,
-            self._count(roots, ".jsonl", keep),
-            [self._oversized("workbuddy", scan), notes],
-        )
+        roots, told = self._roots("workbuddy", roots), []
+        files = _Files(self, "workbuddy", roots, keep=lambda path: L.admitted_below(path, roots))
+        scan = files.scan()
+        records, bad = workbuddy.extract(scan.raw, self.staging, scan)
+        records = files.steady(records, told, "source_file")
+        return Extracted(records, files.count, told + self._told("workbuddy", [bad]))
 
 
 def import_logs(
@@ -146,15 +149,23 @@ def import_logs(
     run_id: str | None = None,
     grace_minutes: int | None = 15,
     duplicate_policy: str = "ledger",
+    rejects_path: str | None = None,
 ) -> ImportResult:
-    """Import the given folders. Rejected rows and files are counted, never fatal."""
+    """Import the given folders. Rejected lines, records and files are never fatal.
+
+    Every one of them is a row of the table in ``rejects_path`` (by default beside the run log);
+    the run itself keeps their number and a short text by reason.
+    """
     unknown = set(sources) - set(SOURCE_ORDER)
     if unknown:
         raise ValueError(f"unknown sources {sorted(unknown)}")
+    run_id = run_id or uuid.uuid4().hex
     with Staging(spark, "import") as staging:
         job = Importer(spark, staging, grace_minutes, duplicate_policy)
         parts = [getattr(job, name)(sources[name]) for name in SOURCE_ORDER if sources.get(name)]
-        warnings = [w for part in parts for w in part.warnings]
+        rejects = spark.createDataFrame([], _REJECT_DDL)
+        for more in [r for part in parts for r in part.rejects]:
+            rejects = rejects.unionByName(more)
         if parts:
             records = parts[0].records
             for part in parts[1:]:
@@ -164,55 +175,51 @@ def import_logs(
             outcome = reconcile.reconcile_batch(events, stored, staging, now_ms)
             decisions = staging.put(outcome.decisions, "decisions")
             counts = reconcile.status_counts(decisions).first().asDict()
-            warnings.append(rejection_warnings(decisions))
+            rejects = rejects.unionByName(rejected_records(decisions))
             ledger.apply_changes(spark, outcome.changes, ledger_path, staging)
         else:
             counts = dict.fromkeys(("added", "updated", "skipped", "rejected"), 0)
-        roots = [root for paths in sources.values() for root in paths]
-        n_warnings, text = warning_summary(spark, warnings, roots)
+        rejects = staging.put(rejects.select(F.lit(run_id).alias("run_id"), "*"), "rejects")
+        n_rejects, text = reject_summary(rejects)
+        if n_rejects:
+            ledger.append_rejects(rejects, rejects_path or f"{runs_path.rstrip('/')}-rejects")
         diagnostics = next((p.diagnostics for p in parts if p.diagnostics is not None), None)
         if diagnostics is not None:
             # A handful of counters; kept as values because the staged tables are dropped.
             diagnostics = spark.createDataFrame(diagnostics.collect(), diagnostics.schema)
         run = {
-            "id": run_id or uuid.uuid4().hex,
+            "id": run_id,
             "started_at_ms": now_ms,
             "finished_at_ms": now_ms,
-            "status": "completed_with_warnings" if n_warnings else "completed",
+            "status": "completed_with_warnings" if n_rejects else "completed",
             "files_scanned": sum(p.files for p in parts),
             **{f"events_{name}": n for name, n in counts.items()},
             "error": text,
         }
         ledger.append_run(spark, runs_path, run)
-    return ImportResult(run, diagnostics, n_warnings)
+    return ImportResult(run, diagnostics, n_rejects)
 
 
-def rejection_warnings(decisions: DataFrame) -> DataFrame:
+def rejected_records(decisions: DataFrame) -> DataFrame:
+    """Records that validation or reconcile refused."""
     names = F.array(*[F.lit(s) for s in SOURCE_ORDER])
-    source = F.get(names, F.col("order_key.source"))
     return decisions.where(F.col("status") == reconcile.REJECTED).select(
-        "order_key",
-        F.concat(source, F.lit(" record rejected: "), F.col("code")).alias("text"),
+        F.get(names, F.col("order_key.source")).alias("source"),
+        F.array_join("order_key.path", "/").alias("file_path"),
+        F.col("order_key.line").alias("line_number"),
+        F.col("code").alias("reason"),
+        F.col("event_id").alias("detail"),
     )
 
 
-def warning_summary(
-    spark: SparkSession, warnings: list[DataFrame], roots: list[str]
-) -> tuple[int, str | None]:
-    """Number of warnings, and the first few with source paths blanked out."""
-    merged = spark.createDataFrame([], _WARNING_DDL)
-    for more in warnings:
-        merged = merged.unionByName(more)
-    total = merged.count()
-    if total == 0:
+def reject_summary(rejects: DataFrame) -> tuple[int, str | None]:
+    """Number of rejects, and the most frequent reasons as text without any path."""
+    by_reason = rejects.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as there are sources and reasons
+    rows = by_reason.orderBy(F.desc("n"), "source", "reason").collect()
+    if not rows:
         return 0, None
-    text = F.col("text")
-    path = F.array_join("order_key.path", "/")
-    text = F.when(path != "", F.replace(text, path, F.lit("[source]"))).otherwise(text)
-    for root in sorted(roots, key=len, reverse=True):
-        text = F.replace(text, F.lit(root), F.lit("[source]"))
-    first = merged.orderBy("order_key").limit(KEPT_WARNINGS).select(text.alias("text")).collect()
-    summary = f"{total} warning(s): " + "; ".join(r["text"] for r in first)
-    if total > len(first):
-        summary += f"; ... {total - len(first)} more"
-    return total, summary[:WARNING_LENGTH]
+    total = sum(r.n for r in rows)
+    shown = [f"{r.source} {r.reason}: {r.n}" for r in rows[:_SUMMARY_REASONS]]
+    more = len(rows) - len(shown)
+    return total, f"{total} rejects; " + "; ".join(shown) + (f"; and {more} other reasons" if more else "")

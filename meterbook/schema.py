@@ -119,6 +119,17 @@ RUN_SCHEMA = _struct(
     ("error", _S, True),
 )
 
+# What an import refused. ``line_number`` is NULL for a whole file; ``detail`` says more where the
+# reason alone does not.
+REJECT_SCHEMA = _struct(
+    ("run_id", _S, False),
+    ("source", _S, False),
+    ("file_path", _S, True),
+    ("line_number", _L, True),
+    ("reason", _S, False),
+    ("detail", _S, True),
+)
+
 # Position of a record in the import: source, path by component, line, part of the line.
 ORDER_TYPE = _struct(
     ("source", _I, True),

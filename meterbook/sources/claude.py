@@ -10,7 +10,8 @@ from meterbook.functions import jsonprobe as J
 from meterbook.functions.naming import speed_model
 from meterbook.functions.text import is_blank, none_if_blank, path_parts, tail_from_marker
 from meterbook.session import Staging
-from meterbook.sources.parsed import as_parsed, settled
+from meterbook.sources.lines import LogScan
+from meterbook.sources.parsed import as_parsed, refused, settled
 
 # A line with one of these fields set to null is not usage.
 NULL_FIELDS = (
@@ -87,7 +88,12 @@ SHAPE = {
 }
 
 
-def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
+def extract(
+    lines: DataFrame,
+    staging: Staging | None = None,
+    scan: LogScan | None = None,
+    rejects: list[DataFrame] | None = None,
+) -> DataFrame:
     doc = F.col("doc")
     value = F.col("value")
     docs = J.read(lines.where(J.may_contain(value, "usage") & ~has_null_field(value)), SHAPE)
@@ -116,6 +122,7 @@ def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
         "file_path",
         "line_number",
         F.sha2("value", 256).alias("raw_sha256"),
+        J.refusal(doc).alias("refusal"),
         use.isNotNull().alias("has_usage"),
         *[J.count(use[key]).alias(name) for name, key in COUNTERS.items()],
         J.text(use["speed"]).alias("speed"),
@@ -133,7 +140,7 @@ def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
     )
 
     used = sum((F.col(name) for name in COUNTERS), F.lit(0))
-    kept = settled(fields, staging, "claude").where(
+    kept = refused(settled(fields, staging, "claude", scan), rejects).where(
         F.col("has_usage")
         & ~F.coalesce((F.col("model") == "<synthetic>") & (used == 0), F.lit(False))
     )

@@ -16,7 +16,8 @@ from meterbook.functions.text import (
 )
 from meterbook.operators.counters import SNAPSHOT_DDL, snapshot
 from meterbook.session import Staging
-from meterbook.sources.parsed import settled
+from meterbook.sources.lines import LogScan
+from meterbook.sources.parsed import refused, settled
 
 # Counter names in all spellings.
 COUNTERS = (
@@ -78,13 +79,16 @@ def path_rank(path: Column) -> Column:
     return F.when(nearest == "sessions", 0).when(nearest == "archived_sessions", 1).otherwise(2)
 
 
-def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
+def extract(
+    lines: DataFrame,
+    staging: Staging | None = None,
+    scan: LogScan | None = None,
+    rejects: list[DataFrame] | None = None,
+) -> DataFrame:
     """Typed rows: ``row_kind`` is usage, declaration, task_complete or meta."""
     doc = F.col("doc")
     payload, info = doc["payload"], doc["payload"]["info"]
-    docs = J.read(
-        lines.where(J.may_contain(F.col("value"), *WORDS) | (F.col("line_number") == 1)), SHAPE
-    )
+    docs = J.read(lines.where(J.may_contain(F.col("value"), *WORDS)), SHAPE)
 
     def type_is(name: str) -> Column:
         return F.coalesce(F.col("type") == name, F.lit(False))
@@ -105,7 +109,8 @@ def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
     turn_model = J.filled_text(
         payload["model"], info["model"], payload["metadata"]["model"], doc["turn_context"]["model"]
     )
-    is_meta = (F.col("line_number") == 1) & type_is("session_meta")
+    # It counts on the first line only; line numbers are known after the rows are stored.
+    is_meta = type_is("session_meta")
     located = typed.select(
         "*",
         F.when(
@@ -130,9 +135,7 @@ def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
         .when(event_is("task_complete"), "task_complete")
         .when(has_usage, "usage")
     )
-    kept = located.withColumn(
-        "row_kind", F.coalesce(row_kind, F.when(F.col("is_meta"), F.lit("meta")))
-    )
+    kept = located.withColumn("row_kind", row_kind)
 
     models = [m for body in (doc, payload, info, *[doc[b] for b in BODIES])
               for m in (body["model"], body["model_name"], body["metadata"]["model"])]
@@ -141,6 +144,7 @@ def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
         "file_path",
         "line_number",
         F.sha2("value", 256).alias("raw_sha256"),
+        J.refusal(doc).alias("refusal"),
         "row_kind",
         J.filled_text(doc["session_id"], doc["sessionId"], payload["session_id"]).alias(
             "explicit_session"
@@ -179,7 +183,16 @@ def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
         "is_meta",
     )
     stem = file_stem(F.col("file_path"))
-    rows = settled(rows, staging, "codex").where(F.col("row_kind").isNotNull())
+    rows = refused(settled(rows, staging, "codex", scan), rejects)
+    first = F.col("is_meta") & (F.col("line_number") == 1)
+    rows = rows.withColumns(
+        {
+            "row_kind": F.coalesce("row_kind", F.when(first, F.lit("meta"))),
+            "is_meta": first,
+            "meta_session": F.when(first, F.col("meta_session")),
+            "meta_parent": F.when(first, F.col("meta_parent")),
+        }
+    ).where(F.col("row_kind").isNotNull())
     return rows.withColumn(
         "session",
         F.coalesce("explicit_session", F.when(F.trim(stem) != "", stem), F.lit("unknown")),

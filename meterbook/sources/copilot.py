@@ -21,7 +21,8 @@ from meterbook.functions.text import (
 from meterbook.operators.carry import Carry, carry
 from meterbook.operators.dedupe import best_candidates
 from meterbook.session import Staging
-from meterbook.sources.parsed import as_parsed, settled
+from meterbook.sources.lines import LogScan
+from meterbook.sources.parsed import as_parsed, refused, settled
 
 ATTRIBUTE_MAP = "map<string,variant>"
 
@@ -210,6 +211,7 @@ def session_lines(lines: DataFrame) -> DataFrame:
         "file_path",
         "line_number",
         F.sha2("value", 256).alias("raw_sha256"),
+        J.refusal(doc).alias("refusal"),
         data.isNotNull().alias("has_data"),
         F.when(starts, J.text(data["sessionId"])).alias("started_session"),
         F.when(starts, J.filled_text(data["context"]["gitRoot"], data["context"]["cwd"]))
@@ -240,12 +242,22 @@ def session_context(rows: DataFrame) -> DataFrame:
     )
 
 
-def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
+def extract(
+    lines: DataFrame,
+    staging: Staging | None = None,
+    scan: LogScan | None = None,
+    rejects: list[DataFrame] | None = None,
+) -> DataFrame:
     """Both shapes of lines to records, best candidate per request and file."""
-    sessions = settled(session_lines(lines), staging, "sessions").where(F.col("has_data"))
+    bad: list[DataFrame] = []
+    sessions = refused(settled(session_lines(lines), staging, "sessions", scan), bad)
+    sessions = sessions.where(F.col("has_data"))
     summaries = summary_candidates(sessions)
     shutdowns = sessions.where(F.size("metrics") > 0).select("file_path", "line_number")
-    spans = settled(span_fields(lines), staging, "spans")
+    spans = refused(settled(span_fields(lines), staging, "spans", scan), bad)
+    if rejects is not None:
+        # A line may have the words of both shapes.
+        rejects.append(bad[0].unionByName(bad[1]).distinct())
     spans = span_candidates(spans).join(
         shutdowns.withColumnRenamed("file_path", "source_file"),
         ["source_file", "line_number"],
@@ -355,6 +367,7 @@ def span_fields(lines: DataFrame) -> DataFrame:
         "file_path",
         "line_number",
         F.sha2("value", 256).alias("raw_sha256"),
+        J.refusal(doc).alias("refusal"),
         "part",
         label.alias("label"),
         *[J.long(*[_attribute(a) for a in names]).alias(n) for n, names in SPAN_COUNTERS.items()],

@@ -9,7 +9,8 @@ from meterbook import schema as S
 from meterbook.functions import jsonprobe as J
 from meterbook.functions.text import record_subkey, tail_from_marker, trimmed
 from meterbook.session import Staging
-from meterbook.sources.parsed import as_parsed, settled
+from meterbook.sources.lines import LogScan
+from meterbook.sources.parsed import as_parsed, refused, settled
 
 # Counter names in both spellings.
 ALIASES = {
@@ -32,26 +33,40 @@ SHAPE = {
 }
 
 
-def extract(lines: DataFrame, staging: Staging | None = None) -> DataFrame:
+def extract(
+    lines: DataFrame,
+    staging: Staging | None = None,
+    scan: LogScan | None = None,
+    rejects: list[DataFrame] | None = None,
+) -> DataFrame:
     """JSONL lines to records."""
     docs = J.read(lines.where(J.may_contain(F.col("value"), "usageMetadata")), SHAPE)
-    return _records(settled(_fields(docs), staging, "gemini"))
+    return _records(refused(settled(_fields(docs), staging, "gemini", scan), rejects))
 
 
-def extract_documents(documents: DataFrame, staging: Staging | None = None) -> DataFrame:
-    """Whole files: an object is line 1, elements of an array are numbered from 1."""
+def extract_documents(
+    documents: DataFrame, staging: Staging | None = None, rejects: list[DataFrame] | None = None
+) -> DataFrame:
+    """Whole files: an object is line 1, elements of an array are numbered from 1.
+
+    A long array is read element by element in the shape of a record; its elements are named by a
+    digest of the file and their place. A file that is neither an object nor an array of objects
+    is refused if it has usage words.
+    """
     first = F.lit(1).cast("bigint").alias("line_number")
-    single = J.read(documents.select("file_path", first, "value"), SHAPE)
-    body = F.regexp_replace("value", r"^\s+|\s+$", "")
-    arrays = documents.where(body.startswith("[")).select(
+    is_array = F.col("value").rlike(r"^\s*\[")
+    is_long = F.octet_length("value") > J.LONG_LINE
+    single = J.read(documents.where(~is_array).select("file_path", first, "value"), SHAPE)
+    arrays = documents.where(is_array & ~is_long).select(
         "file_path", F.concat(F.lit('{"items":'), F.col("value"), F.lit("}")).alias("value")
     )
     items = F.col("doc.items")
     other = lambda e: ~(J.kind(e).startswith("OBJECT") | (J.kind(e) == "VOID"))
+    # An array with an element that is neither an object nor null is not a log at all.
+    read_arrays = J.read(arrays, {"items": "array<variant>"})
+    is_log = F.coalesce(~F.exists(items, other), F.lit(False))
     elements = (
-        J.read(arrays, {"items": "array<variant>"})
-        # An array with an element that is neither an object nor null is not a log at all.
-        .where(~F.exists(items, other))
+        read_arrays.where(is_log)
         .select("file_path", F.posexplode(items).alias("pos", "item"))
         .select(
             "file_path",
@@ -60,8 +75,29 @@ def extract_documents(documents: DataFrame, staging: Staging | None = None) -> D
             F.try_variant_get("item", "$", J.ddl(SHAPE)).alias("doc"),
         )
     )
-    fields = _fields(single).unionByName(_fields(elements))
-    return _records(settled(fields, staging, "documents"))
+    long_arrays = documents.where(is_array & is_long).select(
+        "file_path",
+        F.sha2("value", 256).alias("digest"),
+        J.may_contain(F.col("value"), "usageMetadata").alias("has_words"),
+        F.from_json("value", f"array<{J.ddl(SHAPE)}>", {"maxNestingDepth": "10000"}).alias("items"),
+    )
+    place = (F.col("pos") + 1).cast("bigint")
+    long_elements = long_arrays.select("file_path", "digest", F.posexplode("items").alias("pos", "doc")).select(
+        "file_path",
+        place.alias("line_number"),
+        F.concat_ws(":", "digest", place.cast("string")).alias("value"),
+        "doc",
+    )
+    whole = F.lit(None).cast("bigint").alias("line_number")
+    no_log = read_arrays.where(~is_log & J.may_contain(F.col("value"), "usageMetadata"))
+    no_log = no_log.select("file_path").unionByName(
+        long_arrays.where(F.col("items").isNull() & F.col("has_words")).select("file_path")
+    )
+    if rejects is not None:
+        rejects.append(no_log.select("file_path", whole, F.lit(J.NOT_JSON).alias("reason")))
+    fields = _fields(single).unionByName(_fields(elements)).unionByName(_fields(long_elements))
+    stored = settled(fields, staging, "documents")
+    return _records(refused(stored.where("refusal IS NULL OR has_words"), rejects))
 
 
 def _fields(docs: DataFrame) -> DataFrame:
@@ -80,6 +116,9 @@ def _fields(docs: DataFrame) -> DataFrame:
         "file_path",
         "line_number",
         F.sha2("value", 256).alias("raw_sha256"),
+        # Elements of an array may be null; they are no lines that failed.
+        F.when(F.col("value").rlike(r"^\s*(\{|[^nN\s])"), J.refusal(doc)).alias("refusal"),
+        J.may_contain(F.col("value"), "usageMetadata").alias("has_words"),
         use.isNotNull().alias("has_usage"),
         native_event.alias("native_event"),
         native_message.alias("native_message"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterbook import schema as S
 from meterbook.operators.normalize import with_derived
@@ -12,27 +16,98 @@ from meterbook.session import Staging
 PARTITION = "event_date_utc"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop))
+VERSION = "version"
+
+# Layout of a ledger folder: rows below ``data/version=<id>/event_date_utc=<date>``, and which
+# of these folders count below ``manifests/commit=<n>``. The manifest with the highest number is
+# the ledger. A write puts all its rows into a version of its own and then adds one manifest: the
+# old content stays as it is, readers of it are not disturbed, and rows of a write that failed
+# are in no manifest. Dates that a write does not touch are carried over by name, not copied.
+_MANIFEST = "commit bigint, version string, event_date_utc string"
+
+
+def _path_missing(err: AnalysisException) -> bool:
+    return err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame | None:
+    """All manifests, or None where there is no ledger."""
+    try:
+        return spark.read.schema(_MANIFEST).parquet(f"{path}/manifests")
+    except AnalysisException as err:
+        if _path_missing(err):
+            return None
+        raise
+
+
+def _live(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """Number of the current manifest, and its ``version, event_date_utc`` (one row each)."""
+    manifests = _manifests(spark, path)
+    newest = None if manifests is None else manifests.agg(F.max("commit")).first()[0]
+    if newest is None:
+        return 0, None
+    return newest, manifests.where(F.col("commit") == newest).select(VERSION, PARTITION)
+
+
+def _holds_files(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException as err:
+        if _path_missing(err):
+            return False
+        raise
+
+
+def ledger_version(spark: SparkSession, path: str) -> int:
+    """Number of writes that the ledger has seen; 0 where there is none."""
+    return _live(spark, path)[0]
 
 
 def read_ledger(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The stored table. ``strict`` compares the files' own schema with the expected one."""
-    if not _exists(spark, path):
+    """The stored table as of now; later writes do not change what is returned.
+
+    ``strict`` compares the schema of every file with the expected one.
+    """
+    _, live = _live(spark, path)
+    if live is None:
+        if _holds_files(spark, path) and not _holds_files(spark, f"{path}/data"):
+            raise ValueError(f"ledger schema mismatch: {path} holds files but is no ledger")
         return spark.createDataFrame([], S.STORED_SCHEMA)
-    if strict:
-        found = spark.read.option("partitionOverwriteMode", "dynamic").parquet(path)
-        as_text = found.withColumn(PARTITION, F.col(PARTITION).cast("string"))
-        S.require_conformance(as_text, S.STORED_SCHEMA)
-    return spark.read.schema(S.STORED_SCHEMA).parquet(path)
+    stored = T.StructType([*S.STORED_SCHEMA.fields, T.StructField(VERSION, T.StringType())])
+    try:
+        if strict:
+            found = spark.read.option("mergeSchema", True).parquet(f"{path}/data")
+            as_text = found.drop(VERSION).withColumn(PARTITION, F.col(PARTITION).cast("string"))
+            S.require_conformance(as_text, S.STORED_SCHEMA)
+        rows = spark.read.schema(stored).parquet(f"{path}/data")
+    except AnalysisException as err:
+        if _path_missing(err):
+            return spark.createDataFrame([], S.STORED_SCHEMA)
+        raise
+    except PySparkException as err:
+        if "MERGE" in str(err.getCondition()):
+            raise ValueError(f"ledger schema mismatch: {err}") from err
+        raise
+    # Both are partition columns: folders out of the manifest are pruned, not read.
+    return rows.join(live, [VERSION, PARTITION], "left_semi").select(*S.STORED_SCHEMA.fieldNames())
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
-        return spark.createDataFrame([], S.RUN_SCHEMA)
-    return spark.read.schema(S.RUN_SCHEMA).parquet(path)
+    return _read_log(spark, path, S.RUN_SCHEMA)
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Everything that imports refused, one row per line, record or file."""
+    return _read_log(spark, path, S.REJECT_SCHEMA)
+
+
+def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as err:
+        if _path_missing(err):
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def _partitioned(df: DataFrame) -> DataFrame:
@@ -45,39 +120,60 @@ def _partitioned(df: DataFrame) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_ledger(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def _commit(rows: DataFrame, path: str, replaced: DataFrame | None, expected: int) -> None:
+    """Write ``rows`` as a new version, then the manifest that makes it count.
+
+    ``replaced`` has the dates whose older folders no longer count. One writer at a time: a
+    manifest that another writer has added since ``expected`` was read makes this one fail.
+    """
+    spark = rows.sparkSession
+    version = uuid.uuid4().hex
+    _partitioned(rows.withColumn(VERSION, F.lit(version))).write.mode("append").partitionBy(
+        VERSION, PARTITION
+    ).parquet(f"{path}/data")
+    manifest = spark.createDataFrame([], "version string, event_date_utc string")
+    written = rows.select(F.lit(version).alias(VERSION), PARTITION).distinct()
+    newest, live = _live(spark, path)
+    if newest != expected:
+        raise RuntimeError("another writer has changed the ledger")
+    if live is not None:
+        kept = live if replaced is None else live.join(replaced, PARTITION, "left_anti")
+        manifest = manifest.unionByName(kept.where(F.col(VERSION).isNotNull()))
+    # A row without a version keeps an empty manifest readable.
+    none = spark.createDataFrame([(None, None)], manifest.schema)
+    manifest.unionByName(written).unionByName(none).coalesce(1).write.mode("errorifexists").parquet(
+        f"{path}/manifests/commit={expected + 1}"
+    )
+
+
+def write_ledger(events: DataFrame, path: str) -> None:
     """K1: a new ledger from event rows."""
-    rows = with_derived(events.select(*S.EVENT_COLUMNS))
-    _partitioned(rows).write.mode(mode).partitionBy(PARTITION).parquet(path)
+    if ledger_version(events.sparkSession, path):
+        raise ValueError(f"there is a ledger in {path}")
+    _commit(with_derived(events.select(*S.EVENT_COLUMNS)), path, None, 0)
 
 
 def apply_changes(spark: SparkSession, changes: DataFrame, path: str, staging: Staging) -> None:
-    """K1 after reconcile: rewrite the dates with updated rows, append the rest.
+    """K1 after reconcile: all changes count at once, or none of them.
 
-    The time of an event never changes, so it stays in its date. New content of rewritten
-    dates is staged first: it is complete before the first file of the ledger is touched,
-    and a repeated run finds nothing left to do for rows already written.
+    The time of an event never changes, so it stays in its date. Dates with updated rows are
+    written anew as a whole; dates with new rows only get a further folder.
     """
+    newest = ledger_version(spark, path)
     rows = staging.put(with_derived(changes), "changes")
-    updated = rows.where(F.col("change") == "updated")
-    dates = [r[0] for r in updated.select(PARTITION).distinct().collect()]
+    if rows.isEmpty() and newest:
+        return
     columns = S.STORED_SCHEMA.fieldNames()
-    if dates:
-        old = read_ledger(spark, path, strict=False).where(F.col(PARTITION).isin(dates))
-        kept = old.join(updated.select("event_id"), "event_id", "left_anti").select(*columns)
-        touched = rows.where(F.col(PARTITION).isin(dates)).select(*columns)
-        content = staging.put(kept.unionByName(touched), "rewritten")
-        (
-            _partitioned(content)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PARTITION)
-            .parquet(path)
-        )
-    fresh = rows.where(~F.col(PARTITION).isin(dates)) if dates else rows
-    fresh = fresh.select(*columns)
-    if fresh.take(1):
-        _partitioned(fresh).write.mode("append").partitionBy(PARTITION).parquet(path)
+    updated = rows.where(F.col("change") == "updated")
+    dates = staging.put(updated.select(PARTITION).distinct(), "dates")
+    old = read_ledger(spark, path, strict=False).join(dates, PARTITION, "left_semi")
+    kept = old.join(updated.select("event_id"), "event_id", "left_anti").select(*columns)
+    content = staging.put(kept.unionByName(rows.select(*columns)), "content")
+    _commit(content, path, dates, newest)
+
+
+def append_rejects(rejects: DataFrame, path: str) -> None:
+    rejects.select(*S.REJECT_SCHEMA.fieldNames()).write.mode("append").parquet(path)
 
 
 def append_run(spark: SparkSession, path: str, run: dict) -> DataFrame:
@@ -107,6 +203,8 @@ def export_ledger(
     if redact:
         events = redacted(events)
         log = log.withColumn("error", F.lit(None).cast("string"))
+    if ledger_version(spark, f"{output}/events"):
+        raise ValueError(f"there is a ledger in {output}")
     write_ledger(events, f"{output}/events")
     log.write.mode("errorifexists").parquet(f"{output}/runs")
 

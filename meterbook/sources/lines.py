@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -10,11 +11,6 @@ from pyspark.sql import functions as F
 
 from meterbook.session import Staging
 
-MIB = 1024 * 1024
-# Longest line a log family may have; a longer one voids its file.
-LINE_LIMIT = 10 * MIB
-LINE_LIMIT_CODEX = 64 * MIB
-
 # Directories below a project root that hold no session logs.
 EXCLUDED_DIRS = (
     "logs",
@@ -26,10 +22,6 @@ EXCLUDED_DIRS = (
     "tool-outputs",
 )
 
-# Split tables up to this many rows (about 150 bytes each) are sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
 def plain_path(uri: Column) -> Column:
     """File path without scheme and authority, percent-escapes decoded."""
     path = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
@@ -40,27 +32,59 @@ def _suffix_glob(suffix: str) -> str:
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
-def _reader(spark: SparkSession, suffix: str, grace_minutes: int | None, now: datetime | None):
+def cutoff(grace_minutes: int | None, now: datetime | None = None) -> datetime | None:
+    """Files changed after this moment are left to the next run; taken once per run."""
+    if not grace_minutes:
+        return None
+    moment = now or datetime.now(timezone.utc)
+    return moment.astimezone(timezone.utc) - timedelta(minutes=grace_minutes)
+
+
+def _reader(spark: SparkSession, suffix: str, before: datetime | None):
     reader = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", _suffix_glob(suffix))
         .option("lineSep", "\n")
+        # A file that goes while it is read is found by ``changed_files``.
+        .option("ignoreMissingFiles", True)
     )
-    if grace_minutes:
-        moment = now or datetime.now(timezone.utc)
-        cutoff = moment.astimezone(timezone.utc) - timedelta(minutes=grace_minutes)
-        reader = reader.option("modifiedBefore", cutoff.strftime("%Y-%m-%dT%H:%M:%S"))
+    if before is not None:
+        reader = reader.option("modifiedBefore", before.strftime("%Y-%m-%dT%H:%M:%S"))
         reader = reader.option("timeZone", "UTC")
     return reader
 
 
 @dataclass
 class LogScan:
-    """``lines``: ``(file_path, line_number, value)`` of readable files, empty lines left out;
-    ``files``: ``(file_path, n_lines, longest, readable)``."""
+    """Lines of a scan whose numbers are not yet known.
 
-    lines: DataFrame
-    files: DataFrame
+    ``raw``: ``(file_path, line_number, value)`` without empty lines, where ``line_number`` is the
+    place of the line (split and order within it). ``splits``: lines before each split.
+    """
+
+    raw: DataFrame
+    splits: DataFrame
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """Rows taken from ``raw`` with their line numbers. Rows beyond the counted lines of
+        their split are left out: their file has changed, and ``changed_files`` names it."""
+        place = F.col("line_number")
+        at = F.col("_seq") - F.col("_first_seq")
+        keyed = rows.withColumn("_split", place["split"]).withColumn("_seq", place["seq"])
+        splits = self.splits.select(
+            "file_path",
+            F.col("split").alias("_split"),
+            F.col("first_seq").alias("_first_seq"),
+            F.col("n").alias("_n"),
+            F.col("lines_before").alias("_before"),
+        )
+        found = keyed.join(splits, ["file_path", "_split"]).where((at >= 0) & (at < F.col("_n")))
+        numbers = found.withColumn("line_number", F.col("_before") + at + 1)
+        return numbers.select(*rows.columns)
+
+    @property
+    def lines(self) -> DataFrame:
+        return self.numbered(self.raw)
 
 
 def scan_lines(spark: SparkSession, roots: list[str], suffix: str = ".jsonl", **options) -> DataFrame:
@@ -72,87 +96,77 @@ def scan_logs(
     spark: SparkSession,
     roots: list[str],
     suffix: str = ".jsonl",
-    grace_minutes: int | None = None,
-    now: datetime | None = None,
+    before: datetime | None = None,
     staging: Staging | None = None,
-    line_limit: int = LINE_LIMIT,
+    keep: Callable[[Column], Column] | None = None,
 ) -> LogScan:
-    """Every line below the roots with its number.
+    """Every line below the roots. ``keep`` chooses files by path; others are not read.
 
-    Files changed within ``grace_minutes`` are left to the next run. A file with a line of
-    ``line_limit`` bytes or more is not readable as a whole.
+    No file has to pass through one task: a split is read by one task in order, so a line's
+    place in its split is known locally, and the place of the split in its file comes from the
+    line counts of the splits before it. Lines are parsed first and numbered after that, so
+    only the fields kept are joined with the splits, never the text. Lines of any length count.
     """
-    raw = (
-        _reader(spark, suffix, grace_minutes, now)
-        .text(roots)
-        .select(
-            F.col("_metadata.file_path").alias("uri"),
-            F.col("_metadata.file_block_start").alias("split_start"),
-            F.monotonically_increasing_id().alias("seq"),
-            "value",
-        )
+    path = F.col("_metadata.file_path")
+    read = _reader(spark, suffix, before).text(roots)
+    if keep is not None:
+        # A test on file metadata alone selects files before any is opened.
+        read = read.where(keep(plain_path(path)))
+    raw = read.select(
+        plain_path(path).alias("file_path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
     )
-    return number_lines(raw, staging, line_limit)
-
+    return number_lines(raw, staging)
 
-def number_lines(
-    raw: DataFrame, staging: Staging | None = None, line_limit: int = LINE_LIMIT
-) -> LogScan:
-    """Line numbers from two reads, so that no file has to pass through one task.
 
-    A split is read by one task in order, so a line's place in its split is known locally.
-    The place of the split in its file comes from the line counts of the splits before it:
-    one small row per split.
-    """
-    splits = raw.groupBy("uri", "split_start").agg(
-        F.min("seq").alias("first_seq"),
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.octet_length("value")).alias("split_longest"),
+def number_lines(raw: DataFrame, staging: Staging | None = None) -> LogScan:
+    """A scan from rows ``file_path, split, seq, value``."""
+    splits = raw.groupBy("file_path", "split").agg(
+        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n")
     )
-    whole_file = Window.partitionBy("uri")
-    before = whole_file.orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "uri",
-        "split_start",
-        "first_seq",
-        "n",
-        F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("lines_before"),
-        F.max("split_longest").over(whole_file).alias("longest"),
+    earlier = (
+        Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     )
+    lines_before = F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("bigint"))
+    splits = splits.withColumn("lines_before", lines_before)
     if staging is not None:
-        offsets = staging.put(offsets, "splits")
-    path = plain_path(F.col("uri")).alias("file_path")
-    files = offsets.groupBy("uri").agg(F.sum("n").alias("n_lines"), F.max("longest").alias("longest"))
-    files = files.select(
-        path, "n_lines", "longest", (F.col("longest") < line_limit).alias("readable")
-    )
-    places = offsets.select("uri", "split_start", "first_seq", "lines_before", "longest")
-    if staging is not None and places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    moved = F.col("first_seq").isNull() | (F.col("seq") < F.col("first_seq"))
-    line = F.col("lines_before") + F.col("seq") - F.col("first_seq") + 1
-    checked = F.when(
-        moved, F.raise_error(F.lit("file splits changed between two reads")).cast("bigint")
-    ).otherwise(line)
-    lines = (
-        raw.join(places, ["uri", "split_start"], "left")
-        .where(F.coalesce(F.col("longest") < line_limit, F.lit(True)))
-        .select(
-            path,
-            checked.alias("line_number"),
-            F.regexp_replace("value", "\r$", "").alias("value"),
-        )
-        .where(F.col("value") != "")
-    )
-    return LogScan(lines, files)
+        splits = staging.put(splits, "splits")
+    lines = raw.select(
+        "file_path",
+        F.struct("split", "seq").alias("line_number"),
+        F.regexp_replace("value", "\r$", "").alias("value"),
+    ).where(F.col("value") != "")
+    return LogScan(lines, splits)
+
+
+def file_states(
+    spark: SparkSession,
+    roots: list[str],
+    suffix: str,
+    before: datetime | None = None,
+    keep: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """``file_path, length, changed`` of the files a scan would read; contents are not read."""
+    files = _reader(spark, suffix, before).format("binaryFile").load(roots)
+    path = plain_path(F.col("path"))
+    files = files if keep is None else files.where(keep(path))
+    return files.select(path.alias("file_path"), "length", F.col("modificationTime").alias("changed"))
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``file_path`` of files that grew, shrank, went or were written between two listings."""
+    states = ["file_path", "length", "changed"]
+    return before.select(states).exceptAll(after.select(states)).select("file_path").distinct()
 
 
 def scan_documents(
-    spark: SparkSession, roots: list[str], suffix: str = ".json", grace_minutes: int | None = None
+    spark: SparkSession, roots: list[str], suffix: str = ".json", before: datetime | None = None
 ) -> DataFrame:
     """Whole files as one value each, for families that also write plain JSON documents."""
     return (
-        _reader(spark, suffix, grace_minutes, None)
+        _reader(spark, suffix, before)
         .option("wholetext", True)
         .text(roots)
         .select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value")
@@ -165,7 +179,7 @@ def admitted_below(path: Column, roots: list[str]) -> Column:
     admitted = F.lit(False)
     for root in roots:
         prefix = root.rstrip("/") + "/"
-        dirs = F.split(F.lower(F.substring(path, len(prefix) + 1, 1_000_000)), "/")
+        dirs = F.split(F.lower(F.substr(path, F.lit(len(prefix) + 1))), "/")
         excluded = F.arrays_overlap(F.slice(dirs, 1, F.size(dirs) - 1), names)
         admitted = admitted | (path.startswith(prefix) & ~excluded)
     return admitted
@@ -253,12 +267,9 @@ def preferred_copilot_roots(spark: SparkSession, roots: list[str]) -> list[str]:
     return outermost(list(dict.fromkeys(chosen)))
 
 
-def list_files(
-    spark: SparkSession, roots: list[str], suffix: str, grace_minutes: int | None = None
-) -> DataFrame:
+def list_files(spark: SparkSession, roots: list[str], suffix: str) -> DataFrame:
     """Paths of the files a scan would read; only the listing is read, not the content."""
-    files = _reader(spark, suffix, grace_minutes, None).format("binaryFile").load(roots)
-    return files.select(plain_path(F.col("path")).alias("file_path"))
+    return file_states(spark, roots, suffix).select("file_path")
 
 
 def file_inventory(

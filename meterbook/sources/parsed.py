@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterbook.functions.text import path_parts
 from meterbook.schema import PARSED_SCHEMA
 from meterbook.session import Staging
+from meterbook.sources.lines import LogScan
 
 # Order in which the log families are imported.
 SOURCE_ORDER = ("claude", "codex", "gemini", "copilot", "workbuddy")
@@ -30,13 +31,28 @@ def _raw_digest(df: DataFrame) -> Column | None:
     return F.sha2(F.col("value"), 256) if "value" in df.columns else None
 
 
-def settled(df: DataFrame, staging: Staging | None, name: str) -> DataFrame:
-    """Store freshly parsed fields before they are filtered.
+def settled(
+    df: DataFrame, staging: Staging | None, name: str, scan: LogScan | None = None
+) -> DataFrame:
+    """Store freshly parsed fields before they are filtered, then give them line numbers.
 
     A filter on a parsed value would otherwise move below the projection and parse every
-    line a second time.
+    line a second time. With ``scan``, lines came with their place in the file instead of a
+    number; the few parsed columns are joined with the splits, not the raw text.
     """
-    return df if staging is None else staging.put(df, name)
+    stored = df if staging is None else staging.put(df, name)
+    return stored if scan is None else scan.numbered(stored)
+
+
+def refused(fields: DataFrame, into: list[DataFrame] | None) -> DataFrame:
+    """Move rows with a ``refusal`` out of ``fields``; ``into`` gets them as rejects."""
+    if into is not None:
+        into.append(
+            fields.where(F.col("refusal").isNotNull()).select(
+                "file_path", "line_number", F.col("refusal").alias("reason")
+            )
+        )
+    return fields.where(F.col("refusal").isNull()).drop("refusal")
 
 
 def as_parsed(

@@ -21,7 +21,8 @@ from meterbook.operators.counters import POLICY_COMPATIBLE, POLICY_LEDGER, snaps
 from meterbook.operators.dedupe import deduplicate_messages, first_occurrences
 from meterbook.operators.filters import Filters
 from meterbook.operators.pricing import Costing
-from meterbook.plans.merge import merge_decisions
+from meterbook.plans.ingest import import_logs
+from meterbook.plans.merge import merge_decisions, merge_ledgers
 from meterbook.plans.report import report
 from meterbook.session import Staging, configure
 from meterbook.sources import claude, codex, copilot, gemini, ledger, lines, workbuddy
@@ -561,6 +562,10 @@ def _merge_counts(spark, sf_dir):
 )
 def _batch(spark, sf_dir):
     """Each event four times: as it is, with its model found, as it is again, with other tokens."""
+    return _batch_against(spark, sf_dir, spark.createDataFrame([], S.STORED_SCHEMA))
+
+
+def _batch_against(spark: SparkSession, sf_dir: str, stored: DataFrame) -> DataFrame:
     base = normalize.cleaned(_ledger(spark, sf_dir))
     line = F.col("line")
     found = (line == 1) & (F.col("model_normalized") == "unknown")
@@ -586,8 +591,7 @@ def _batch(spark, sf_dir):
             F.lit(0).cast("bigint").alias("part"),
         ),
     )
-    nothing = spark.createDataFrame([], S.STORED_SCHEMA)
-    outcome = reconcile.reconcile_batch(rows, nothing, Staging(spark, "batch"), 9)
+    outcome = reconcile.reconcile_batch(rows, stored, Staging(spark, "batch"), 9)
     return outcome.decisions.select("event_id", F.col("order_key.line").alias("line"), "status")
 
 
@@ -771,19 +775,22 @@ def _extract_summaries(spark, sf_dir):
 
 @_register(
     "line_scan",
-    f"""SELECT event_id, row_number() OVER (PARTITION BY channel ORDER BY CAST(event_id AS BIGINT)) AS line_number,
- channel FROM ({O.LEDGER})""",
+    f"""SELECT event_id, row_number() OVER (PARTITION BY channel, CAST(event_id AS BIGINT) // 20000
+  ORDER BY CAST(event_id AS BIGINT)) AS line_number, channel FROM ({O.LEDGER})""",
 )
 def _line_scan(spark, sf_dir):
-    """Line numbers of files written from the table, each file read in several splits."""
+    """Line numbers of files written from the table, each file read in several splits.
+
+    A channel has one file for every 20000 event ids, so more events are more files and tasks.
+    """
     staging = Staging(spark, "lines")
-    rows = _ledger(spark, sf_dir).select("channel", "event_id")
+    number = F.col("event_id").cast("bigint")
+    part = F.call_function("div", number, F.lit(20_000)).alias("part")
+    rows = _ledger(spark, sf_dir).select("channel", part, "event_id")
     body = F.to_json(F.struct("event_id", F.repeat(F.lit("x"), 200).alias("pad"))).alias("value")
-    ordered = rows.repartition("channel").sortWithinPartitions(
-        "channel", F.col("event_id").cast("bigint")
-    )
+    ordered = rows.repartition("channel", "part").sortWithinPartitions("channel", "part", number)
     path = f"{staging.root}/logs"
-    ordered.select("channel", body).write.partitionBy("channel").text(path)
+    ordered.select("channel", "part", body).write.partitionBy("channel", "part").text(path)
     scan = lines.scan_lines(spark, [path], suffix=".txt", staging=staging)
     return scan.select(
         F.get_json_object("value", "$.event_id").alias("event_id"),
@@ -1064,6 +1071,192 @@ def _json_report(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
+# Jobs on files written from the tables ----------------------------------------------------
+
+_OUTCOMES = """SELECT '{0}' AS source, CASE WHEN n % 13 = 5 THEN 'not_a_json_object' WHEN n % 17 = 3 THEN 'other'
+ ELSE 'record' END AS outcome, COUNT(*) AS n FROM l WHERE channel = '{0}' GROUP BY 1, 2"""
+
+
+@_register(
+    "line_outcomes",
+    f"WITH l AS (SELECT *, CAST(event_id AS BIGINT) AS n FROM ({O.LEDGER})) "
+    + " UNION ALL ".join(_OUTCOMES.format(c) for c in ("claude", "gemini")),
+)
+def _outcomes(spark, sf_dir):
+    """Every line ends as a record, a reject or a line without usage; some lines are cut short."""
+    staging, out = Staging(spark, "outcomes"), None
+    parts = (
+        ("claude", V.claude_lines, claude.extract),
+        ("gemini", V.gemini_lines, gemini.extract),
+    )
+    for source, lines_of, extract in parts:
+        n = F.col("line_number") - 1
+        value = (
+            F.when(n % 13 == 5, F.substr(F.col("value"), F.lit(1), F.length("value") - 1))
+            .when(n % 17 == 3, F.lit('{"note":"nothing"}'))
+            .otherwise(F.col("value"))
+        )
+        raw = staging.put(lines_of(spark, sf_dir).withColumn("value", value), "raw")
+        bad = []
+        records = extract(raw, staging, None, bad).select("line_number", F.lit("record").alias("outcome"))
+        known = records.unionByName(bad[0].select("line_number", F.col("reason").alias("outcome")))
+        each = raw.join(known, "line_number", "left").select(
+            F.lit(source).alias("source"), F.coalesce("outcome", F.lit("other")).alias("outcome")
+        )
+        out = each if out is None else out.unionByName(each)
+    return out.groupBy("source", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _written_logs(spark: SparkSession, sf_dir: str, staging: Staging) -> str:
+    """Session logs as files: one line per event, every thirteenth cut short."""
+    lines_of = V.claude_lines(spark, sf_dir)
+    cut = F.when(
+        (F.col("line_number") - 1) % 13 == 5, F.substr(F.col("value"), F.lit(1), F.length("value") - 1)
+    ).otherwise(F.col("value"))
+    root = f"{staging.root}/projects"
+    by_user = F.regexp_extract("file_path", "/(p[0-9]+)/", 1).alias("user")
+    lines_of.select(by_user, cut.alias("value")).write.partitionBy("user").text(root)
+    return root
+
+
+_IMPORTED = f"""l AS (SELECT *, CAST(event_id AS BIGINT) AS n FROM ({O.LEDGER}) WHERE channel = 'claude'),
+ c AS (SELECT COUNT(*) FILTER (n % 13 <> 5) AS good, COUNT(*) FILTER (n % 13 = 5) AS bad FROM l)"""
+
+
+def _two_imports(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    staging = Staging(spark, "imports")
+    logs = {"claude": [_written_logs(spark, sf_dir, staging)]}
+    stored, runs = f"{staging.root}/ledger", f"{staging.root}/runs"
+    # The files have Spark's own suffix.
+    for n in (1, 2):
+        import_logs(spark, logs, stored, runs, n, f"run-{n}", grace_minutes=None, suffix=".txt")
+    return stored, runs
+
+
+@_register(
+    "import_twice",
+    f"""WITH {_IMPORTED} SELECT 'run-1' AS id, good AS events_added, 0 AS events_skipped, 0 AS events_rejected,
+ bad || ' rejects; claude not_a_json_object: ' || bad AS error FROM c
+ UNION ALL SELECT 'run-2', 0, good, 0, bad || ' rejects; claude not_a_json_object: ' || bad FROM c""",
+)
+def _import_twice(spark, sf_dir):
+    """The second import of the same files adds nothing."""
+    _, runs = _two_imports(spark, sf_dir)
+    return ledger.read_runs(spark, runs).select(
+        "id", "events_added", "events_skipped", "events_rejected", "error"
+    )
+
+
+@_register(
+    "import_rejects",
+    f"""WITH {_IMPORTED} SELECT run_id, 'claude' AS source, 'not_a_json_object' AS reason, COUNT(*) AS n
+ FROM l, (VALUES ('run-1'), ('run-2')) AS r(run_id) WHERE n % 13 = 5 GROUP BY 1""",
+)
+def _import_rejects(spark, sf_dir):
+    _, runs = _two_imports(spark, sf_dir)
+    rows = ledger.read_rejects(spark, f"{runs}-rejects")
+    # every reject names a line of its own
+    return rows.distinct().groupBy("run_id", "source", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register(
+    "imported_tokens",
+    f"""WITH {_IMPORTED} SELECT timestamp_ms, COUNT(*) AS events, {", ".join(f"CAST(SUM({t}) AS BIGINT) AS {t}" for t in
+ ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"))}
+ FROM l WHERE n % 13 <> 5 GROUP BY 1""",
+)
+def _imported_tokens(spark, sf_dir):
+    stored, _ = _two_imports(spark, sf_dir)
+    sums = [
+        F.sum(t).alias(t)
+        for t in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
+    ]
+    rows = ledger.read_ledger(spark, stored).groupBy("timestamp_ms")
+    return rows.agg(F.count(F.lit(1)).alias("events"), *sums)
+
+
+@_register(
+    "ledger_after_merge",
+    f"""WITH {O.MERGE}, u AS (SELECT l.event_id, CASE WHEN x.status = 'updated' AND d.act = 1 THEN 'acme' ELSE l.provider END
+   AS provider, CASE WHEN x.status = 'updated' AND d.act IN (4, 5) THEN 'gamma-3' ELSE l.model_normalized END
+   AS model_normalized, l.total_tokens, l.turn_id FROM l LEFT JOIN d USING (event_id) LEFT JOIN decided x USING (event_id)
+  UNION ALL SELECT event_id || 'x', provider, model_normalized, total_tokens, turn_id FROM l WHERE n % 3 = 1)
+ SELECT event_id, provider, model_normalized, total_tokens FROM u""",
+)
+def _after_merge(spark, sf_dir):
+    """Both ledgers as files; what the second may change is merged into the first."""
+    staging = Staging(spark, "merged")
+    stored, incoming = f"{staging.root}/first", f"{staging.root}/second"
+    ledger.write_ledger(normalize.cleaned(_ledger(spark, sf_dir)), stored)
+    allowed = _merge(spark, sf_dir).where(F.col("status") != reconcile.REJECTED).select("event_id")
+    ledger.write_ledger(view(spark, sf_dir, "incoming").join(allowed, "event_id", "left_semi"), incoming)
+    merge_ledgers(spark, incoming, stored, 9)
+    columns = ("event_id", "provider", "model_normalized", "total_tokens")
+    return ledger.read_ledger(spark, stored).select(*columns)
+
+
+@_register(
+    "batch_reconcile_stored",
+    f"""WITH l AS (SELECT *, CAST(event_id AS BIGINT) % 2 = 0 AS known FROM ({O.LEDGER}))
+ SELECT event_id, CAST(line AS BIGINT) AS line, CASE WHEN line = 3 THEN 'rejected'
+ WHEN line = 0 THEN CASE WHEN known THEN 'skipped' ELSE 'inserted' END
+ WHEN line = 1 AND model_normalized = 'unknown' THEN 'updated' ELSE 'skipped' END AS status
+ FROM l, (VALUES (0), (1), (2), (3)) AS v(line)""",
+)
+def _batch_stored(spark, sf_dir):
+    """The batch of ``batch_reconcile`` against a ledger that has every second event."""
+    even = F.col("event_id").cast("bigint") % 2 == 0
+    stored = normalize.with_derived(normalize.cleaned(_ledger(spark, sf_dir)).where(even))
+    return _batch_against(spark, sf_dir, stored.select(*S.STORED_SCHEMA.fieldNames()))
+
+
+# Every reason for which an envelope is refused, and what is wrong with the line.
+_FAULTS = f"""WITH {_BUDDY}, f AS (SELECT *, CASE n % 7 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'missing_required_fields'
+ ELSE CASE WHEN reason IS NOT NULL THEN reason WHEN n % 7 = 3 THEN 'invalid_token_details' END END AS why FROM r)"""
+
+
+@_register("refused_reasons", f"{_FAULTS} SELECT n + 1 AS line_number, why AS reason FROM f WHERE why IS NOT NULL")
+def _refused_reasons(spark, sf_dir):
+    n = F.col("line_number") - 1
+    value = (
+        F.when(n % 7 == 1, F.concat(F.col("value"), F.lit("}")))
+        .when(n % 7 == 2, F.regexp_replace("value", '^\\{"id"', '{"idx"'))
+        .when(n % 7 == 3, F.regexp_replace("value", '"reasoning_tokens":[0-9]+', '"reasoning_tokens":99999999999'))
+        .otherwise(F.col("value"))
+    )
+    lines_of = V.workbuddy_lines(spark, sf_dir).withColumn("value", value)
+    _, refused = workbuddy.extract(lines_of, Staging(spark))
+    return refused.select("line_number", "reason")
+
+
+@_register(
+    "extract_gemini_documents",
+    f"""WITH g AS (SELECT *, CAST(event_id AS BIGINT) AS n, split_part(session_key, '-', 2) AS who FROM ({O.LEDGER})
+  WHERE channel = 'gemini')
+ SELECT '/home/.gemini/tmp/' || who || '.json' AS source_file, row_number() OVER (PARTITION BY who ORDER BY n) AS line_number,
+ event_id AS native_event_id, model_raw AS model, input_tokens, output_tokens, reasoning_tokens FROM g""",
+)
+def _gemini_documents(spark, sf_dir):
+    """The lines of a log as the elements of one array per file."""
+    order = F.struct("line_number", "value")
+    files = V.gemini_lines(spark, sf_dir).groupBy(
+        F.regexp_replace("file_path", "jsonl$", "json").alias("file_path")
+    )
+    values = F.transform(F.array_sort(F.collect_list(order)), lambda x: x["value"])
+    whole = files.agg(F.concat(F.lit("[ "), F.concat_ws(",\n", values), F.lit("]\n")).alias("value"))
+    return gemini.extract_documents(whole, Staging(spark)).select(
+        "source_file", "line_number", "native_event_id", "model", "input_tokens", "output_tokens", "reasoning_tokens"
+    )
+
+
+@_register("canonical_totals", f"SELECT event_id, total_tokens AS total FROM ({O.LEDGER})")
+def _canonical_totals(spark, sf_dir):
+    names = ("token_accounting_method", "input_tokens", "output_tokens", "reasoning_tokens")
+    cached = ("cache_creation_tokens", "cache_read_tokens")
+    total = N.canonical_total(*map(F.col, (*names, *cached)))
+    return _ledger(spark, sf_dir).select("event_id", total.alias("total"))
+
+
 # Training-data operators -----------------------------------------------------------------
 # They live in one subpackage and one pipeline module that may be absent as a whole.
 

@@ -31,14 +31,17 @@ from meterbook.sources.parsed import as_parsed
 # Pauses up to this long belong to one burst.
 BURST_PAUSE_MS = 1000
 
-# Why a file is left out.
-NO_PARENT = "parent session is unavailable and no rewritten burst is provable"
-SELF_PARENT = "parent session references the child itself"
-AMBIGUOUS = "ambiguous parent session"
-NO_FORK_TIME = "fork timestamp is unavailable"
-NO_ROW_TIME = "parent replay usage timestamp is unavailable before the fork boundary"
-NO_BURST = " and no rewritten burst is provable"
-UNCOMPARABLE = "non-zero usage cannot be compared with the replay stream"
+# Why a forked log is left out, as codes that can be grouped by.
+#: The log names a parent that is not there, and its first rows do not look like a replay.
+NO_PARENT = "parent_missing"
+#: The log names itself, or several logs answer to the parent's name.
+SELF_PARENT = "parent_is_self"
+AMBIGUOUS = "parent_ambiguous"
+#: Without a time of the fork, or of the parent's rows before it, nobody can tell what was copied.
+NO_FORK_TIME = "fork_time_missing"
+NO_ROW_TIME = "parent_time_missing"
+#: A row in the copied part has usage that no row of the parent can be set against.
+UNCOMPARABLE = "usage_not_comparable"
 
 _FOREVER = 9_223_372_036_854_775_807
 REPLAY_VALUES = ("r_input", "r_cached", "r_output", "r_reasoning", "r_total")
@@ -269,10 +272,7 @@ def plan_children(rows: DataFrame, usage: DataFrame) -> DataFrame:
         F.when(F.col("status") == "self", SELF_PARENT)
         .when(F.col("status") == "ambiguous", AMBIGUOUS)
         .when((F.col("status") == "missing") & no_burst, NO_PARENT)
-        .when(
-            F.col("unavailable").isNotNull() & no_burst,
-            F.concat(F.col("unavailable"), F.lit(NO_BURST)),
-        )
+        .when(no_burst, F.col("unavailable"))
     )
     return (
         plan.withColumn("plan_reason", reason)

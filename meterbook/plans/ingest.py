@@ -51,8 +51,9 @@ def _rejects(source: str, rows: DataFrame) -> DataFrame:
 class _Files:
     """The files of one source, listed before they are read and once more after that."""
 
-    def __init__(self, job: Importer, source: str, roots: list[str], suffix: str = ".jsonl", keep=None):
-        self.job, self.source, self.where = job, source, (roots, suffix, job.before, keep)
+    def __init__(self, job: Importer, source: str, roots: list[str], suffix: str | None = None, keep=None):
+        self.job, self.source = job, source
+        self.where = (roots, suffix or job.suffix, job.before, keep)
         self.listed = job.staging.put(L.file_states(job.spark, *self.where), "files")
         self.count = self.listed.count()
 
@@ -80,11 +81,13 @@ class Importer:
         staging: Staging,
         grace_minutes: int | None = 15,
         duplicate_policy: str = "ledger",
+        suffix: str = ".jsonl",
     ):
         self.spark = spark
         self.staging = staging
         self.before = L.cutoff(grace_minutes)
         self.policy = duplicate_policy
+        self.suffix = suffix
 
     def _roots(self, product: str, roots: list[str]) -> list[str]:
         return L.existing(self.spark, L.discover_roots(self.spark, product, roots))
@@ -150,18 +153,19 @@ def import_logs(
     grace_minutes: int | None = 15,
     duplicate_policy: str = "ledger",
     rejects_path: str | None = None,
+    suffix: str = ".jsonl",
 ) -> ImportResult:
     """Import the given folders. Rejected lines, records and files are never fatal.
 
     Every one of them is a row of the table in ``rejects_path`` (by default beside the run log);
-    the run itself keeps their number and a short text by reason.
+    the run itself keeps their number and a short text by reason. Files of lines end in ``suffix``.
     """
     unknown = set(sources) - set(SOURCE_ORDER)
     if unknown:
         raise ValueError(f"unknown sources {sorted(unknown)}")
     run_id = run_id or uuid.uuid4().hex
     with Staging(spark, "import") as staging:
-        job = Importer(spark, staging, grace_minutes, duplicate_policy)
+        job = Importer(spark, staging, grace_minutes, duplicate_policy, suffix)
         parts = [getattr(job, name)(sources[name]) for name in SOURCE_ORDER if sources.get(name)]
         rejects = spark.createDataFrame([], _REJECT_DDL)
         for more in [r for part in parts for r in part.rejects]:

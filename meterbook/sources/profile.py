@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from datetime import date, timedelta, timezone, datetime
 from fractions import Fraction
 from importlib import resources
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+
 # The only schema and unit of a profile.
 PROFILE_VERSION = 1
 PROFILE_UNIT = "usd_per_1m_tokens"
@@ -58,11 +62,12 @@ class Profile:
 def load_profile(path: str | None = None) -> Profile:
     """The profile at ``path``, or the sample profile of the package."""
     if path and path.strip():
+        # A profile is one small file, wherever Spark can read.
+        spark = SparkSession.builder.getOrCreate()
         try:
-            with open(path, encoding="utf-8") as handle:
-                text = handle.read()
-        except OSError as err:
-            raise ProfileError(f"cannot read pricing profile: {err}") from err
+            text = spark.read.text(path, wholetext=True).first()[0]
+        except (AnalysisException, TypeError) as err:
+            raise ProfileError(f"no price profile can be read from {path}") from err
     else:
         text = resources.files("meterbook").joinpath("prices.json").read_text("utf-8")
     return parse_profile(text)
@@ -72,7 +77,7 @@ def parse_profile(text: str) -> Profile:
     try:
         raw = json.loads(text, parse_float=str, parse_int=str)
     except ValueError as err:
-        raise ProfileError(f"cannot parse pricing profile: {err}") from err
+        raise ProfileError(f"the price profile is not JSON: {err}") from err
     _check(raw)
     defaults = raw.get("defaults") or {}
     ordered = sorted(raw["rules"], key=lambda r: -int(r.get("priority") or 0))
@@ -95,18 +100,18 @@ def _rate(value) -> Fraction | None:
     try:
         return Fraction(text.replace(" ", ""))
     except (ValueError, ZeroDivisionError) as err:
-        raise ProfileError(f"invalid pricing rate {text!r}") from err
+        raise ProfileError(f"{text!r} is no rate") from err
 
 
 def _day(name: str, value) -> date | None:
     if not value or not str(value).strip():
         return None
     if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", value):
-        raise ProfileError(f"{name} must use YYYY-MM-DD")
+        raise ProfileError(f"{name}: {value!r} is no day")
     try:
         return date.fromisoformat(value)
     except ValueError as err:
-        raise ProfileError(f"{name} must use YYYY-MM-DD") from err
+        raise ProfileError(f"{name}: {value!r} is no day") from err
 
 
 def _utc_ms(day: date | None) -> int | None:
@@ -115,48 +120,69 @@ def _utc_ms(day: date | None) -> int | None:
     return int(datetime(day.year, day.month, day.day, tzinfo=timezone.utc).timestamp() * 1000)
 
 
+# What a profile must look like, as a table: where, field, kind, and whether it must be there.
+_FIELDS = (
+    ("profile", "id", "text", True),
+    ("profile", "currency", "text", True),
+    ("profile", "checked_at", "day", False),
+    ("profile", "rules", "list", True),
+    ("source", "checked_at", "day", False),
+    ("rule", "id", "text", True),
+    ("rule", "model_patterns", "list", True),
+    ("rule", "effective_from", "day", False),
+    ("rule", "effective_to", "day", False),
+    ("rule", "as_of", "day", False),
+)
+
+
+def _field_problems(where: str, name: str, entry: dict) -> list[str]:
+    problems = []
+    for place, key, kind, needed in _FIELDS:
+        if place != where:
+            continue
+        value = entry.get(key)
+        if kind == "day":
+            try:
+                _day(key, value)
+            except ProfileError:
+                problems.append(f"{name}: {key} is no calendar day like 2024-01-31")
+        elif needed and not (value if kind == "list" else _filled(value)):
+            problems.append(f"{name}: {key} is missing or empty")
+    return problems
+
+
+def _rule_problems(rule: dict, name: str) -> list[str]:
+    problems = _field_problems("rule", name, rule)
+    if not problems:
+        span = [_day("", rule.get(key)) for key in ("effective_from", "effective_to")]
+        if all(span) and span[0] > span[1]:
+            problems.append(f"{name}: it ends before it starts")
+    rates = rule.get("rates") or {}
+    if any(rates.get(r) is not None for r in UNSUPPORTED_RATES):
+        problems.append(f"{name}: it has a rate for something that events do not report")
+    known = [r for r in (_rate(rates.get(n)) for n in RATE_NAMES) if r is not None]
+    if not known:
+        problems.append(f"{name}: it prices no kind of token")
+    if any(r < 0 for r in known):
+        problems.append(f"{name}: a rate is below zero")
+    return problems
+
+
 def _check(raw: dict) -> None:
+    """Refuse a profile with all that is wrong with it."""
     if not isinstance(raw, dict) or str(raw.get("schema_version")) != str(PROFILE_VERSION):
-        raise ProfileError("unsupported pricing schema_version")
-    for name in ("id", "currency"):
-        if not _filled(raw.get(name)):
-            raise ProfileError(f"pricing profile {name} is required")
+        raise ProfileError(f"only price profiles of schema version {PROFILE_VERSION} can be read")
+    problems = _field_problems("profile", "profile", raw)
     if _filled(raw.get("unit")).strip() != PROFILE_UNIT:
-        raise ProfileError("unsupported pricing unit")
-    _day("checked_at", raw.get("checked_at"))
-    for source in raw.get("sources") or []:
-        _day("source.checked_at", source.get("checked_at"))
-    rules = raw.get("rules") or []
-    if not rules:
-        raise ProfileError("pricing profile must contain at least one rule")
-    seen: set[str] = set()
-    for rule in rules:
-        rule_id = rule.get("id")
-        if not _filled(rule_id):
-            raise ProfileError("pricing rule id is required")
-        if rule_id in seen:
-            raise ProfileError(f"duplicate pricing rule id {rule_id!r}")
-        seen.add(rule_id)
-        _check_rule(rule)
-
-
-def _check_rule(rule: dict) -> None:
-    name = f"pricing rule {rule['id']!r}"
-    if not rule.get("model_patterns"):
-        raise ProfileError(f"{name} must include model_patterns")
-    start = _day(f"{name} effective_from", rule.get("effective_from"))
-    end = _day(f"{name} effective_to", rule.get("effective_to"))
-    _day(f"{name} as_of", rule.get("as_of"))
-    if start and end and start > end:
-        raise ProfileError(f"{name} effective_from must not be after effective_to")
-    rates = rule.get("rates") or {}
-    if any(rates.get(r) is not None for r in UNSUPPORTED_RATES):
-        raise ProfileError(f"{name} uses an unsupported rate")
-    known = [_rate(rates.get(r)) for r in RATE_NAMES]
-    if all(r is None for r in known):
-        raise ProfileError(f"{name} must include at least one token rate")
-    if any(r is not None and r < 0 for r in known):
-        raise ProfileError(f"{name} contains a negative rate")
+        problems.append(f"profile: unit must be {PROFILE_UNIT}")
+    for n, source in enumerate(raw.get("sources") or [], 1):
+        problems += _field_problems("source", f"source {n}", source)
+    ids = [rule.get("id") for rule in raw.get("rules") or []]
+    for n, rule in enumerate(raw.get("rules") or [], 1):
+        problems += _rule_problems(rule, f"rule {rule.get('id') or n}")
+    problems += [f"rule {i}: its id is used {k} times" for i, k in Counter(ids).items() if k > 1 and i]
+    if problems:
+        raise ProfileError("; ".join(problems))
 
 
 def _creation_rate(rates: dict, assumption: str) -> Fraction | None:

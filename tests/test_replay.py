@@ -120,7 +120,7 @@ def test_named_fork_cases(run):
     assert reasons == {
         "gone": replay.NO_PARENT,
         "self": replay.SELF_PARENT,
-        "untimed": replay.NO_FORK_TIME + replay.NO_BURST,
+        "untimed": replay.NO_FORK_TIME,
         "stuck": replay.UNCOMPARABLE,
     }
     assert counters["codex_fork_files"][0] == 12

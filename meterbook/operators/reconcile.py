@@ -285,14 +285,13 @@ def matching(stored: DataFrame, ids: DataFrame) -> DataFrame:
     """Stored rows with one of the ids.
 
     Only ``event_id`` and the date are read from all partitions; full rows are read from
-    the dates that hold a match. The list of dates is bounded by the age of the ledger.
+    the dates that hold a match, which prune the partitions while the query runs.
     """
-    ids = ids.distinct()
     if "event_date_utc" not in stored.columns:
         return stored.join(ids, "event_id", "left_semi")
     hits = stored.select("event_id", "event_date_utc").join(ids, "event_id", "left_semi")
-    dates = [r[0] for r in hits.select("event_date_utc").distinct().collect()]
-    return stored.where(F.col("event_date_utc").isin(dates)).join(ids, "event_id", "left_semi")
+    dates = hits.select("event_date_utc").distinct()
+    return stored.join(dates, "event_date_utc", "left_semi").join(ids, "event_id", "left_semi")
 
 
 def conflict_summary(decisions: DataFrame) -> DataFrame:

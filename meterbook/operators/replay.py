@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterbook import schema as S
@@ -225,15 +225,19 @@ def _ambiguous_forks(
             F.lit(_FOREVER).alias("hi"),
         )
     )
-    # Open-ended intervals of one session id reduce to the earliest.
-    merged = intervals.unionByName(timeless).groupBy("parent_id", "hi").agg(F.min("lo").alias("lo"))
-    inside = several.alias("c").join(
-        merged.alias("i"),
-        (F.col("c.parent_id") == F.col("i.parent_id"))
-        & (F.col("i.lo") <= F.col("c.fork_ts"))
-        & (F.col("c.fork_ts") < F.col("i.hi")),
-        "left_semi",
-    )
+    # A fork lies in an interval if the latest end among intervals begun by then is still to come:
+    # one running maximum per session id instead of children times intervals.
+    merged = intervals.unionByName(timeless).groupBy("parent_id", "lo").agg(F.max("hi").alias("hi"))
+    none = F.lit(None)
+    marks = merged.select("parent_id", F.col("lo").alias("at"), "hi", none.cast("string").alias("file_path"))
+    forks = several.select("parent_id", F.col("fork_ts").alias("at"), none.cast("bigint").alias("hi"), "file_path")
+    begun = (
+        Window.partitionBy("parent_id")
+        .orderBy("at", F.col("file_path").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    latest = marks.unionByName(forks).withColumn("end", F.max("hi").over(begun))
+    inside = latest.where(F.col("file_path").isNotNull() & (F.col("at") < F.col("end")))
     untimed = several.where(F.col("fork_ts") <= 0)
     return inside.select("file_path").unionByName(untimed.select("file_path")).distinct()
 

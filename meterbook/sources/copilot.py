@@ -51,6 +51,24 @@ SESSION_ATTRIBUTES = (
     "github.copilot.interaction_id",
 )
 
+# Attributes that are read at all.
+WANTED = frozenset(
+    (
+        *[n for names in SPAN_COUNTERS.values() for n in names],
+        *SESSION_ATTRIBUTES,
+        "event.name",
+        "name",
+        "traceId",
+        "spanContext.traceId",
+        "spanId",
+        "spanContext.spanId",
+        "gen_ai.response.id",
+        "gen_ai.request.id",
+        "gen_ai.response.model",
+        "gen_ai.request.model",
+    )
+)
+
 # Counter names of a session summary in all spellings.
 SUMMARY_COUNTERS = {
     "raw_input": ("inputTokens", "input_tokens"),
@@ -106,7 +124,10 @@ SESSION_SHAPE = {
 
 
 def attribute_map(value: Column) -> Column:
-    """Attributes given as an object, or as a list of ``{key, value}``, as one map."""
+    """Attributes given as an object, or as a list of ``{key, value}``, as one map.
+
+    Only attributes that are read later stay, each without its type wrapper.
+    """
     empty = F.create_map().cast(ATTRIBUTE_MAP)
     entries = F.filter(
         F.try_variant_get(value, "$", "array<struct<key:variant,value:variant>>"),
@@ -117,7 +138,15 @@ def attribute_map(value: Column) -> Column:
             entries, lambda e: F.struct(e["key"].try_cast("string").alias("k"), e["value"].alias("v"))
         )
     )
-    return F.coalesce(F.try_variant_get(value, "$", ATTRIBUTE_MAP), as_list, empty)
+    every = F.coalesce(F.try_variant_get(value, "$", ATTRIBUTE_MAP), as_list, empty)
+    return F.transform_values(
+        F.map_filter(every, lambda k, v: k.isin(*WANTED)), lambda k, v: _unwrapped(v)
+    )
+
+
+def _unwrapped(value: Column) -> Column:
+    wrapper = F.try_variant_get(value, "$", J.ddl(J.leaves(*VALUE_WRAPPERS)))
+    return F.coalesce(*[wrapper[w] for w in VALUE_WRAPPERS], value)
 
 
 def _all_attributes(doc: Column) -> Column:
@@ -130,10 +159,9 @@ def _all_attributes(doc: Column) -> Column:
 
 
 def _attribute(name: str) -> Column:
-    """Value of an attribute without its type wrapper, from the map ``attrs``."""
-    value = F.try_element_at(F.col("attrs"), F.lit(name))
-    wrapper = F.try_variant_get(value, "$", J.ddl(J.leaves(*VALUE_WRAPPERS)))
-    return F.coalesce(*[wrapper[w] for w in VALUE_WRAPPERS], value)
+    """Value of an attribute, from the map ``attrs``; the name must be in ``WANTED``."""
+    assert name in WANTED, name
+    return F.try_element_at(F.col("attrs"), F.lit(name))
 
 
 def _attribute_text(name: str) -> Column:

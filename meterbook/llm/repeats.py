@@ -25,6 +25,8 @@ windows of one anchor.
 Bloom filters of at most 64 MiB keep documents that are not affected out of the two joins; when
 they fill up, more texts shuffle, at most all.
 
+Words are split on bytes: ``bytes.split`` knows exactly space and U+0009 to U+000D.
+
 Ids must be integers. Defined cases: null, empty and shorter texts keep all their words; a null id
 is after every other id; rows that repeat an id are the same document and are not repeats of
 each other; an empty table gives an empty result; other columns are not read.
@@ -32,7 +34,6 @@ each other; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -49,7 +50,6 @@ GRAM = 5
 SHARD_SEGMENTS = 4_000
 _LAST = (1 << 63) - 1
 _PROBES = 4
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _chosen(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int):
@@ -165,41 +165,60 @@ def _of_keys(keyed: DataFrame, keys: DataFrame):
     return test(F.col("key"))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and the flattened fields of a column of lists of structs."""
+    fields = column.flatten().flatten()
+    offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
+    return offsets, [f.to_numpy(zero_copy_only=False) for f in fields]
+
+
 def _segments(affected: DataFrame, window: int) -> DataFrame:
     """``deal, doc, key, start, stop, segment``; without a segment the span is known to recur."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["deal", "doc", "key", "start", "stop", "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, least = [], {}
-            for doc, key, text, anchors in zip(*(c.to_pylist() for c in batch.columns)):
-                found = _WORD.findall(text)
-                for a in anchors:
-                    start, stop = a["start"], a["start"] + a["more"] + window
-                    segment = " ".join(found[start:stop])
-                    same = (a["anchor"], segment)
-                    least[same] = min(least.get(same, doc), doc)
-                    rows.append((doc, key, start, stop, same))
-            out = [
-                (same[0], doc, key, start, stop, same[1])
-                if doc == least[same]
-                else (key, doc, key, start, stop, None)
-                for doc, key, start, stop, same in rows
-            ]
-            columns = list(zip(*out)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    schema = "deal bigint, doc bigint, key bigint, start int, stop int, segment string"
+            offsets, (anchors, starts, more) = _lists(batch.column(3))
+            each = np.diff(offsets)
+            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each)
+            keys = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), each)
+            stops = starts + more + window
+            spans = list(zip(starts.tolist(), stops.tolist()))
+            segments = []
+            for text, a, b in zip(batch.column(2).cast(pa.binary()), offsets.tolist(), offsets[1:].tolist()):
+                found = text.as_py().split()
+                segments += [b" ".join(found[i:j]) for i, j in spans[a:b]]
+            least: dict = {}
+            same = list(zip(anchors.tolist(), segments))
+            for place, doc in zip(same, docs.tolist()):
+                if least.setdefault(place, doc) > doc:
+                    least[place] = doc
+            speaks = np.fromiter((least[place] == doc for place, doc in zip(same, docs.tolist())), bool, len(same))
+            columns = [np.where(speaks, anchors, keys), docs, keys, starts, stops]
+            arrays = [pa.array(c).cast(t) for c, t in zip(columns, kinds)]
+            texts = [s if own else None for s, own in zip(segments, speaks.tolist())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, kinds[5])], names)
+
+    schema = "deal bigint, doc bigint, key bigint, start int, stop int, segment binary"
     return affected.select("doc", "key", "text", "anchors").mapInArrow(run, schema)
 
 
+class _Letters(dict):
+    """A letter for every word, given out in order."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        letter = self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return letter
+
+
 class Shard:
     """Segments in order of anchor and document, and the windows seen of the open anchor."""
 
     def __init__(self, window: int):
         self.window = window
-        self.letters: dict[str, str] = {}
+        self.letters = _Letters()
         self.first: dict[str, int] = {}
         self.segments: list[tuple[int, int, int, str]] = []
 
@@ -207,16 +226,8 @@ class Shard:
         self.letters.clear()
         self.first.clear()
 
-    def add(self, doc: int, key: int, start: int, segment: str) -> None:
-        letters = self.letters
-        written = []
-        for word in segment.split(" "):
-            letter = letters.get(word)
-            if letter is None:
-                n = len(letters) + 1
-                letter = letters[word] = chr(n if n < 0xD800 else n + 0x800)
-            written.append(letter)
-        self.segments.append((doc, key, start, "".join(written)))
+    def add(self, doc: int, key: int, start: int, segment: bytes) -> None:
+        self.segments.append((doc, key, start, "".join(map(self.letters.__getitem__, segment.split(b" ")))))
 
     def spans(self) -> Iterator[tuple[int, int, int]]:
         """``key, start, stop`` of all words to remove, and the segments are done."""
@@ -279,26 +290,36 @@ def _located(segments: DataFrame, window: int, shard_segments: int) -> DataFrame
     return dealt.mapInArrow(run, "key bigint, start int, stop int")
 
 
-def _kept(rows: DataFrame, kind: str) -> DataFrame:
+def _whole(rows: DataFrame) -> DataFrame:
+    """Texts that keep all their words: white space becomes single blanks."""
+    kept = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    blanks = F.length(kept) - F.length(F.replace(kept, F.lit(" "), F.lit("")))
+    n_words = F.when(kept == "", 0).otherwise(blanks + 1).cast("bigint")
+    return rows.select(
+        "doc_id", n_words.alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), kept.alias("kept_text")
+    )
+
+
+def _cut(rows: DataFrame, kind: str) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` from ``doc_id, text, spans``."""
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, removed, texts = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                found = _WORD.findall(text.as_py() or "")
+            for text, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
+                found = text.as_py().split()
+                keep = np.ones(len(found), bool)
+                for s in spans.as_py() or ():
+                    keep[s["start"] : s["stop"]] = False
+                kept = [found[i] for i in np.flatnonzero(keep).tolist()]
                 totals.append(len(found))
-                spans = spans.as_py()
-                if spans:
-                    keep = np.ones(len(found), bool)
-                    for s in spans:
-                        keep[s["start"] : s["stop"]] = False
-                    found = [found[i] for i in np.flatnonzero(keep)]
-                removed.append(totals[-1] - len(found))
-                texts.append(" ".join(found))
-            columns = [batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_text"])
+                removed.append(len(found) - len(kept))
+                texts.append(b" ".join(kept))
+            columns = [pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
+            columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
+            names = ["doc_id", "n_words", "n_removed", "kept_text"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     return rows.select("doc_id", "text", "spans").mapInArrow(run, schema)
 
@@ -322,6 +343,5 @@ def without_repeats(
 
     by_row = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     hit = _of_keys(keyed, spans.select("key").distinct())
-    whole = keyed.where(~hit).withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
-    cut = keyed.where(hit).join(by_row, "key", "left")
-    return _kept(whole, kind).unionByName(_kept(cut, kind))
+    whole = _whole(keyed.where(~hit))
+    return whole.unionByName(_cut(keyed.where(hit).join(by_row, "key", "left"), kind))

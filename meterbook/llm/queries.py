@@ -134,9 +134,7 @@ def _uuid_sql(name: str) -> str:
 
 def _warc_sql() -> str:
     """The same records in SQL; numeric references do not occur in the given pages."""
-    text = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
-    for name in warc.INVISIBLE:
-        text = rf"regexp_replace({text}, '<{name}\b.*?</{name}\s*>', '', 'gis')"
+    text = f"regexp_replace(html, '{warc.HIDDEN}', '', 'gis')"
     text = rf"regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g')"
     text = rf"regexp_replace({text}, '</?(?:{'|'.join(warc.BLOCKS)})\b[^>]*>', chr(10), 'gi')"
     text = f"regexp_replace({text}, '<[/!?A-Za-z][^>]*>', '', 'g')"

@@ -27,6 +27,8 @@ CAPTURED = "2024-01-01T00:00:00Z"
 
 # Elements that hold no visible text, elements that break lines, named references.
 INVISIBLE = ("script", "style", "noscript", "template")
+#: Comments and invisible elements, whichever begins first.
+HIDDEN = "|".join([r"<!--.*?-->", *[rf"<{name}\b.*?</{name}\s*>" for name in INVISIBLE]])
 BLOCKS = (
     "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html body li main nav ol p pre section table td th title tr ul"
@@ -83,10 +85,9 @@ def _numeric_references(text: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in INVISIBLE:
-        text = F.regexp_replace(text, rf"(?is)<{name}\b.*?</{name}\s*>", "")
-    text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
+    text = F.regexp_replace(html, f"(?is){HIDDEN}", "")
+    # single blanks, the usual case, are left alone
+    text = F.regexp_replace(text, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[/!?A-Za-z][^>]*>", "")
     text = _numeric_references(text)

@@ -15,13 +15,13 @@ PAGES = [
     "word " * 100_000,
     "<title>open",
     "<!-- open <p>x",
+    "<script>'<!--'</script>seen<!-- <script> -->too",
 ]
 
 
 def visible(page):
-    text = re.sub(r"<!--.*?-->", "", page or "", flags=re.S)
-    for name in W.INVISIBLE:
-        text = re.sub(rf"<{name}\b.*?</{name}\s*>", "", text, flags=re.S | re.I)
+    hidden = [rf"<{name}\b.*?</{name}\s*>" for name in ("script", "style", "noscript", "template")]
+    text = re.sub("|".join(["<!--.*?-->", *hidden]), "", page or "", flags=re.S | re.I)
     text = re.sub(r"[ \t\r\n\f]+", " ", text)
     text = re.sub(rf"</?({'|'.join(W.BLOCKS)})\b[^>]*>", "\n", text, flags=re.I)
     text = re.sub(r"<[/!?A-Za-z][^>]*>", "", text)

@@ -19,6 +19,8 @@ input.
 Hot groups are reduced before every shuffle: of anchors that several documents of a batch share,
 one is dealt by anchor and the others are known to be live; of equal segments of a batch, those
 of all documents but the smallest are known to recur as a whole. Known rows are dealt by document.
+An anchor with very many segments, as at the edge of a passage that a third of all documents hold,
+is dealt window by window, by a hash of the window's words.
 A shard forgets its words at the end of an anchor, so a worker holds one shard, or the distinct
 windows of one anchor.
 
@@ -34,6 +36,7 @@ each other; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -48,6 +51,9 @@ from meterbook.session import Staging
 WINDOW = 13
 GRAM = 5
 SHARD_SEGMENTS = 4_000
+#: An anchor is hot above this many rows, and above one ``HOT_SHARE``-th of all.
+HOT_ROWS = 2_000
+HOT_SHARE = 1_000
 _LAST = (1 << 63) - 1
 _PROBES = 4
 
@@ -172,7 +178,25 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return offsets, [f.to_numpy(zero_copy_only=False) for f in fields]
 
 
-def _segments(affected: DataFrame, window: int) -> DataFrame:
+def _hot_anchors(live: DataFrame) -> np.ndarray:
+    """Anchors with more rows than one task should get, sorted; at most ``HOT_SHARE`` of them."""
+    most = max(HOT_ROWS, live.count() // HOT_SHARE)
+    rows = live.groupBy("anchor").count().where(F.col("count") > most).collect()
+    return np.sort(np.array([r.anchor for r in rows], np.int64))
+
+
+def _windows_of_hot(hot, offsets, anchors, starts, more):
+    """Every segment of a hot anchor as its single windows."""
+    is_hot = np.isin(anchors, hot)
+    times = np.where(is_hot, more + 1, 1)
+    at = np.repeat(np.arange(len(anchors)), times)
+    first = np.append(0, np.cumsum(times))
+    inside = np.arange(len(at)) - first[at]
+    hot_rows = is_hot[at]
+    return first[offsets], anchors[at], starts[at] + inside, np.where(hot_rows, 0, more[at]), hot_rows
+
+
+def _segments(affected: DataFrame, window: int, hot) -> DataFrame:
     """``deal, doc, key, start, stop, segment``; without a segment the span is known to recur."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["deal", "doc", "key", "start", "stop", "segment"]
@@ -180,6 +204,7 @@ def _segments(affected: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, (anchors, starts, more) = _lists(batch.column(3))
+            offsets, anchors, starts, more, by_window = _windows_of_hot(hot.value, offsets, anchors, starts, more)
             each = np.diff(offsets)
             docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each)
             keys = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), each)
@@ -195,7 +220,10 @@ def _segments(affected: DataFrame, window: int) -> DataFrame:
                 if least.setdefault(place, doc) > doc:
                     least[place] = doc
             speaks = np.fromiter((least[place] == doc for place, doc in zip(same, docs.tolist())), bool, len(same))
-            columns = [np.where(speaks, anchors, keys), docs, keys, starts, stops]
+            deal = anchors.copy()
+            for i in np.flatnonzero(by_window).tolist():
+                deal[i] = int.from_bytes(hashlib.blake2b(segments[i], digest_size=8).digest(), "little", signed=True)
+            columns = [np.where(speaks, deal, keys), docs, keys, starts, stops]
             arrays = [pa.array(c).cast(t) for c, t in zip(columns, kinds)]
             texts = [s if own else None for s, own in zip(segments, speaks.tolist())]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, kinds[5])], names)
@@ -339,7 +367,8 @@ def without_repeats(
     live = staging.put(_live(_anchors(keyed, window, gram)), "live")
     anchors = live.groupBy("key").agg(F.collect_set(F.struct("anchor", "start", "more")).alias("anchors"))
     affected = keyed.where(_of_keys(keyed, live.select("key").distinct())).join(anchors, "key")
-    spans = staging.put(_located(_segments(affected, window), window, shard_segments), "spans")
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(live))
+    spans = staging.put(_located(_segments(affected, window, hot), window, shard_segments), "spans")
 
     by_row = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     hit = _of_keys(keyed, spans.select("key").distinct())

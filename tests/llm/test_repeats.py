@@ -47,8 +47,12 @@ def corpus(seed):
     return rows + rows[:4]
 
 
-@pytest.mark.parametrize("seed, window, gram, shard", [(1, 13, 5, 4000), (2, 13, 5, 7), (3, 6, 2, 1), (4, 13, 13, 50)])
-def test_every_row_against_all_windows(spark, seed, window, gram, shard):
+@pytest.mark.parametrize(
+    "seed, window, gram, shard, hot",
+    [(1, 13, 5, 4000, 2000), (2, 13, 5, 7, 20), (3, 6, 2, 1, 0), (4, 13, 13, 50, 2000)],
+)
+def test_every_row_against_all_windows(spark, monkeypatch, seed, window, gram, shard, hot):
+    monkeypatch.setattr(R, "HOT_ROWS", hot)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, key string, doc int")

@@ -7,9 +7,10 @@ of its host, followed by the start of its path. Candidates are tested against a
 filter (one 64-bit word per block, four bits set per key); only hits reach the exact join, which
 removes the false positives. The longest matching key wins.
 
-Everything is DataFrame work. The filter is collected as at most ``max_blocks`` longs; a longer
-rule list shares the blocks and lets more candidates through to the join, which stays exact. The
-rule list itself is joined by Spark's own choice of strategy and is never broadcast by hint.
+Everything is DataFrame work. The filter is collected as at most ``max_blocks`` longs (8 MiB, for
+about ten million rules) and becomes one binary literal; a longer rule list shares the blocks and
+lets more candidates through to the join, which stays exact. The rule list itself is joined by
+Spark's own choice of strategy and is never broadcast by hint.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; a row without a
 matching rule gets rule null and verdict ``allow``; rows that repeat are judged each; two rules
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
-MAX_BLOCKS = 1 << 16
+MAX_BLOCKS = 1 << 20
 _PROBES = 4
 
 
@@ -74,13 +75,19 @@ def rule_table(rules: DataFrame) -> DataFrame:
 
 
 def _filter_words(rules: DataFrame, blocks: int) -> Column:
-    """The blocks of the Bloom filter as one array."""
-    words = dict(
-        rules.groupBy(_block(F.col("rule"), blocks).alias("block"))
-        .agg(F.bit_or(_mask(F.col("rule"))).alias("word"))
-        .collect()
+    """The blocks of the Bloom filter, eight bytes each, as one literal."""
+    words = bytearray(8 * blocks)
+    rows = rules.groupBy(_block(F.col("rule"), blocks).alias("block")).agg(
+        F.bit_or(_mask(F.col("rule"))).alias("word")
     )
-    return F.array(*[F.lit(words.get(b, 0)).cast("bigint") for b in range(blocks)])
+    for r in rows.collect():  # at most one row per block
+        words[8 * r.block : 8 * r.block + 8] = r.word.to_bytes(8, "big", signed=True)
+    return F.lit(words)
+
+
+def _may_be_listed(key: Column, words: Column, blocks: int) -> Column:
+    word = F.hex(F.substr(words, _block(key, blocks) * 8 + 1, F.lit(8)))
+    return F.conv(word, 16, -10).cast("bigint").bitwiseAND(_mask(key)) == _mask(key)
 
 
 def _candidates(shapes: list, host: Column, path: Column) -> Column:
@@ -109,7 +116,7 @@ def verdicts(pages: DataFrame, rules: DataFrame, max_blocks: int = MAX_BLOCKS) -
         "hits",
         F.filter(
             _candidates(shapes, F.col("host"), F.col("path")),
-            lambda k: F.get(words, _block(k, blocks)).bitwiseAND(_mask(k)) == _mask(k),
+            lambda k: _may_be_listed(k, words, blocks),
         ),
     )
     passed = tested.where(F.size("hits") == 0).select(

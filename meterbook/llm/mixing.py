@@ -40,7 +40,7 @@ from meterbook.session import Staging
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 CAP = 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 MAX_SOURCES = 100_000
 _ONE = 1 << 30  # fixed-point rate of one copy
 _MAX_STEPS = 60

@@ -43,7 +43,7 @@ def brute_rates(sizes, target):
     return np.exp(np.minimum(low * sizes / unit, math.log(2)))
 
 
-@pytest.mark.parametrize("bucket_rows", [20_000, 100])
+@pytest.mark.parametrize("bucket_rows", [4_000, 100])
 def test_rates_copies_and_reruns(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
     data = rows()

@@ -197,9 +197,13 @@ def _windows_of_hot(hot, offsets, anchors, starts, more):
 
 
 def _segments(affected: DataFrame, window: int, hot) -> DataFrame:
-    """``deal, doc, key, start, stop, segment``; without a segment the span is known to recur."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["deal", "doc", "key", "start", "stop", "segment"]
+    """``deal, doc, key, starts, words, segment``: where a document has a segment of so many words.
+
+    Without a segment the spans are known to recur. A document that repeats a segment gives one
+    row with all its places.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    names = ["deal", "doc", "key", "starts", "words", "segment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +212,8 @@ def _segments(affected: DataFrame, window: int, hot) -> DataFrame:
             each = np.diff(offsets)
             docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each)
             keys = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), each)
-            stops = starts + more + window
-            spans = list(zip(starts.tolist(), stops.tolist()))
+            sizes = (more + window).tolist()
+            spans = list(zip(starts.tolist(), (starts + more + window).tolist()))
             segments = []
             for text, a, b in zip(batch.column(2).cast(pa.binary()), offsets.tolist(), offsets[1:].tolist()):
                 found = text.as_py().split()
@@ -219,16 +223,18 @@ def _segments(affected: DataFrame, window: int, hot) -> DataFrame:
             for place, doc in zip(same, docs.tolist()):
                 if least.setdefault(place, doc) > doc:
                     least[place] = doc
-            speaks = np.fromiter((least[place] == doc for place, doc in zip(same, docs.tolist())), bool, len(same))
-            deal = anchors.copy()
+            deal = anchors.tolist()
             for i in np.flatnonzero(by_window).tolist():
                 deal[i] = int.from_bytes(hashlib.blake2b(segments[i], digest_size=8).digest(), "little", signed=True)
-            columns = [np.where(speaks, deal, keys), docs, keys, starts, stops]
-            arrays = [pa.array(c).cast(t) for c, t in zip(columns, kinds)]
-            texts = [s if own else None for s, own in zip(segments, speaks.tolist())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, kinds[5])], names)
-
-    schema = "deal bigint, doc bigint, key bigint, start int, stop int, segment binary"
+            rows: dict = {}
+            for place, doc, key, to, (start, _), size in zip(same, docs.tolist(), keys.tolist(), deal, spans, sizes):
+                row = (to, doc, key, size, place[1]) if least[place] == doc else (key, doc, key, size, None)
+                rows.setdefault(row, []).append(start)
+            to, doc, key, size, text = list(zip(*rows)) or [()] * 5
+            columns = [to, doc, key, list(rows.values()), size, text]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    schema = "deal bigint, doc bigint, key bigint, starts array<int>, words int, segment binary"
     return affected.select("doc", "key", "text", "anchors").mapInArrow(run, schema)
 
 
@@ -248,14 +254,14 @@ class Shard:
         self.window = window
         self.letters = _Letters()
         self.first: dict[str, int] = {}
-        self.segments: list[tuple[int, int, int, str]] = []
+        self.segments: list[tuple[int, int, list[int], str]] = []
 
     def forget(self) -> None:
         self.letters.clear()
         self.first.clear()
 
-    def add(self, doc: int, key: int, start: int, segment: bytes) -> None:
-        self.segments.append((doc, key, start, "".join(map(self.letters.__getitem__, segment.split(b" ")))))
+    def add(self, doc: int, key: int, starts: list[int], segment: bytes) -> None:
+        self.segments.append((doc, key, starts, "".join(map(self.letters.__getitem__, segment.split(b" ")))))
 
     def spans(self) -> Iterator[tuple[int, int, int]]:
         """``key, start, stop`` of all words to remove, and the segments are done."""
@@ -271,18 +277,18 @@ class Shard:
             for phrase, owner in phrases.items():
                 automaton.add_word(phrase, owner)
             automaton.make_automaton()
-            for doc, key, start, text in self.segments:
-                begin = end = None
+            for doc, key, starts, text in self.segments:
+                found: list[list[int]] = []
                 for at, owner in automaton.iter(text):
                     if owner >= doc:
                         continue
-                    if begin is None or at - w + 1 > end:
-                        if begin is not None:
-                            yield key, start + begin, start + end
-                        begin = at - w + 1
-                    end = at + 1
-                if begin is not None:
-                    yield key, start + begin, start + end
+                    if found and at - w + 1 <= found[-1][1]:
+                        found[-1][1] = at + 1
+                    else:
+                        found.append([at - w + 1, at + 1])
+                for start in starts if found else ():
+                    for begin, end in found:
+                        yield key, start + begin, start + end
         self.segments = []
 
 
@@ -299,9 +305,9 @@ def _located(segments: DataFrame, window: int, shard_segments: int) -> DataFrame
 
         for batch in batches:
             out: list = []
-            for deal, doc, key, start, stop, segment in zip(*(c.to_pylist() for c in batch.columns)):
+            for deal, doc, key, starts, size, segment in zip(*(c.to_pylist() for c in batch.columns)):
                 if segment is None:
-                    out.append((key, start, stop))
+                    out += [(key, start, start + size) for start in starts]
                     continue
                 if len(shard.segments) >= shard_segments:
                     out += shard.spans()
@@ -310,7 +316,7 @@ def _located(segments: DataFrame, window: int, shard_segments: int) -> DataFrame
                 elif not shard.segments and deal != last:
                     shard.forget()
                 last = deal
-                shard.add(doc, key, start, segment)
+                shard.add(doc, key, starts, segment)
             yield batch_of(out)
         yield batch_of(list(shard.spans()))
 

@@ -7,9 +7,12 @@ documents. Near copies among the labelled rows (equal minimum hashes of word shi
 so the words of a text that was copied often are not taken for markers.
 
 Matching. The lexicon is a trie. Its words of five letters or more are met with one error, of ten
-or more with two. The Levenshtein automaton of every word is intersected with the trie as one
-automaton over sets of (trie node, errors), determined lazily: a text word costs one lookup per
-letter and most end after a few. Letters written as digits or signs are read back first.
+or more with two. Stems are met with the errors of their own length, and a misspelt stem must go
+on, as the words it was learned from do. A stem tolerates less than its longer words, so the cover
+keeps the words and stems under a chosen stem whose misspellings it does not meet. The Levenshtein
+automaton of every word is intersected with the trie as one automaton over sets of (trie node,
+errors), determined lazily: a text word costs one lookup per letter and most end after a few.
+Letters written as digits or signs are read back first.
 
 Context. Around each hit a window of words is scored: quotation marks around the hit and verbs of
 reporting speak for quotation, second-person words for abuse. A hit's class is (term, exact or
@@ -82,15 +85,15 @@ def errors_allowed(length: int) -> int:
 class Automaton:
     """Levenshtein automata of all words of a lexicon, intersected with its trie.
 
-    A state maps trie nodes to the fewest errors with which they are reached; stems met without
-    error are kept in the state for the rest of the word. ``match`` gives ``(term, errors)``.
+    A state maps trie nodes to the fewest errors with which they are reached; the stem met with the
+    fewest errors is kept in the state for the rest of the word. ``match`` gives ``(term, errors)``.
     """
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.children: list[dict[str, int]] = [{}]
         self.word, self.stem, self.reach = [None], [None], [0]
         for n, (text, is_stem) in enumerate(terms):
-            allowed = 0 if is_stem else errors_allowed(len(text))
+            allowed = errors_allowed(len(text))
             node, path = 0, [0]
             for ch in text:
                 if ch not in self.children[node]:
@@ -104,12 +107,17 @@ class Automaton:
             (self.stem if is_stem else self.word)[node] = n
             for step in path:
                 self.reach[step] = max(self.reach[step], allowed)
-        self.allowed = [0 if s else errors_allowed(len(t)) for t, s in terms]
+        self.allowed = [errors_allowed(len(t)) for t, _ in terms]
         self.ids: dict = {}
         self.states, self.moves, self.results = [], [], []
         self.start = self._state({0: 0}, None)
 
-    def _state(self, nodes: dict[int, int], stem: int | None) -> int:
+    def _stem(self, nodes: dict[int, int], most: int) -> tuple[int, int] | None:
+        """``errors, term`` of the stem reached with the fewest errors, at most ``most``."""
+        ends = [(e, t) for n, e in nodes.items() if (t := self.stem[n]) is not None and e <= min(most, self.allowed[t])]
+        return min(ends, default=None)
+
+    def _state(self, nodes: dict[int, int], stem: tuple[int, int] | None) -> int:
         todo = list(nodes.items())
         while todo:  # a letter of the term left out of the text
             node, errors = todo.pop()
@@ -117,8 +125,8 @@ class Automaton:
                 if errors < self.reach[child] and errors + 1 < nodes.get(child, 99):
                     nodes[child] = errors + 1
                     todo.append((child, errors + 1))
-        if stem is None:
-            stem = next((self.stem[n] for n, e in nodes.items() if not e and self.stem[n] is not None), None)
+        if stem is None or stem[0]:
+            stem = self._stem(nodes, 0) or stem
         key = (frozenset(nodes.items()), stem)
         if key not in self.ids:
             self.ids[key] = len(self.states)
@@ -130,13 +138,16 @@ class Automaton:
                 if (t := self.word[n]) is not None and e <= self.allowed[t]
             ]
             best = min(ends, default=None)
-            if stem is not None and (best is None or best[0]):
-                best = (0, 0, stem)
+            if stem is not None and (best is None or best[0] > stem[0]):
+                best = (stem[0], 0, stem[1])
             self.results.append(best and (best[2], best[0]))
         return self.ids[key]
 
     def _move(self, state: int, ch: str) -> int:
         nodes, stem = self.states[state]
+        if stem is None or stem[0]:  # the word goes on after a misspelt stem
+            met = self._stem(nodes, 99)
+            stem = met if stem is None or met and met[0] < stem[0] else stem
         then: dict[int, int] = {}
 
         def reach(node: int, errors: int) -> None:
@@ -333,15 +344,35 @@ def _cover(sample: DataFrame, candidates: list, least: float, share: float) -> l
         chosen.append((text.rstrip("*"), text.endswith("*")))
         for i in holders[best]:
             need[i] -= 1
-        holders = {t: h for t, h in holders.items() if t != best and not _covered(candidates[t][0], chosen[-1])}
+        under = {t for t in holders if t != best and _under(candidates[t][0], chosen[-1])}
+        # stems first: they may meet the misspellings of the words
+        for t in sorted(under, key=lambda t: (not candidates[t][0].endswith("*"), len(candidates[t][0]), t)):
+            term = candidates[t][0].rstrip("*"), candidates[t][0].endswith("*")
+            if not any(_covered(term, other) for other in chosen):
+                chosen.append(term)
+        holders = {t: h for t, h in holders.items() if t != best and t not in under}
     return chosen
 
 
-def _covered(term: str, chosen: tuple[str, bool]) -> bool:
+def _under(term: str, chosen: tuple[str, bool]) -> bool:
+    """Does the chosen term explain the rows of this one as well?"""
     text, stem = chosen
     return stem and term.startswith(text) or not stem and term.endswith("*") and text.startswith(term[:-1])
 
 
+def _covered(term: tuple[str, bool], chosen: tuple[str, bool]) -> bool:
+    """Does the chosen term meet the other in all spellings that are tolerated?
+
+    A stem that goes with a chosen whole word is dropped, as the word is the better marker.
+    """
+    (text, is_stem), (other, other_stem) = term, chosen
+    if term == chosen or not other_stem:
+        return term == chosen or is_stem and other.startswith(text)
+    allowed = errors_allowed(len(text))
+    longer = len(text) > len(other) and allowed <= errors_allowed(len(other))
+    return text.startswith(other) and (not allowed or longer)
+
+
 def _logit(p: float) -> float:
     p = min(max(p, 1e-4), 1 - 1e-4)
     return math.log(p / (1 - p))

@@ -41,6 +41,45 @@ def test_stems_and_forms():
     assert hits[""] is None and hits["--"] is None
 
 
+def test_stems_with_errors_against_edit_distance():
+    terms = [("abcde", True), ("idiot", True), ("idio", True), ("idiot", False), ("bcdeabcd", True)]
+    automaton = T.Automaton(terms)
+    rng = random.Random(3)
+    words = ["ldiots", "iidiots", "idiiotic", "ldiot", "idot", "idio", "idit", "ldio", "abxdex", "abcd", "abcdx"]
+    words += ["".join(rng.choice("abcdeiot") for _ in range(rng.randrange(3, 12))) for _ in range(3000)]
+    words += [t[:i] + "x" + t[i + 1 :] + e for t, _ in terms for i in range(len(t)) for e in ("", "s", "abx")]
+    for w in words:
+        fits = []
+        for t, is_stem in terms:
+            if not is_stem:
+                fits += [d for d in [distance(w, t)] if d <= T.errors_allowed(len(t))]
+                continue
+            ends = range(len(w) + 1)
+            fits += [d for i in ends if (d := distance(w[:i], t)) <= T.errors_allowed(len(t)) and (not d or i < len(w))]
+        got = automaton.match(w)
+        assert (got and got[1]) == min(fits, default=None), w
+
+
+def test_misspellings_inside_a_chosen_stem(spark):
+    rng = random.Random(5)
+    prose = ["".join(rng.choice("bcdfghklmn") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    docs, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(prose) for _ in range(rng.randrange(20, 60))]
+        if i % 6 == 0:
+            words[3] = words[9] = rng.choice(["idiot", "idiot", "idiots", "idiocy", "idioot"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0), 1))
+    docs += [(2000 + n, " ".join([*prose[:10], w, *prose[10:20]])) for n, w in enumerate(["ldiot", "iidiot", "idio", "idiocy"])]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = T.learn(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int, quality int"))
+    assert ("idio", True) in model.terms
+    automaton = T.Automaton(model.terms)
+    assert all(automaton.match(w) for w in ("ldiot", "iidiot", "idxot", "idiocy"))
+    score = {r.doc_id: r.toxicity for r in T.scored(docs, model).where("doc_id >= 2000").collect()}
+    assert min(score[2000], score[2001], score[2003]) >= 0.5
+
+
 def test_context():
     quoted = 'he said “what an idiot you are” to them'.split()
     assert T.context_score(quoted, quoted.index("idiot")) < 0

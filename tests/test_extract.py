@@ -1,5 +1,7 @@
 """Extraction cases per log family."""
 
+import json
+
 import pytest
 from meterbook.sources import claude, copilot, gemini, workbuddy
 
@@ -179,3 +181,28 @@ def test_copilot_sessions(lines_of, staging):
     assert rows[3].project_path == "/a" and rows[3].input_tokens == 6 and rows[3].total_tokens == 10
     assert (rows[5].native_session_id, rows[5].project_path) == ("D", "/b")
     assert rows[5].identity_subkey == "line:5|gpt-4.1"
+
+
+def test_documents_of_a_large_user_stay_small(spark, monkeypatch):
+    import __spark_entry__ as E
+
+    numbers = [1, 8, 20_000, 20_001, 45_001, 45_002]
+    rows = [
+        (f"/home/.gemini/tmp/{who}.jsonl", n, json.dumps({"eventId": f"{who}-{n}", "usageMetadata": {"promptTokenCount": n}}))
+        for who in ("a", "b")
+        for n in numbers
+    ]
+    logs = spark.createDataFrame(rows, "file_path string, line_number bigint, value string")
+    monkeypatch.setattr(E.V, "gemini_lines", lambda *_: logs)
+    documents, extract = [], gemini.extract_documents
+
+    def extracted(whole, *rest):
+        documents.extend(len(json.loads(r.value)) for r in whole.collect())
+        return extract(whole, *rest)
+
+    monkeypatch.setattr(E.gemini, "extract_documents", extracted)
+    got = E._gemini_documents(spark, "").select("source_file", "line_number", "native_event_id").collect()
+    assert sorted(documents) == [1, 1, 2, 2, 3, 3]
+    assert sorted(map(tuple, got)) == [
+        (f"/home/.gemini/tmp/{who}.json", n, f"{who}-{i}") for who in ("a", "b") for n, i in enumerate(numbers, 1)
+    ]

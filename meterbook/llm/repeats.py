@@ -77,8 +77,14 @@ def _chosen(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     return row[first], grams[at[first]], start[first] - bounds[row[first]], more
 
 
+def _radix(window: int, gram: int) -> int:
+    """A code is ``(start * radix + more) * 2 + live``; ``more`` is at most ``window - gram``."""
+    return max(window - gram + 1, 1)
+
+
 def _anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     """``deal, key, code``: dealt by anchor, or by row where the anchor is already known to be live."""
+    radix = _radix(window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +92,7 @@ def _anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
             found = []
             for first, hashes, bounds in words.hashed_words(batch.column(1)):
                 row, anchor, start, more = _chosen(hashes, bounds, window, gram)
-                found.append((keys[row + first], anchor.view(np.int64), start * 32 + more * 2))
+                found.append((keys[row + first], anchor.view(np.int64), (start * radix + more) * 2))
             if not found:
                 continue
             key, anchor, code = (np.concatenate(c) for c in zip(*found))
@@ -112,7 +118,7 @@ def _anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     return keyed.select("key", "text").mapInArrow(run, "deal bigint, key bigint, code bigint, anchor bigint")
 
 
-def _live(anchors: DataFrame) -> DataFrame:
+def _live(anchors: DataFrame, radix: int) -> DataFrame:
     """``key, anchor, start, more`` of every anchor met in two rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +127,7 @@ def _live(anchors: DataFrame) -> DataFrame:
 
         def out(key, anchor, code) -> pa.RecordBatch:
             code = np.asarray(code, np.int64)
-            columns = [np.asarray(key, np.int64), np.asarray(anchor, np.int64), code // 32, code % 32 // 2]
+            columns = [np.asarray(key, np.int64), np.asarray(anchor, np.int64), code // 2 // radix, code // 2 % radix]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         for batch in batches:
@@ -370,7 +376,7 @@ def without_repeats(
         F.xxhash64("doc_id", "text").alias("key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    live = staging.put(_live(_anchors(keyed, window, gram)), "live")
+    live = staging.put(_live(_anchors(keyed, window, gram), _radix(window, gram)), "live")
     anchors = live.groupBy("key").agg(F.collect_set(F.struct("anchor", "start", "more")).alias("anchors"))
     affected = keyed.where(_of_keys(keyed, live.select("key").distinct())).join(anchors, "key")
     hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(live))

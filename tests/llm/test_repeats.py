@@ -64,3 +64,11 @@ def test_empty_table(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     assert R.without_repeats(df.limit(0)).collect() == []
     assert tuple(R.without_repeats(df).first()) == (1, 1, 0, "a")
+
+
+@pytest.mark.parametrize("window, gram", [(50, 5), (22, 6)])
+def test_windows_much_longer_than_their_grams(spark, window, gram):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = R.without_repeats(df.repartition(6), window, gram).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, window)

@@ -3,8 +3,9 @@
 Lexicon. Whole words and word stems that mark toxic documents are learned from labelled rows: a
 term must be far more frequent in toxic documents than chance allows (likelihood ratio, corrected
 for the number of terms), and a greedy cover keeps the few terms that together explain the toxic
-documents. Near copies among the labelled rows (equal minimum hashes of word shingles) count once,
-so the words of a text that was copied often are not taken for markers.
+documents. Labelled rows of one label that are near copies count once, so the words of a text that
+was copied often are not taken for markers. Two rows are near copies if the exact Jaccard similarity
+of their five-word shingles is 0.8 or more; of rows linked by a chain of these the least id stays.
 
 Matching. The lexicon is a trie. Its words of five letters or more are met with one error, of ten
 or more with two. Stems are met with the errors of their own length, and a misspelt stem must go
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterbook.llm import words
+from meterbook.llm import jaccard_join
 from meterbook.session import Staging
 
 MAX_LABELLED = 20_000
@@ -234,29 +235,18 @@ def held_out(doc_id: Column) -> Column:
 
 def _sampled(docs: DataFrame, labels: DataFrame, max_labelled: int, staging: Staging) -> DataFrame:
     """``text, toxic`` of labelled rows: about ``max_labelled``, chosen by hash of the id, each
-    text once and near copies once."""
+    text once and near copies of one label once."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
     known = known.agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_labelled / max(known.count(), 1))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
-    @F.arrow_udf("array<bigint>")
-    def minima(column: pa.Array) -> pa.Array:
-        rows = []
-        for _, hashes, bounds in words.hashed_words(column, lower=True):
-            for a, b in zip(bounds, bounds[1:]):
-                shingles = words.shingle_set(hashes[a:b], 5)
-                salted = [words.mix(shingles ^ np.uint64(salt)) for salt in (1, 2, 3)]
-                rows.append([int(x.min().view(np.int64)) for x in salted] if len(shingles) else [0, 0, 0])
-        return pa.array(rows, pa.list_(pa.int64()))
-
     # at most about max_labelled narrow rows, by the line above
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = staging.put(joined.select("doc_id", "text", "toxic", minima("text").alias("minima")), "labelled")
-    keys = rows.select("doc_id", F.posexplode("minima").alias("n", "value"))
-    first = keys.groupBy("n", "value").agg(F.min("doc_id").alias("first"))
-    copies = keys.join(first, ["n", "value"]).where("doc_id > first").select("doc_id").distinct()
-    return rows.join(copies, "doc_id", "left_anti").select("text", "toxic").distinct()
+    rows = staging.put(joined.select("doc_id", "text", "toxic"), "labelled")
+    toxic = F.col("toxic") != 0
+    kept = [jaccard_join.representatives(rows.where(same)) for same in (toxic, ~toxic)]
+    return kept[0].unionByName(kept[1]).select("text", "toxic").distinct()
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:

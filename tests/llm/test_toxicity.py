@@ -149,3 +149,19 @@ def test_without_labels_or_rows(corpus):
     assert T.scored(docs.limit(3).drop("toxicity"), none).where("toxicity >= 0.5").isEmpty()
     assert T.clean(docs.limit(0), labels).collect() == []
     assert T.clean(docs.limit(0), labels).columns == docs.columns
+
+
+def test_only_near_copies_of_one_label_leave_the_sample(spark):
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, copied = prose(40), prose(100)
+    shared = [(i, " ".join(passage + prose(40)), i % 2) for i in range(60)]
+    copies = [(100 + i, " ".join([*copied[:-1], f"end{i}"]), i % 2) for i in range(20)]
+    odd = [(200, None, 0), (201, "", 1), (202, " ", 1), (203, "two words", 0)]
+    rows = shared + copies + odd
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t, 1) for i, _, t in rows], "doc_id bigint, toxic int, quality int")
+    with T.Staging(spark, "test") as staging:
+        got = T._sampled(docs, labels, 10_000, staging).collect()
+    want = [(t, y) for _, t, y in shared + copies[:2] + odd]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

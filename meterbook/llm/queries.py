@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterbook.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, repeats, token_count, toxicity, url_filter, warc
+from meterbook.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    packing,
+    repeats,
+    token_count,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -198,3 +210,20 @@ def op3_jaccard_join(spark, sf_dir):
 def op9_substring_dedup(spark, sf_dir):
     kept = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query()
+def op13_best_fit_packing(spark, sf_dir):
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pieces(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+    # the digest is taken before packing, so that the ids need not be staged
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(digests).select(
+        "doc_id",
+        "piece",
+        "start",
+        F.col("length").cast("bigint").alias("length"),
+        "ids_crc32",
+        "sequence_id",
+        F.col("offset").cast("bigint").alias("offset"),
+    )

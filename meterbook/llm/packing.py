@@ -262,7 +262,8 @@ def _numbered(rows: DataFrame, capacity: int) -> DataFrame:
             arrays = [*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "length", "part", "nth"])
 
-    schema = T.StructType(rows.schema.fields).add("part", "int").add("nth", "bigint")
+    more = [T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())]
+    schema = T.StructType([*rows.schema.fields, *more])
     return rows.mapInArrow(number, schema)
 
 

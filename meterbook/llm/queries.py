@@ -13,6 +13,7 @@ from meterbook.llm import (
     jaccard_join,
     mixing,
     packing,
+    ranked,
     repeats,
     token_count,
     toxicity,
@@ -227,3 +228,31 @@ def op13_best_fit_packing(spark, sf_dir):
         "sequence_id",
         F.col("offset").cast("bigint").alias("offset"),
     )
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS_SQL = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@_query(
+    f"""WITH d AS (SELECT doc_id, {_TERMS_SQL} AS t FROM documents),
+ c AS (SELECT count(*) AS big_n, CAST(sum(len(t)) AS BIGINT) AS big_l FROM d WHERE len(t) > 0),
+ q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+ p AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf
+  FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+ w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, c GROUP BY term),
+ x AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // big_l))) AS impact
+  FROM p, c),
+ s AS (SELECT item_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN x USING (term) JOIN w USING (term)
+  GROUP BY item_id, doc_id),
+ r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0)
+ SELECT * FROM r WHERE rank <= 10"""
+)
+def op11_ranked_search(spark, sf_dir):
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)

@@ -19,6 +19,7 @@ from meterbook.llm import (
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 
 QUERIES = {}
@@ -256,3 +257,21 @@ _TERMS_SQL = (
 )
 def op11_ranked_search(spark, sf_dir):
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+@_query()
+def op12_embedding_whitening(spark, sf_dir):
+    result = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    n, explained = (result.model.centre.n, result.model.explained) if result.model else (0, [])
+    shares = F.array(*map(F.lit, explained)).cast("array<double>")
+    return result.vectors.select(
+        "vec_id", F.col("deviation").cast("bigint").alias("deviation"), F.posexplode("whitened").alias("at", "whitened")
+    ).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(result.identity_error).alias("identity_error"),
+    )

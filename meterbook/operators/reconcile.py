@@ -5,6 +5,7 @@ All rows must have passed ``normalize.cleaned``: blank text is NULL, names are t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -200,10 +201,15 @@ def pair_with_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def reconcile_batch(
-    incoming: DataFrame, stored: DataFrame, staging: Staging, now_ms: int
+    incoming: DataFrame,
+    stored: DataFrame | Callable[[DataFrame], DataFrame],
+    staging: Staging,
+    now_ms: int,
 ) -> Reconciled:
     """R2: apply a batch in arrival order, also where it names one event many times.
 
+    ``stored`` is the stored table, or gives its rows for a table of ids.
+
     Fields of a stored event only ever go from missing to known, so an event changes at
     most once per fillable field however many rows name it. Each round judges all open
     rows against the current version, keeps the verdicts up to the first row that changes
@@ -223,8 +229,9 @@ def reconcile_batch(
         F.col("reject_code").alias("code"),
     )
     good = ranked(incoming.where(F.col("reject_code").isNull()).drop("reject_code"), "inc")
+    ids = good.select("event_id")
     known = staging.put(
-        matching(stored, good.select("event_id")).select("event_id", event_struct().alias("cur")),
+        (stored(ids) if callable(stored) else matching(stored, ids)).select("event_id", event_struct().alias("cur")),
         "known",
     )
     firsts = staging.put(

@@ -174,13 +174,10 @@ def import_logs(
             records = parts[0].records
             for part in parts[1:]:
                 records = records.unionByName(part.records)
-            events = validated(as_events(records, now_ms))
-            stored = ledger.read_ledger(spark, ledger_path)
-            outcome = reconcile.reconcile_batch(events, stored, staging, now_ms)
-            decisions = staging.put(outcome.decisions, "decisions")
+            events = staging.put(validated(as_events(records, now_ms)), "events")
+            decisions = import_events(events, ledger_path, staging, now_ms)
             counts = reconcile.status_counts(decisions).first().asDict()
             rejects = rejects.unionByName(rejected_records(decisions))
-            ledger.apply_changes(spark, outcome.changes, ledger_path, staging)
         else:
             counts = dict.fromkeys(("added", "updated", "skipped", "rejected"), 0)
         rejects = staging.put(rejects.select(F.lit(run_id).alias("run_id"), "*"), "rejects")
@@ -204,6 +201,29 @@ def import_logs(
     return ImportResult(run, diagnostics, n_rejects)
 
 
+def import_events(events: DataFrame, ledger_path: str, staging: Staging, now_ms: int) -> DataFrame:
+    """R2 of checked events against the ledger as it is, written back; the decisions.
+
+    Only stored dates that hold one of the ids are read, found by the index. If another writer
+    gets in between and has changed one of these events, all is judged anew.
+    """
+    spark = events.sparkSession
+    for _ in range(ledger.ATTEMPTS - 1):
+        try:
+            return _reconciled_once(events, ledger.snapshot(spark, ledger_path), staging, now_ms)
+        except ledger.LedgerConflict:
+            continue
+    return _reconciled_once(events, ledger.snapshot(spark, ledger_path), staging, now_ms)
+
+
+def _reconciled_once(events: DataFrame, base: ledger.Snapshot, staging: Staging, now_ms: int) -> DataFrame:
+    outcome = reconcile.reconcile_batch(events, base.matching, staging, now_ms)
+    decisions = staging.put(outcome.decisions, "decisions")
+    ids = events.select("event_id").where(F.col("event_id").isNotNull())
+    ledger.apply_changes(base.spark, outcome.changes, base.path, staging, base, ids)
+    return decisions
+
+
 def rejected_records(decisions: DataFrame) -> DataFrame:
     """Records that validation or reconcile refused."""
     names = F.array(*[F.lit(s) for s in SOURCE_ORDER])

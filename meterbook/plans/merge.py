@@ -19,7 +19,7 @@ class MergeConflict(ValueError):
 
     def __init__(self, conflicts: list[tuple[str, int]]):
         total = sum(n for _, n in conflicts)
-        super().__init__(f"merge refused: {total} incompatible events {conflicts}")
+        super().__init__(f"{total} events do not fit the stored ones, by code {conflicts}; nothing is merged")
         self.conflicts = conflicts
 
 
@@ -54,13 +54,20 @@ def merge_ledgers(
     spark: SparkSession, incoming_path: str, ledger_path: str, now_ms: int
 ) -> MergeResult:
     if incoming_path.rstrip("/") == ledger_path.rstrip("/"):
-        raise ValueError("cannot merge a ledger into itself")
+        raise ValueError(f"source and target of a merge are the same ledger {ledger_path}")
+    for attempt in range(1, ledger.ATTEMPTS + 1):
+        try:
+            return _merged_once(spark, incoming_path, ledger_path, now_ms)
+        except ledger.LedgerConflict:
+            if attempt == ledger.ATTEMPTS:
+                raise
+
+
+def _merged_once(spark: SparkSession, incoming_path: str, ledger_path: str, now_ms: int) -> MergeResult:
     with Staging(spark, "merge") as staging:
-        incoming = ledger.read_ledger(spark, incoming_path)
-        known = reconcile.matching(
-            ledger.read_ledger(spark, ledger_path), incoming.select("event_id")
-        )
-        decisions = merge_decisions(incoming, known, now_ms, staging)
+        incoming, base = ledger.read_ledger(spark, incoming_path), ledger.snapshot(spark, ledger_path)
+        ids = incoming.select("event_id")
+        decisions = merge_decisions(incoming, base.matching(ids), now_ms, staging)
         conflicts = [(r["code"], r["count"]) for r in reconcile.conflict_summary(decisions).collect()]
         if conflicts:
             raise MergeConflict(conflicts)
@@ -69,5 +76,5 @@ def merge_ledgers(
             F.coalesce("merged", "inc").alias("e"), status.alias("change")
         )
         counts = reconcile.status_counts(decisions).first()
-        ledger.apply_changes(spark, changes.select("e.*", "change"), ledger_path, staging)
+        ledger.apply_changes(spark, changes.select("e.*", "change"), ledger_path, staging, base, ids)
     return MergeResult(counts["added"], counts["updated"], counts["skipped"])

@@ -5,14 +5,15 @@ import os
 
 import pytest
 from meterbook import schema as S
-from meterbook.operators import metrics, quality
+from meterbook.operators import metrics, normalize, quality
 from meterbook.operators.filters import Filters
 from meterbook.plans.ingest import import_logs
 from meterbook.plans.merge import MergeConflict, merge_ledgers
-from meterbook.sources import ledger
+from meterbook.sources import keyindex, ledger, store
 from meterbook.sources import lines as L
 from meterbook.streaming.incremental import follow
 from pyspark.sql import functions as F
+from testviews import view
 
 
 def write(root, path, *rows):
@@ -171,19 +172,15 @@ def test_old_content_stays_until_the_manifest_is_written(spark, logs, tmp_path,
     more = rows.withColumn("event_id", F.concat("event_id", F.lit("x")))
     filled = rows.withColumn("turn_id", F.lit("T")).withColumn("content_sha256", F.lit("new"))
     ledger.write_ledger(filled.unionByName(more), f"{tmp_path}/second")
-    live = ledger._live
-    calls = []
 
-    def broken(*args):
-        calls.append(args)
-        if len(calls) == 5:  # after the rows are written, before the manifest is
-            raise OSError("lost")
-        return live(*args)
+    def lost(*args):  # after the rows are written, before the manifest is
+        raise OSError("lost")
 
-    monkeypatch.setattr(ledger, "_live", broken)
+    publish = store.publish
+    monkeypatch.setattr(store, "publish", lost)
     with pytest.raises(OSError):
         merge_ledgers(spark, f"{tmp_path}/second", path, 2)
-    monkeypatch.setattr(ledger, "_live", live)
+    monkeypatch.setattr(store, "publish", publish)
     assert ledger.ledger_version(spark, path) == 1
     same = ledger.read_ledger(spark, path)
     assert same.count() == count and same.where("turn_id = 'T'").isEmpty()
@@ -201,6 +198,125 @@ def test_another_writer_is_noticed(spark, logs, tmp_path, monkeypatch):
     assert ledger.read_ledger(spark, path).count() == 3
 
 
+def three_events(spark):
+    events = view(spark, "/root/testdata/sf0.001", "ledger").where("event_id IN ('1', '2', '3')")
+    return normalize.cleaned(events)
+
+
+def more_events(spark, rows, suffix, **changes):
+    """Rows under other ids."""
+    out = rows.withColumn("event_id", F.concat("event_id", F.lit(suffix)))
+    return out.withColumns({k: F.lit(v) for k, v in changes.items()})
+
+
+def test_a_writer_that_meets_another_goes_on_after_it(spark, tmp_path, monkeypatch):
+    """The other one writes between the last look at the manifests and the publishing of one."""
+    path = f"{tmp_path}/ledger"
+    ledger.write_ledger(three_events(spark), path)
+    rows = ledger.read_ledger(spark, path).select(*S.EVENT_COLUMNS)
+    ledger.write_ledger(more_events(spark, rows, "a"), f"{tmp_path}/a")
+    ledger.write_ledger(more_events(spark, rows, "b"), f"{tmp_path}/b")
+    publish, numbers = store.publish, []
+
+    def met(s, source, target):
+        numbers.append(target)
+        if len(numbers) == 1:
+            merge_ledgers(spark, f"{tmp_path}/b", path, 3)
+        return publish(s, source, target)
+
+    monkeypatch.setattr(store, "publish", met)
+    assert vars(merge_ledgers(spark, f"{tmp_path}/a", path, 2)) == {"inserted": 3, "updated": 0, "skipped": 0}
+    # the number of the other writer was tried and taken, nothing was worked out anew
+    assert [int(n[-10:-8]) for n in numbers] == [2, 2, 3] and numbers[0] == numbers[1]
+    stored = ledger.read_ledger(spark, path)
+    assert stored.count() == 9 and stored.select("event_id").distinct().count() == 9
+    assert ledger.ledger_version(spark, path) == 3
+
+
+def test_a_writer_starts_anew_where_another_has_changed_its_events(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/ledger"
+    ledger.write_ledger(three_events(spark), path)
+    rows = ledger.read_ledger(spark, path).select(*S.EVENT_COLUMNS)
+    new = more_events(spark, rows, "n")
+    filled = rows.withColumn("turn_id", F.lit("T")).withColumn("content_sha256", F.lit("t"))
+    ledger.write_ledger(filled.unionByName(new), f"{tmp_path}/a")
+    ledger.write_ledger(new.unionByName(filled), f"{tmp_path}/b")
+    publish, calls = store.publish, []
+
+    def met(s, source, target):
+        calls.append(target)
+        if len(calls) == 1:
+            merge_ledgers(spark, f"{tmp_path}/b", path, 3)
+        return publish(s, source, target)
+
+    monkeypatch.setattr(store, "publish", met)
+    # judged against the other's events, as if it had come after it
+    with pytest.raises(MergeConflict) as refused:
+        merge_ledgers(spark, f"{tmp_path}/a", path, 2)
+    assert refused.value.conflicts == [("content_conflict", 3)]
+    stored = ledger.read_ledger(spark, path)
+    assert stored.count() == 6 and stored.where("turn_id = 'T'").count() == 3
+    assert ledger.ledger_version(spark, path) == 2
+
+
+def test_only_one_of_two_gets_a_name(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text(name)
+    assert store.publish(spark, f"{tmp_path}/a", f"{tmp_path}/c") and not store.publish(spark, f"{tmp_path}/b", f"{tmp_path}/c")
+    assert (tmp_path / "c").read_text() == "a"
+
+
+def test_index_runs_are_merged_and_lookups_read_few_buckets(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    ledger.write_ledger(three_events(spark), path)
+    rows = ledger.read_ledger(spark, path)
+    for n in range(4):
+        more = more_events(spark, rows, f"-{n}", event_date_utc=f"2024-02-0{n + 1}")
+        ledger._commit(more, path, None, n + 1, None, more.select("event_id"))
+        now = ledger.snapshot(spark, path)
+        assert len(now.index_sizes) == (n + 2 if n < 2 else n - 1) and sum(now.index_sizes.values()) == 3 * (n + 2)
+    ids = [r.event_id for r in now.rows().select("event_id").collect()]
+    assert sorted(ids) == sorted({r.event_id for r in now.dates_of(now.rows()).collect()})
+    wanted = spark.createDataFrame([(ids[0],), (ids[7],), ("unknown",)], "event_id string")
+    found = now.dates_of(wanted)
+    assert sorted(r.event_id for r in found.collect()) == sorted((ids[0], ids[7]))
+    assert {r.event_id for r in now.matching(wanted).collect()} == {ids[0], ids[7]}
+    buckets = {r[0] for r in wanted.select(keyindex.bucket_of(F.col("event_id"))).collect()}
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(", "") and len(buckets) <= 3
+
+
+def test_runs_of_like_size_are_merged():
+    assert keyindex.to_merge({"a": 5, "b": 5, "c": 5}) == []
+    assert keyindex.to_merge({"a": 5, "b": 5, "c": 5, "d": 5, "big": 10**9}) == ["a", "b", "c", "d"]
+    sizes, written = {}, 0
+    for n in range(1000):
+        sizes[str(n)] = 1
+        if gone := keyindex.to_merge(sizes):
+            total = sum(sizes.pop(r) for r in gone)
+            sizes[f"m{n}"] = total
+            written += total
+        assert len(sizes) < 20
+    assert sum(sizes.values()) == 1000 and written < 1000 * 10
+
+
+def test_vacuum_removes_what_no_manifest_names(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    ledger.write_ledger(three_events(spark), path)
+    rows = ledger.read_ledger(spark, path).select(*S.EVENT_COLUMNS)
+    filled = rows.withColumn("turn_id", F.lit("T")).withColumn("content_sha256", F.lit("t"))
+    ledger.write_ledger(filled, f"{tmp_path}/a")
+    merge_ledgers(spark, f"{tmp_path}/a", path, 2)
+    before = sorted(map(tuple, ledger.read_ledger(spark, path).select("event_id", "turn_id").collect()))
+    later = 32_503_680_000_000
+    assert ledger.vacuum(spark, path, 0) == []
+    assert ledger.vacuum(spark, path, later, keep_commits=2) == []
+    gone = ledger.vacuum(spark, path, later)
+    assert sorted(g.split("/")[-2] for g in gone) == ["data", "manifests"]
+    assert sorted(map(tuple, ledger.read_ledger(spark, path).select("event_id", "turn_id").collect())) == before
+    assert ledger.vacuum(spark, path, later) == []
+
+
 def test_a_deviating_file_in_one_date_is_noticed(spark, logs, tmp_path):
     path, runs = f"{tmp_path}/ledger", f"{tmp_path}/runs"
     import_logs(spark, {"claude": logs["claude"]}, path, runs, 1, grace_minutes=None)

@@ -27,6 +27,7 @@ from meterbook.plans.report import report
 from meterbook.session import Staging, configure
 from meterbook.sources import claude, codex, copilot, gemini, ledger, lines, workbuddy
 from meterbook.sources.profile import load_profile
+from meterbook.streaming.incremental import import_changes
 from testviews import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1306,6 +1307,48 @@ def _import_indexed(spark, sf_dir):
     return decisions.join(dates, "event_id").select("event_id", "status", "event_date_utc")
 
 
+_USER = "CAST(split_part(session_key, '-', 2) AS BIGINT)"
+
+
+@_register(
+    "incremental_equals_full",
+    f"""WITH l AS (SELECT *, CAST(event_id AS BIGINT) AS n, {_USER} AS u FROM ({O.LEDGER}) WHERE channel = 'claude'),
+ good AS (SELECT *, u % 3 = 0 AS late FROM l WHERE n % 13 <> 5),
+ touched AS (SELECT DISTINCT u FROM good WHERE NOT late AND u % 10 = 1 AND n % 7 = 0 AND message_id IS NOT NULL
+  AND session_id IS NOT NULL)
+ SELECT 'first' AS step, COUNT(*) FILTER (NOT late) AS added, 0 AS skipped, COUNT(*) FILTER (NOT late) AS stored FROM good
+ UNION ALL SELECT 'none', 0, 0, COUNT(*) FILTER (NOT late) FROM good
+ UNION ALL SELECT 'second', COUNT(*) FILTER (late), COUNT(*) FILTER (u IN (SELECT u FROM touched)), COUNT(*) FROM good""",
+)
+def _incremental(spark, sf_dir):
+    """One file per user. At first two of three users are there; then nothing has changed; then the
+    others come, and a file with copies of some messages. Of the first files only those that share
+    a message with the copies are read again; the ledger ends as if all had been imported."""
+    staging = Staging(spark, "incremental")
+    n, user = F.col("line_number") - 1, F.regexp_extract("file_path", "/p([0-9]+)/", 1).cast("bigint")
+    cut = F.when(n % 13 == 5, F.substr(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    rows = V.claude_lines(spark, sf_dir).select(user.alias("u"), cut.alias("value"), n.alias("n"))
+    rows = staging.put(rows, "rows")
+    whole = (F.col("n") % 13 != 5) & F.col("value").contains('"sessionId"') & F.col("value").contains('"id":"msg-')
+    copies = rows.where(whole & (F.col("u") % 3 != 0) & (F.col("u") % 10 == 1) & (F.col("n") % 7 == 0))
+    logs, out = f"{staging.root}/logs/projects", []
+    steps = (
+        ("first", rows.where("u % 3 <> 0")),
+        ("none", None),
+        ("second", rows.where("u % 3 = 0").unionByName(copies.withColumn("u", F.lit(10**12)))),
+    )
+    for step, new in steps:
+        if new is not None:
+            named = new.select(F.format_string("p%013d", "u").alias("user"), "value").repartition("user")
+            named.write.mode("append").partitionBy("user").text(logs)
+        places = [f"{staging.root}/{name}" for name in ("ledger", "runs", "state")]
+        result = import_changes(spark, {"claude": [logs]}, *places, 1, grace_minutes=None, suffix=".txt").result
+        stored = ledger.read_ledger(spark, places[0]).count()
+        run = result.run if result else {"events_added": 0, "events_skipped": 0}
+        out.append((step, run["events_added"], run["events_skipped"], stored))
+    return spark.createDataFrame(out, "step string, added int, skipped int, stored bigint")
+
+
 # Training-data operators -----------------------------------------------------------------
 # They live in one subpackage and one pipeline module that may be absent as a whole.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from meterbook.operators.normalize import as_events
 from meterbook.operators.replay import build_records
 from meterbook.operators.validate import validated
 from meterbook.session import Staging
-from meterbook.sources import claude, codex, copilot, gemini, ledger, workbuddy
+from meterbook.sources import claude, codex, copilot, filestate, gemini, ledger, workbuddy
 from meterbook.sources import lines as L
 from meterbook.sources.parsed import SOURCE_ORDER
 
@@ -53,7 +54,7 @@ class _Files:
 
     def __init__(self, job: Importer, source: str, roots: list[str], suffix: str | None = None, keep=None):
         self.job, self.source = job, source
-        self.where = (roots, suffix or job.suffix, job.before, keep)
+        self.where = (job.chosen(source, roots), suffix or job.suffix, job.before, keep)
         self.listed = job.staging.put(L.file_states(job.spark, *self.where), "files")
         self.count = self.listed.count()
 
@@ -75,6 +76,39 @@ class _Files:
 class Importer:
     """One import run: scans, extracts, reconciles and writes."""
 
+    def listed(self, source: str, roots: list[str]) -> DataFrame:
+        """``source, file_path, length, changed, location`` of all files that a source would read."""
+        if source == "copilot":
+            roots, keep = L.preferred_copilot_roots(self.spark, roots), L.copilot_session_file
+        else:
+            roots = self._roots(source, roots)
+            keep = (lambda path: L.admitted_below(path, roots)) if source == "workbuddy" else None
+        suffixes = [self.suffix] + [".json"] * (source == "gemini")
+        none = "file_path string, length bigint, changed timestamp, location string"
+        files = self.spark.createDataFrame([], none)
+        for suffix in suffixes if roots else ():
+            files = files.unionByName(L.file_states(self.spark, roots, suffix, self.before, keep))
+        return files.withColumn("source", F.lit(source))
+
+    def links(self, source: str, locations: list[str]) -> DataFrame:
+        """What ties files together (``filestate``): messages and sessions by name."""
+        found = self.spark.createDataFrame([], filestate.LINKS)
+        if source not in ("claude", "codex") or not locations:
+            return found
+        roots = [L.as_root(f) for f in locations]
+        scan = L.scan_logs(self.spark, roots, self.suffix, self.before, self.staging)
+        if source == "claude":
+            rows = claude.extract(scan.raw, self.staging, scan).withColumn("role", F.lit(filestate.SHARES))
+            named = rows.select(F.col("source_file").alias("file_path"), "role", F.col("message_id").alias("name"))
+        else:
+            rows = codex.extract(scan.raw, self.staging, scan).where("is_meta")
+            role = F.lit(filestate.IS).alias("role")
+            named = rows.select("file_path", role, F.col("meta_session").alias("name")).unionByName(
+                rows.select("file_path", F.lit(filestate.OF).alias("role"), F.col("meta_parent").alias("name"))
+            )
+        named = named.where(F.col("name").isNotNull()).distinct().withColumn("source", F.lit(source))
+        return found.unionByName(named)
+
     def __init__(
         self,
         spark: SparkSession,
@@ -82,7 +116,9 @@ class Importer:
         grace_minutes: int | None = 15,
         duplicate_policy: str = "ledger",
         suffix: str = ".jsonl",
+        only: Mapping[str, list[str]] | None = None,
     ):
+        self.only = only
         self.spark = spark
         self.staging = staging
         self.before = L.cutoff(grace_minutes)
@@ -92,6 +128,12 @@ class Importer:
     def _roots(self, product: str, roots: list[str]) -> list[str]:
         return L.existing(self.spark, L.discover_roots(self.spark, product, roots))
 
+    def chosen(self, source: str, roots: list[str]) -> list[str]:
+        """What is read below the roots of a source: everything, or files named one by one."""
+        if self.only is None:
+            return roots
+        return [L.as_root(f) for f in self.only[source] if any(L.is_below(f, r) for r in roots)]
+
     def _told(self, source: str, rows: list[DataFrame]) -> list[DataFrame]:
         return [_rejects(source, r) for r in rows]
 
@@ -120,7 +162,7 @@ class Importer:
         roots, bad, told = self._roots("gemini", roots), [], []
         logs, documents = _Files(self, "gemini", roots), _Files(self, "gemini", roots, ".json")
         scan = logs.scan()
-        texts = L.scan_documents(self.spark, roots, before=self.before)
+        texts = L.scan_documents(self.spark, self.chosen("gemini", roots), before=self.before)
         lines = logs.steady(gemini.extract(scan.raw, self.staging, scan, bad), told, "source_file")
         whole = gemini.extract_documents(texts, self.staging, bad)
         records = lines.unionByName(documents.steady(whole, told, "source_file"))
@@ -154,9 +196,12 @@ def import_logs(
     duplicate_policy: str = "ledger",
     rejects_path: str | None = None,
     suffix: str = ".jsonl",
+    only: Mapping[str, list[str]] | None = None,
 ) -> ImportResult:
     """Import the given folders. Rejected lines, records and files are never fatal.
 
+    With ``only``, of each source no files but the given ones are read.
+
     Every one of them is a row of the table in ``rejects_path`` (by default beside the run log);
     the run itself keeps their number and a short text by reason. Files of lines end in ``suffix``.
     """
@@ -165,8 +210,9 @@ def import_logs(
         raise ValueError(f"unknown sources {sorted(unknown)}")
     run_id = run_id or uuid.uuid4().hex
     with Staging(spark, "import") as staging:
-        job = Importer(spark, staging, grace_minutes, duplicate_policy, suffix)
-        parts = [getattr(job, name)(sources[name]) for name in SOURCE_ORDER if sources.get(name)]
+        job = Importer(spark, staging, grace_minutes, duplicate_policy, suffix, only)
+        wanted = [name for name in SOURCE_ORDER if sources.get(name) and (only is None or only.get(name))]
+        parts = [getattr(job, name)(sources[name]) for name in wanted]
         rejects = spark.createDataFrame([], _REJECT_DDL)
         for more in [r for part in parts for r in part.rejects]:
             rejects = rejects.unionByName(more)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 256
+BUCKETS = 64
 BUCKET = "bucket"
 #: A merge unites at least so many runs, each smaller than so many times the ones before it.
 _LEAST_RUNS, _RATIO = 4, 4

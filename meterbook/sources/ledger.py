@@ -30,7 +30,6 @@ VERSION = "version"
 # touch are carried over by name, not copied.
 _DATA, _INDEX = "data", "index"
 _MANIFEST = "kind string, version string, event_date_utc string, schema string, rows bigint"
-_COMMIT = re.compile(r"commit-(\d+)\.parquet")
 _OWN_FOLDER = re.compile(r"version=[0-9a-f]{32}")
 _INDEX_SCHEMA = T.StructType([T.StructField("event_id", T.StringType()), T.StructField(PARTITION, T.StringType())])
 #: Writers that meet start anew so often before they give up.
@@ -50,15 +49,6 @@ def _fingerprint(schema: T.StructType) -> str:
     return hashlib.sha256(repr(fields).encode()).hexdigest()[:16]
 
 
-def _commits(spark: SparkSession, path: str) -> list[int]:
-    found = (_COMMIT.fullmatch(name) for name in store.children(spark, f"{path}/manifests"))
-    return sorted(int(m[1]) for m in found if m)
-
-
-def _manifest_file(path: str, number: int) -> str:
-    return f"{path}/manifests/commit-{number:020d}.parquet"
-
-
 @dataclass
 class Snapshot:
     """A ledger as of one manifest; later writes do not change it."""
@@ -71,7 +61,7 @@ class Snapshot:
     def manifest(self) -> DataFrame:
         if not self.number:
             return self.spark.createDataFrame([], _MANIFEST)
-        return self.spark.read.schema(_MANIFEST).parquet(_manifest_file(self.path, self.number))
+        return self.spark.read.schema(_MANIFEST).parquet(store.manifest_file(f"{self.path}/manifests", self.number))
 
     @property
     def places(self) -> DataFrame:
@@ -118,7 +108,7 @@ class Snapshot:
 def snapshot(spark: SparkSession, path: str) -> Snapshot:
     """The ledger as it is now."""
     path = path.rstrip("/")
-    numbers = _commits(spark, path)
+    numbers = store.commits(spark, f"{path}/manifests")
     return Snapshot(spark, path, numbers[-1] if numbers else 0)
 
 
@@ -189,18 +179,6 @@ def _still_holds(base: Snapshot, now: Snapshot, removed: DataFrame, ids: DataFra
     return base.dates_of(ids).join(changed, PARTITION, "left_semi").isEmpty()
 
 
-def _write_manifest(entries: DataFrame, path: str, number: int) -> bool:
-    """Publish the manifest of a number unless another writer has; whether it was published."""
-    spark = entries.sparkSession
-    folder = f"{path}/manifests/_new-{uuid.uuid4().hex}"
-    entries.coalesce(1).write.parquet(folder)
-    part = next(n for n in store.children(spark, folder) if n.startswith("part-"))
-    try:
-        return store.publish(spark, f"{folder}/{part}", _manifest_file(path, number))
-    finally:
-        store.remove(spark, folder)
-
-
 def _commit(
     rows: DataFrame,
     path: str,
@@ -255,7 +233,7 @@ def _commit(
         kept = now.manifest.where(F.col("kind") == _DATA).join(removed, [VERSION, PARTITION], "left_anti")
         index = {r: n for r, n in sizes.items() if r not in inputs} | merged
         manifest = kept.select(*[f.split()[0] for f in _MANIFEST.split(", ")]).unionByName(entries)
-        if _write_manifest(manifest.unionByName(runs(index)), path, now.number + 1):
+        if store.write_manifest(manifest.unionByName(runs(index)), f"{path}/manifests", now.number + 1):
             return
 
 
@@ -300,7 +278,8 @@ def vacuum(spark: SparkSession, path: str, now_ms: int, keep_commits: int = 1, g
     A folder younger than the grace period may belong to a write that has not ended, or to a
     reader of an older manifest, and stays.
     """
-    path, numbers = path.rstrip("/"), _commits(spark, path.rstrip("/"))
+    path = path.rstrip("/")
+    numbers = store.commits(spark, f"{path}/manifests")
     if not numbers:
         return []
     named = {_DATA: set(), _INDEX: set()}
@@ -309,7 +288,7 @@ def vacuum(spark: SparkSession, path: str, now_ms: int, keep_commits: int = 1, g
             named[r.kind].add(r[VERSION])
     places = [(f"{path}/data/{n}", n.removeprefix("version=") in named[_DATA]) for n in store.children(spark, f"{path}/data")]
     places += [(f"{path}/index/{n}", n.removeprefix("run=") in named[_INDEX]) for n in store.children(spark, f"{path}/index")]
-    places += [(_manifest_file(path, n), n in numbers[-keep_commits:]) for n in numbers]
+    places += [(store.manifest_file(f"{path}/manifests", n), n in numbers[-keep_commits:]) for n in numbers]
     removed = []
     for place, keep in places:
         own = re.search(r"/(version=[0-9a-f]{32}|run=[0-9a-f]{32}|commit-\d+\.parquet)$", place)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
@@ -148,11 +149,18 @@ def file_states(
     before: datetime | None = None,
     keep: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """``file_path, length, changed`` of the files a scan would read; contents are not read."""
+    """``file_path, length, changed, location`` of the files a scan would read; contents are not read."""
     files = _reader(spark, suffix, before).format("binaryFile").load(roots)
-    path = plain_path(F.col("path"))
+    path = plain_path(F.col("_metadata.file_path"))
     files = files if keep is None else files.where(keep(path))
-    return files.select(path.alias("file_path"), "length", F.col("modificationTime").alias("changed"))
+    return files.select(
+        path.alias("file_path"), "length", F.col("modificationTime").alias("changed"), F.col("path").alias("location")
+    )
+
+
+def as_root(location: str) -> str:
+    """The name of one file, as a root to read: nothing in it stands for other names."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", location)
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -215,6 +223,12 @@ def discover_roots(spark: SparkSession, product: str, roots: list[str]) -> list[
     return outermost(found)
 
 
+def is_below(location: str, root: str) -> bool:
+    """Whether a file lies below a root, or is it; scheme and authority do not count."""
+    plain = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/") for p in (location, root)]
+    return plain[0] == plain[1] or plain[0].startswith(plain[1] + "/")
+
+
 def outermost(roots: list[str]) -> list[str]:
     """Roots that exist to be read once: folders inside another root are dropped."""
     return [r for r in roots if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in roots)]

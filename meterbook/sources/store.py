@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_COMMIT = re.compile(r"commit-(\d+)\.parquet")
 
 
 def _located(spark: SparkSession, path: str):
@@ -57,3 +61,25 @@ def publish(spark: SparkSession, source: str, target: str) -> bool:
             return False
         raise
     return True
+
+
+def commits(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the manifests in a folder."""
+    found = (_COMMIT.fullmatch(name) for name in children(spark, folder))
+    return sorted(int(m[1]) for m in found if m)
+
+
+def manifest_file(folder: str, number: int) -> str:
+    return f"{folder}/commit-{number:020d}.parquet"
+
+
+def write_manifest(entries: DataFrame, folder: str, number: int) -> bool:
+    """Publish the manifest of a number unless another writer has; whether it was published."""
+    spark = entries.sparkSession
+    new = f"{folder}/_new-{uuid.uuid4().hex}"
+    entries.coalesce(1).write.parquet(new)
+    part = next(n for n in children(spark, new) if n.startswith("part-"))
+    try:
+        return publish(spark, f"{new}/{part}", manifest_file(folder, number))
+    finally:
+        remove(spark, new)

@@ -1,23 +1,34 @@
-"""Import whenever new log files appear.
+"""Import what has changed since the last import, and what that bears on.
 
-The stream only finds out *that* a source has new files. What to count depends on line
-order within a file, on parents of forked files and on copies in other files, so each
-micro-batch imports the whole folders of the sources with news. Events already stored are
-skipped by identity, which also makes a repeated batch harmless.
+What a log file counts depends on its lines, on parents and other copies of forked files and on
+copies of messages in other files. An import remembers in which state it has read a file and the
+names that tie files together (``filestate``). The next one lists the folders, without opening a
+file, takes the files that are new or not as they were, follows the names to the other files that
+must be judged with them, and reads these alone. Files that have grown count as changed.
+
+The ledger is written before the state of files. After a failure between the two the same files
+are read again, which changes nothing, since stored events are skipped by identity.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from meterbook.plans.ingest import ImportResult, import_logs
+from meterbook.plans.ingest import Importer, ImportResult, import_logs
+from meterbook.session import Staging
+from meterbook.sources import filestate
 from meterbook.sources.lines import plain_path
+from meterbook.sources.parsed import SOURCE_ORDER
+
+#: Files that one import names one by one; with more, whole folders are read, to the same result.
+MOST_NAMED = 100_000
 
 _LISTING = T.StructType(
     [
@@ -29,6 +40,67 @@ _LISTING = T.StructType(
 )
 
 
+@dataclass
+class Changes:
+    """Outcome of an incremental import: how many files had changed, and how many were read."""
+
+    changed: int
+    read: int
+    result: ImportResult | None
+
+
+def import_changes(
+    spark: SparkSession,
+    sources: dict[str, list[str]],
+    ledger_path: str,
+    runs_path: str,
+    state_path: str,
+    now_ms: int,
+    grace_minutes: int | None = 15,
+    suffix: str = ".jsonl",
+    **options,
+) -> Changes:
+    """Import the files that have changed since the last call, with those they bear on.
+
+    The result is that of ``import_logs`` of all folders. One import at a time uses a state.
+    """
+    with Staging(spark, "changes") as staging:
+        job = Importer(spark, staging, grace_minutes, suffix=suffix)
+        listed = spark.createDataFrame([], "source string, file_path string, length bigint, changed timestamp, location string")
+        names = [name for name in SOURCE_ORDER if sources.get(name)]
+        for name in names:
+            listed = listed.unionByName(job.listed(name, sources[name]))
+        listed = staging.put(listed, "listed")
+        state = filestate.FileState(spark, state_path)
+        changed = staging.put(state.changed(listed), "changed")
+        n_changed = changed.count()
+        if not n_changed:
+            return Changes(0, 0, None)
+        links = spark.createDataFrame([], filestate.LINKS)
+        for name, roots in _locations(changed, names).items():
+            links = links.unionByName(job.links(name, sources[name] if roots is None else roots))
+        links = staging.put(links, "links")
+        closure = state.closure(changed, links, staging)
+        wanted = staging.put(listed.join(closure, list(filestate.FILE), "left_semi"), "wanted")
+        only = _locations(wanted, names)
+        whole = any(files is None for files in only.values())
+        result = import_logs(
+            spark, sources, ledger_path, runs_path, now_ms,
+            grace_minutes=grace_minutes, suffix=suffix, only=None if whole else only, **options,
+        )
+        state.add(changed, links)
+        return Changes(n_changed, listed.count() if whole else wanted.count(), result)
+
+
+def _locations(files: DataFrame, names: list[str]) -> dict[str, list[str] | None]:
+    """Files by source, ``MOST_NAMED`` at most, or None for a source with more."""
+    out: dict[str, list[str] | None] = {}
+    for name in names:
+        rows = files.where(F.col("source") == name).select("location").limit(MOST_NAMED + 1).collect()
+        out[name] = sorted(r.location for r in rows) if len(rows) <= MOST_NAMED else None
+    return out
+
+
 def new_files(spark: SparkSession, root: str, files_per_trigger: int = 10_000) -> DataFrame:
     """Stream of paths below a root; the file content is not read."""
     return (
@@ -49,9 +121,14 @@ def follow(
     checkpoint: str,
     on_result: Callable[[ImportResult], None] | None = None,
     clock_ms: Callable[[], int] = lambda: int(time.time() * 1000),
+    state_path: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Import everything that has arrived since the last call, then stop."""
+    """Import everything that has changed since the last call, then stop.
+
+    The stream tells that files have arrived; ``import_changes`` finds out what has to be read,
+    files that only grew included. Where nothing but growth is expected, call it by itself.
+    """
     stream = None
     for source, roots in sources.items():
         for root in roots:
@@ -59,19 +136,12 @@ def follow(
             stream = named if stream is None else stream.unionByName(named)
 
     def batch(files: DataFrame, _: int) -> None:
-        changed = [r["source"] for r in files.select("source").distinct().collect()]
-        if not changed:
+        if files.isEmpty():
             return
-        result = import_logs(
-            spark,
-            {s: sources[s] for s in changed},
-            ledger_path,
-            runs_path,
-            clock_ms(),
-            **options,
-        )
-        if on_result is not None:
-            on_result(result)
+        state = state_path or f"{runs_path.rstrip('/')}-files"
+        changes = import_changes(spark, sources, ledger_path, runs_path, state, clock_ms(), **options)
+        if on_result is not None and changes.result is not None:
+            on_result(changes.result)
 
     return (
         stream.writeStream.foreachBatch(batch)

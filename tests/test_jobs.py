@@ -2,6 +2,7 @@
 
 import json
 import os
+from datetime import datetime
 
 import pytest
 from meterbook import schema as S
@@ -9,9 +10,9 @@ from meterbook.operators import metrics, normalize, quality
 from meterbook.operators.filters import Filters
 from meterbook.plans.ingest import import_logs
 from meterbook.plans.merge import MergeConflict, merge_ledgers
-from meterbook.sources import keyindex, ledger, store
+from meterbook.sources import filestate, keyindex, ledger, store
 from meterbook.sources import lines as L
-from meterbook.streaming.incremental import follow
+from meterbook.streaming.incremental import follow, import_changes
 from pyspark.sql import functions as F
 from testviews import view
 
@@ -131,7 +132,87 @@ def test_incremental_import(spark, logs, tmp_path):
         query = follow(spark, sources, *args, on_result=results.append, grace_minutes=None)
         query.awaitTermination(240)
         assert query.exception() is None
-    assert [(r.run["events_added"], r.run["events_skipped"]) for r in results] == [(3, 0), (1, 3)]
+    # the third reads the new file alone
+    assert [(r.run["events_added"], r.run["events_skipped"], r.run["files_scanned"]) for r in results] == [(3, 0, 2), (1, 0, 1)]
+
+
+def forked(id, parent, *rows):
+    return [{"type": "session_meta", "timestamp": "2024-01-02T03:04:06Z", "payload": {"id": id, "forked_from_id": parent}}, *rows]
+
+
+def test_closure_of_changed_files(spark, staging, tmp_path):
+    """Copies of messages pull each other in; forks pull in their parents, parents their forks."""
+    def links(**files):
+        rows = [("codex" if role != "shares" else "claude", f, role, name) for f, of in files.items() for role, name in of]
+        return spark.createDataFrame(rows, filestate.LINKS)
+
+    def states(*names, size=1):
+        rows = [("claude" if n[0] == "c" else "codex", n, size, datetime(2024, 1, 1)) for n in names]
+        return spark.createDataFrame(rows, "source string, file_path string, length bigint, changed timestamp")
+
+    path = f"{tmp_path}/s"
+    chain = {"c1": [("shares", "m1")], "c2": [("shares", "m1"), ("shares", "m2")], "c3": [("shares", "m2")], "c4": [("shares", "m4")]}
+    forks = {"root": [("is", "R")], "kid": [("is", "K"), ("of", "R")], "kid2": [("is", "K2"), ("of", "R")],
+             "grandkid": [("is", "G"), ("of", "K")], "twin": [("is", "R")], "alone": [("is", "m4")]}
+    known = {**chain, **forks}
+    filestate.FileState(spark, path).add(states(*list(known)[:5]), links(**dict(list(known.items())[:5])))
+    filestate.FileState(spark, path).add(states(*list(known)[5:]), links(**dict(list(known.items())[5:])))
+    state = filestate.FileState(spark, path)
+    assert state.changed(states(*known)).isEmpty()
+    assert [r.file_path for r in state.changed(states("c1", "c9").unionByName(states("kid", size=2))).collect()] in (
+        ["c9", "kid"], ["kid", "c9"])
+
+    def closure(**files):
+        return {r.file_path for r in state.closure(states(*files), links(**files), staging).collect()}
+
+    assert closure(c1=chain["c1"]) == {"c1", "c2", "c3"}
+    assert closure(c9=[("shares", "m4")], c1=[]) == {"c9", "c4", "c1"}
+    assert closure(alone=forks["alone"]) == {"alone"}
+    assert closure(kid2=forks["kid2"]) == {"kid2", "root", "twin"}
+    assert closure(grandkid=forks["grandkid"]) == {"grandkid", "kid", "root", "twin"}
+    assert closure(root=forks["root"]) == {"root", "twin", "kid", "kid2", "grandkid"}
+    assert closure(new=[("is", "N"), ("of", "G")]) == {"new", "grandkid", "kid", "root", "twin"}
+
+
+@pytest.mark.skipif(not os.environ.get("METERBOOK_SLOW"), reason="ten imports; set METERBOOK_SLOW to run it")
+def test_changes_read_what_they_bear_on_and_give_the_whole_result(spark, tmp_path):
+    """Beside a ledger that reads all folders each time; the same events at every step."""
+    home = tmp_path / "h"
+    sources = {"claude": [f"{home}/c"], "codex": [f"{home}/x"], "gemini": [f"{home}/g"]}
+    c, x = "c/projects/p/s", "x/sessions"
+    for n in range(6):
+        write(home, f"{c}/alone{n}.jsonl", message(f"a{n}", n))
+        write(home, f"{x}/alone{n}.jsonl", *forked(f"A{n}", None, counted(n + 1)))
+    write(home, f"{c}/one% [1].jsonl", message("m", 5), message("k", 1))
+    write(home, f"{x}/root.jsonl", *forked("R", None, counted(5), counted(9)))
+    write(home, f"{x}/other.jsonl", *forked("O", "R", counted(5), counted(6)))
+    (home / "g").mkdir()
+    steps = [
+        (lambda: None, 15, 15),
+        (lambda: None, 0, 0),
+        # a copy of a message: the files with it, and with copies of their messages
+        (lambda: write(home, f"{c}/two.jsonl", message("k", 7), message("z", 2)), 1, 2),
+        # a fork reads its parent, but not the other fork of it
+        (lambda: write(home, f"{x}/child.jsonl", *forked("C", "R", counted(5), counted(9), counted(30))), 1, 2),
+        # a fork of the fork reads both; a file of another source is read alone
+        (lambda: (write(home, f"{x}/grandchild.jsonl", *forked("G", "C", counted(5), counted(9), counted(30), counted(31))),
+                  write(home, "g/new.json", [{"id": "d", "session_id": "D", "timestamp": 1704164645, "usageMetadata": {"promptTokenCount": 1}}])), 2, 4),
+        # a parent that grows: all that was forked from it
+        (lambda: write(home, f"{x}/root.jsonl", *forked("R", None, counted(5), counted(9), counted(50))), 1, 4),
+    ]
+    columns = [f for f in S.EVENT_COLUMNS if f not in ("imported_at_ms", "updated_at_ms")]
+    for n, (change, changed, read) in enumerate(steps, 1):
+        change()
+        got = import_changes(spark, sources, f"{tmp_path}/l1", f"{tmp_path}/r1", f"{tmp_path}/s", n, grace_minutes=None)
+        assert (got.changed, got.read) == (changed, read), n
+        if got.result is not None:
+            assert got.result.run["files_scanned"] == read
+            whole = import_logs(spark, sources, f"{tmp_path}/l2", f"{tmp_path}/r2", n, grace_minutes=None)
+            assert got.result.run["events_added"] == whole.run["events_added"]
+            assert got.result.run["events_updated"] == whole.run["events_updated"]
+    events = [ledger.read_ledger(spark, f"{tmp_path}/l{k}").select(*columns) for k in (1, 2)]
+    assert events[0].exceptAll(events[1]).isEmpty() and events[1].exceptAll(events[0]).isEmpty()
+    assert events[0].count() > 20
 
 
 def test_line_numbers_survive_splits(spark, staging, tmp_path):

@@ -25,7 +25,7 @@ from meterbook.plans.ingest import import_events, import_logs
 from meterbook.plans.merge import merge_decisions, merge_ledgers
 from meterbook.plans.report import report
 from meterbook.session import Staging, configure
-from meterbook.sources import claude, codex, copilot, gemini, ledger, lines, workbuddy
+from meterbook.sources import claude, codex, copilot, gemini, jsonfile, ledger, lines, workbuddy
 from meterbook.sources.profile import load_profile
 from meterbook.streaming.incremental import import_changes
 from testviews import view
@@ -1266,6 +1266,56 @@ def _gemini_documents(spark, sf_dir):
     )
 
 
+_EVERY = f"""g AS (SELECT *, CAST(event_id AS BIGINT) AS n, split_part(session_key, '-', 2) AS who FROM ({O.LEDGER})
+  WHERE channel = 'gemini'),
+ d AS (SELECT who AS name, * FROM g UNION ALL SELECT 'all', * FROM g UNION ALL SELECT 'broken', * FROM g WHERE n % 10 = 3)"""
+
+
+@_register(
+    "documents_of_every_size",
+    f"""WITH {_EVERY}
+ SELECT name, row_number() OVER (PARTITION BY name ORDER BY n) AS line_number, 'record' AS outcome, event_id AS native_event_id,
+ input_tokens, output_tokens, reasoning_tokens FROM d WHERE name <> 'broken'
+ UNION ALL SELECT 'broken', NULL, 'not_a_json_object', NULL, NULL, NULL, NULL FROM d WHERE name = 'broken' GROUP BY ()
+ HAVING COUNT(*) > 0""",
+)
+def _every_size(spark, sf_dir):
+    """A file with one array per user, one with everything and one whose array is not closed, read
+    in splits of 64 kB: an array may have any number of them."""
+    staging = Staging(spark, "arrays")
+    rows = staging.put(V.gemini_lines(spark, sf_dir), "rows")
+    who = F.regexp_extract("file_path", "([^/]+)[.]jsonl$", 1)
+    lines_of = rows.select(who.alias("name"), "line_number", "value")
+    lines_of = lines_of.unionByName(rows.select(F.lit("all").alias("name"), "line_number", "value"))
+    odd = rows.where((F.col("line_number") - 1) % 10 == 3)
+    lines_of = lines_of.unionByName(odd.select(F.lit("broken").alias("name"), "line_number", "value"))
+    first = Window.partitionBy("name").orderBy("line_number")
+    elements = lines_of.select(
+        "name", "line_number", F.concat(F.when(F.row_number().over(first) == 1, "[").otherwise(","), "value").alias("value")
+    )
+    ends = elements.select("name").distinct().where("name <> 'broken'").select(
+        "name", F.lit(2**62).alias("line_number"), F.lit("]").alias("value")
+    )
+    files = elements.unionByName(ends).repartition("name").sortWithinPartitions("name", "line_number")
+    files.select("name", "value").write.partitionBy("name").text(f"{staging.root}/files")
+
+    name, bad = "spark.sql.files.maxPartitionBytes", []
+    size = spark.conf.get(name)
+    spark.conf.set(name, "65536")
+    try:
+        parts = jsonfile.scan_fragments(spark, [f"{staging.root}/files"], ".txt", None, staging)
+    finally:
+        spark.conf.set(name, size)
+    records = gemini.extract_fragments(parts, staging, bad)
+    of = lambda path: F.regexp_extract(path, "/name=([^/]+)/", 1).alias("name")
+    counts = ("input_tokens", "output_tokens", "reasoning_tokens")
+    out = records.select(of("source_file"), "line_number", F.lit("record").alias("outcome"), "native_event_id", *counts)
+    for more in bad:
+        told = more.select(of("file_path"), "line_number", F.col("reason").alias("outcome"))
+        out = out.unionByName(told, allowMissingColumns=True)
+    return out
+
+
 @_register("canonical_totals", f"SELECT event_id, total_tokens AS total FROM ({O.LEDGER})")
 def _canonical_totals(spark, sf_dir):
     names = ("token_accounting_method", "input_tokens", "output_tokens", "reasoning_tokens")

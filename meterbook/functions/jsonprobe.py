@@ -63,13 +63,30 @@ def read(lines: DataFrame, shape: Shape) -> DataFrame:
 
 
 def long_document(line: Column, shape: Shape) -> Column:
-    """A long line in the given shape. Only the fields of the shape are kept while it is read, so
-    other fields may have any length; text after the object is not noticed."""
-    checked = f"struct<`{_CORRUPT}`:string," + ddl(shape).removeprefix("struct<")
-    found = F.from_json(line, checked, {"columnNameOfCorruptRecord": _CORRUPT, "maxNestingDepth": "10000"})
-    starts = line.rlike(r"^\s*\{")
-    fields = F.struct(*[found[name].alias(name) for name in shape])
-    return F.when(starts & found[_CORRUPT].isNull(), fields)
+    """A long line in the given shape, by the rule of ``read``.
+
+    Only the fields of the shape are kept while the line is read, each as a value of its own, so
+    other fields may have any length.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxNestingDepth": "10000"}
+    element = "struct<" + ",".join(f"`{name}`:variant" for name in shape) + ">"
+    array = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<{element}>", strict)
+    checked = f"struct<v:struct<`{_CORRUPT}0`:string>,`{_CORRUPT}`:string>"
+    in_object = F.from_json(
+        F.concat(F.lit('{"v":'), line, F.lit("}")), checked, {**strict, "columnNameOfCorruptRecord": _CORRUPT}
+    )
+    whole = (
+        line.rlike(r"^\s*\{")
+        & line.rlike(r"\}\s*$")
+        & (F.size(array) == 1)
+        & F.when(line.rlike(r"\}\s*\]"), in_object[_CORRUPT].isNull()).otherwise(True)
+    )
+    found = F.get(array, F.lit(0))
+    fields = [
+        found[name] if kind_of == "variant" else F.try_variant_get(found[name], "$", ddl(kind_of))
+        for name, kind_of in shape.items()
+    ]
+    return F.when(whole & found.isNotNull(), F.struct(*[f.alias(n) for f, n in zip(fields, shape)]))
 
 
 def refusal(doc: Column) -> Column:

@@ -15,7 +15,7 @@ from meterbook.operators.normalize import as_events
 from meterbook.operators.replay import build_records
 from meterbook.operators.validate import validated
 from meterbook.session import Staging
-from meterbook.sources import claude, codex, copilot, filestate, gemini, ledger, workbuddy
+from meterbook.sources import claude, codex, copilot, filestate, gemini, jsonfile, ledger, workbuddy
 from meterbook.sources import lines as L
 from meterbook.sources.parsed import SOURCE_ORDER
 
@@ -162,9 +162,9 @@ class Importer:
         roots, bad, told = self._roots("gemini", roots), [], []
         logs, documents = _Files(self, "gemini", roots), _Files(self, "gemini", roots, ".json")
         scan = logs.scan()
-        texts = L.scan_documents(self.spark, self.chosen("gemini", roots), before=self.before)
+        parts = jsonfile.scan_fragments(self.spark, self.chosen("gemini", roots), ".json", self.before, self.staging)
         lines = logs.steady(gemini.extract(scan.raw, self.staging, scan, bad), told, "source_file")
-        whole = gemini.extract_documents(texts, self.staging, bad)
+        whole = gemini.extract_fragments(parts, self.staging, bad)
         records = lines.unionByName(documents.steady(whole, told, "source_file"))
         return Extracted(records, logs.count + documents.count, told + self._told("gemini", bad))
 

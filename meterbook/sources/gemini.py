@@ -9,6 +9,7 @@ from meterbook import schema as S
 from meterbook.functions import jsonprobe as J
 from meterbook.functions.text import record_subkey, tail_from_marker, trimmed
 from meterbook.session import Staging
+from meterbook.sources import jsonfile
 from meterbook.sources.lines import LogScan
 from meterbook.sources.parsed import as_parsed, refused, settled
 
@@ -45,62 +46,39 @@ def extract(
 
 
 def extract_documents(
-    documents: DataFrame, staging: Staging | None = None, rejects: list[DataFrame] | None = None
+    documents: DataFrame, staging: Staging, rejects: list[DataFrame] | None = None
 ) -> DataFrame:
-    """Whole files: an object is line 1, elements of an array are numbered from 1.
+    """Whole texts ``file_path, value`` to records; see ``extract_fragments``."""
+    return extract_fragments(jsonfile.fragments_of(documents), staging, rejects)
 
-    A long array is read element by element in the shape of a record; its elements are named by a
-    digest of the file and their place. A file that is neither an object nor an array of objects
-    is refused if it has usage words.
+
+def extract_fragments(
+    fragments: DataFrame, staging: Staging, rejects: list[DataFrame] | None = None
+) -> DataFrame:
+    """Documents in parts (``jsonfile``): an object is line 1, elements of an array are numbered from 1.
+
+    A file that is neither an object nor an array of objects and nulls, or has an element that
+    cannot be parsed, is refused as a whole if it has usage words.
     """
-    first = F.lit(1).cast("bigint").alias("line_number")
-    is_array = F.col("value").rlike(r"^\s*\[")
-    is_long = F.octet_length("value") > J.LONG_LINE
-    single = J.read(documents.where(~is_array).select("file_path", first, "value"), SHAPE)
-    arrays = documents.where(is_array & ~is_long).select(
-        "file_path", F.concat(F.lit('{"items":'), F.col("value"), F.lit("}")).alias("value")
-    )
-    items = F.col("doc.items")
-    other = lambda e: ~(J.kind(e).startswith("OBJECT") | (J.kind(e) == "VOID"))
-    # An array with an element that is neither an object nor null is not a log at all.
-    read_arrays = J.read(arrays, {"items": "array<variant>"})
-    is_log = F.coalesce(~F.exists(items, other), F.lit(False))
-    elements = (
-        read_arrays.where(is_log)
-        .select("file_path", F.posexplode(items).alias("pos", "item"))
-        .select(
-            "file_path",
-            (F.col("pos") + 1).cast("bigint").alias("line_number"),
-            F.to_json("item").alias("value"),
-            F.try_variant_get("item", "$", J.ddl(SHAPE)).alias("doc"),
-        )
-    )
-    long_arrays = documents.where(is_array & is_long).select(
-        "file_path",
-        F.sha2("value", 256).alias("digest"),
-        J.may_contain(F.col("value"), "usageMetadata").alias("has_words"),
-        F.from_json("value", f"array<{J.ddl(SHAPE)}>", {"maxNestingDepth": "10000"}).alias("items"),
-    )
-    place = (F.col("pos") + 1).cast("bigint")
-    long_elements = long_arrays.select("file_path", "digest", F.posexplode("items").alias("pos", "doc")).select(
-        "file_path",
-        place.alias("line_number"),
-        F.concat_ws(":", "digest", place.cast("string")).alias("value"),
-        "doc",
-    )
-    whole = F.lit(None).cast("bigint").alias("line_number")
-    no_log = read_arrays.where(~is_log & J.may_contain(F.col("value"), "usageMetadata"))
-    no_log = no_log.select("file_path").unionByName(
-        long_arrays.where(F.col("items").isNull() & F.col("has_words")).select("file_path")
-    )
-    if rejects is not None:
-        rejects.append(no_log.select("file_path", whole, F.lit(J.NOT_JSON).alias("reason")))
-    fields = _fields(single).unionByName(_fields(elements)).unionByName(_fields(long_elements))
+    values, refused_files = jsonfile.values(fragments, ("usageMetadata",), staging)
+    fields = _fields(J.read(values, SHAPE), "in_array")
     stored = settled(fields, staging, "documents")
-    return _records(refused(stored.where("refusal IS NULL OR has_words"), rejects))
+    broken = stored.where(F.col("in_array") & F.col("refusal").isNotNull()).select("file_path").distinct()
+    broken = staging.put(broken, "broken")
+    whole = F.lit(None).cast("bigint")
+    no_array = refused_files.where("is_array AND has_words").select("file_path").unionByName(broken)
+    # What begins like a null is no log, and no line that failed.
+    failed = refused_files.where(~F.col("is_array") & F.col("has_words") & F.col("head").rlike(r"^\s*[^nN\s]"))
+    if rejects is not None:
+        told = no_array.withColumn("line_number", whole).unionByName(
+            failed.select("file_path", F.lit(1).cast("bigint").alias("line_number"))
+        )
+        rejects.append(told.withColumn("reason", F.lit(J.NOT_JSON)))
+    rows = stored.join(broken, "file_path", "left_anti").drop("in_array")
+    return _records(refused(rows.where("refusal IS NULL OR has_words"), rejects))
 
 
-def _fields(docs: DataFrame) -> DataFrame:
+def _fields(docs: DataFrame, *keep: str) -> DataFrame:
     doc = F.col("doc")
     inner = doc["response"]
     use = F.col("usage")
@@ -116,7 +94,7 @@ def _fields(docs: DataFrame) -> DataFrame:
         "file_path",
         "line_number",
         F.sha2("value", 256).alias("raw_sha256"),
-        # Elements of an array may be null; they are no lines that failed.
+        # A line that begins like a null is no line that failed.
         F.when(F.col("value").rlike(r"^\s*(\{|[^nN\s])"), J.refusal(doc)).alias("refusal"),
         J.may_contain(F.col("value"), "usageMetadata").alias("has_words"),
         use.isNotNull().alias("has_usage"),
@@ -130,7 +108,10 @@ def _fields(docs: DataFrame) -> DataFrame:
         F.coalesce(J.text(doc["model"]), J.text(inner["model"])).alias("model"),
         F.coalesce(J.instant(doc["timestamp"], inner["timestamp"]), F.lit(0)).alias("timestamp_ms"),
         *[J.long(*[use[n] for n in names]).alias(name) for name, names in ALIASES.items()],
+        *keep,
     )
+
+
 def _records(fields: DataFrame) -> DataFrame:
     ids = ("native_event", "native_message", "native_request")
     fields = fields.where(F.col("has_usage")).withColumn("native", trimmed(F.coalesce(*ids))).withColumn(

@@ -41,7 +41,7 @@ def cutoff(grace_minutes: int | None, now: datetime | None = None) -> datetime |
     return moment.astimezone(timezone.utc) - timedelta(minutes=grace_minutes)
 
 
-def _reader(spark: SparkSession, suffix: str, before: datetime | None):
+def reader(spark: SparkSession, suffix: str, before: datetime | None):
     reader = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", _suffix_glob(suffix))
@@ -109,7 +109,7 @@ def scan_logs(
     only the fields kept are joined with the splits, never the text. Lines of any length count.
     """
     path = F.col("_metadata.file_path")
-    read = _reader(spark, suffix, before).text(roots)
+    read = reader(spark, suffix, before).text(roots)
     if keep is not None:
         # A test on file metadata alone selects files before any is opened.
         read = read.where(keep(plain_path(path)))
@@ -150,7 +150,7 @@ def file_states(
     keep: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``file_path, length, changed, location`` of the files a scan would read; contents are not read."""
-    files = _reader(spark, suffix, before).format("binaryFile").load(roots)
+    files = reader(spark, suffix, before).format("binaryFile").load(roots)
     path = plain_path(F.col("_metadata.file_path"))
     files = files if keep is None else files.where(keep(path))
     return files.select(
@@ -169,18 +169,6 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select(states).exceptAll(after.select(states)).select("file_path").distinct()
 
 
-def scan_documents(
-    spark: SparkSession, roots: list[str], suffix: str = ".json", before: datetime | None = None
-) -> DataFrame:
-    """Whole files as one value each, for families that also write plain JSON documents."""
-    return (
-        _reader(spark, suffix, before)
-        .option("wholetext", True)
-        .text(roots)
-        .select(plain_path(F.col("_metadata.file_path")).alias("file_path"), "value")
-    )
-
-
 def admitted_below(path: Column, roots: list[str]) -> Column:
     """Whether no directory between the file and one of the roots is an excluded one."""
     names = F.array(*[F.lit(d) for d in EXCLUDED_DIRS])

@@ -64,7 +64,7 @@ def test_claude_paths(lines_of, path, session, project):
     assert (row.session_id, row.project_path) == (session, project)
 
 
-def test_gemini_lines_and_documents(spark, lines_of):
+def test_gemini_lines_and_documents(spark, lines_of, staging):
     row = gemini.extract(
         lines_of(
             {
@@ -87,7 +87,7 @@ def test_gemini_lines_and_documents(spark, lines_of):
         ],
         "file_path string, value string",
     )
-    got = sorted((r.source_file, r.line_number, r.identity_subkey) for r in gemini.extract_documents(docs).collect())
+    got = sorted((r.source_file, r.line_number, r.identity_subkey) for r in gemini.extract_documents(docs, staging).collect())
     assert got == [
         ("/g/many.json", 1, "line:1"),
         ("/g/many.json", 3, "line:3"),

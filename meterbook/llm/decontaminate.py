@@ -17,15 +17,22 @@ are put into blocks of at most ``BLOCK_CHARS`` characters; the index of a block
 every block passes over all documents, so any number of items works. Documents are read whole, in
 overlapping slices, and never shuffle.
 
-Defined cases: null and empty texts match nothing; null items and items shorter than
-``MIN_ITEM_CHARS`` are no passages and are ignored; repeated items and repeated rows are reported
-each; an empty table on either side gives no match.
+Items shorter than ``MIN_ITEM_CHARS`` leave the lemma little to count, and an edit makes another
+word of them. They are found where a text has them unchanged, as whole words, by an automaton over
+the block's short items (``Exact``).
+
+Defined cases: null and empty texts match nothing; null items and items of white space alone are
+nothing to find and are ignored; repeated items and repeated rows are reported each; a budget that
+leaves an item without a gram it must share is an error; an empty table on either side gives no
+match.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -182,14 +189,46 @@ class Index:
                 yield n, edits, first, end
 
 
-def matches_of(text: str, indexes: list[Index]) -> list[tuple[object, int, int, int]]:
+class Exact:
+    """Items that count unchanged, where no letter or digit goes on at either end."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]]):
+        self.items = items
+
+    @cached_property
+    def _automaton(self) -> ahocorasick.Automaton:
+        owners: dict[str, list[int]] = {}
+        for n, (_, points) in enumerate(self.items):
+            owners.setdefault(_string(points), []).append(n)
+        automaton = ahocorasick.Automaton()
+        for item, numbers in owners.items():
+            automaton.add_word(item, (len(item), numbers))
+        automaton.make_automaton()
+        return automaton
+
+    def find(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        text = _string(points)
+        for last, (length, numbers) in self._automaton.iter(text):
+            first, end = last + 1 - length, last + 1
+            inner = (text[first - 1 : first + 1] if first else "", text[last : end + 1] if end < len(text) else "")
+            if not any(len(pair) == 2 and pair.isalnum() for pair in inner):
+                yield from ((n, 0, first, end) for n in numbers)
+
+
+def _string(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def matches_of(text: str, indexes: list[Index | Exact]) -> list[tuple[object, int, int, int]]:
     """Best match of each item: ``(item id, edits, first character, end)``."""
     out = []
     points, origin = normalised(text)
     for index in indexes:
         best: dict[int, tuple[int, int, int]] = {}
-        for a in range(0, max(len(points), 1), SLICE_CHARS):
-            part = points[a : a + SLICE_CHARS + index.reach]
+        exact = isinstance(index, Exact)
+        step = max(len(points), 1) if exact else SLICE_CHARS
+        for a in range(0, max(len(points), 1), step):
+            part = points if exact else points[a : a + SLICE_CHARS + index.reach]
             for n, edits, first, end in index.find(part):
                 found = (edits, int(origin[a + first]), int(origin[a + end - 1]) + 1)
                 best[n] = min(best.get(n, found), found)
@@ -197,20 +236,24 @@ def matches_of(text: str, indexes: list[Index]) -> list[tuple[object, int, int,
     return out
 
 
-def _blocks(benchmark: DataFrame, budget: float) -> Iterator[list[Index]]:
+def _blocks(benchmark: DataFrame, budget: float) -> Iterator[list[Index | Exact]]:
     """Indexes of blocks of items; the driver holds one block at a time."""
 
-    def indexes(rows: list) -> list[Index]:
-        return [Index(q, [r[:2] for r in rows if r[2] == q], budget) for q in GRAM_SIZES if any(r[2] == q for r in rows)]
+    def indexes(rows: list) -> list[Index | Exact]:
+        of = {q: [r[:2] for r in rows if r[2] == q] for q in (None, *GRAM_SIZES)}
+        return [Exact(items) if q is None else Index(q, items, budget) for q, items in of.items() if items]
 
     rows, size = [], 0
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
         points, _ = normalised(r.text.strip(" \t\n\v\f\r"))
         m = len(points)
-        if m < MIN_ITEM_CHARS:
+        if not m:
             continue
-        fits = [q for q in GRAM_SIZES if m + 1 - q * (int(budget * m) + 1) >= _LEAST]
-        rows.append((r.item_id, points, max(fits, default=GRAM_SIZES[-1])))
+        shared = {q: m + 1 - q * (int(budget * m) + 1) for q in GRAM_SIZES}
+        gram = max((q for q in GRAM_SIZES if shared[q] >= _LEAST), default=GRAM_SIZES[-1])
+        if m >= MIN_ITEM_CHARS and shared[gram] < 1:
+            raise ValueError(f"with a budget of {budget} an item of {m} characters need not share a gram")
+        rows.append((r.item_id, points, gram if m >= MIN_ITEM_CHARS else None))
         size += m
         if size >= BLOCK_CHARS:
             yield indexes(rows)

@@ -21,7 +21,8 @@ an error says so, as targets for that many sources are no mix by source.
 
 Defined cases: a null source is a source of its own, last in order; a null text has size 0;
 documents of size 0 take 0 words; sources without words have target 0; rows that repeat are mixed
-each; an empty table gives an empty result.
+each; ``mix`` carries other columns, but for one called ``copies``, which is replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -206,6 +207,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> Data
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``copies``: how often it takes them."""
+    docs = docs.drop("copies")
     staging = Staging(docs.sparkSession, "mix")
     plan = staging.put(mixed(docs, weights, share, cap).select("doc_id", "source", "size", "copies"), "plan")
     repeats = plan.groupBy("doc_id", "source", "size").agg(

@@ -23,7 +23,7 @@ normaliser; others are encoded whole. Special strings in a text are handled as t
 by default; no begin, end or other added token is counted.
 
 Defined cases: null and empty texts have no tokens; rows that repeat are counted each; other
-columns pass through ``counted``.
+columns pass through ``counted``, but for one called ``n_tokens``, which is replaced.
 """
 
 from __future__ import annotations
@@ -183,6 +183,7 @@ def counted(
     docs: DataFrame, tokenizer_file: str, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
     """``docs`` with ``n_tokens``; ``tokenizer_file`` must be readable on every executor."""
+    docs = docs.drop("n_tokens")
     length = F.length(F.coalesce("text", F.lit("")))
     count = _short_counts(tokenizer_file)
     if not spliceable(tokenizer_file):

@@ -479,7 +479,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity``, 0 to 1, from the whole text."""
+    """``docs`` with ``toxicity``, 0 to 1, from the whole text; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

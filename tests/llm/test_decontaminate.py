@@ -105,3 +105,26 @@ def test_rows_without_a_match_stay(spark, case):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in docs if i not in hit)
     assert D.decontaminated(table, benchmark.limit(0)).count() == len(docs)
     assert D.matches(table.limit(0), benchmark).collect() == []
+
+
+def test_short_items_are_found_unchanged_and_as_whole_words(spark):
+    items = [(1, "Short benchmark\n item!"), (2, "he walked"), (3, "x"), (4, " "), (5, None), (6, "he walked"), (7, "日本")]
+    texts = {
+        1: "before, short  benchmark item! after", 2: "short benchmark items", 3: "then HE walked.", 4: "she walked, he walkedx",
+        5: "(x)", 6: "xx x1", 7: "", 8: None, 9: "short benchmark itam!", 10: "he walked", 11: "日本", 12: "日本人 (日本)",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted(map(tuple, D.matches(docs, benchmark).collect()))
+    assert got == [
+        (1, 1, 0, 8, 30), (3, 2, 0, 5, 14), (3, 6, 0, 5, 14), (5, 3, 0, 1, 2), (10, 2, 0, 0, 9), (10, 6, 0, 0, 9),
+        (11, 7, 0, 0, 2), (12, 7, 0, 5, 7),
+    ]
+    assert sorted(r.doc_id for r in D.decontaminated(docs, benchmark).collect()) == [2, 4, 6, 7, 8, 9]
+
+
+def test_a_budget_beyond_the_lemma_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a text")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, "an item of more than twenty-four characters")], "item_id bigint, text string")
+    with pytest.raises(ValueError, match="budget"):
+        D.matches(docs, benchmark, budget=0.5)

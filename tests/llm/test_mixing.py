@@ -80,3 +80,9 @@ def test_empty_and_wordless_tables(spark):
     df = spark.createDataFrame([(1, "a", "")], "doc_id bigint, source string, text string")
     assert mixing.mixed(df).first().taken == 0
     assert mixing.mixed(df.limit(0)).collect() == [] and mixing.mix(df.limit(0)).collect() == []
+
+
+def test_a_column_called_copies_is_replaced(spark):
+    data = [(i, "a", "word " * 5, "s", "old", "k") for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA))
+    assert got.columns.count("copies") == 1 and {r.copies for r in got.collect()} <= {1, 2}

@@ -33,3 +33,9 @@ def test_other_tokenizers_and_empty_tables(spark):
     want = len(Tokenizer.from_file(other).encode("Hello there " * 50, add_special_tokens=False).ids)
     assert counted(df, other, 64, 16).first().n_tokens == want
     assert counted(df.limit(0), FILE).collect() == []
+
+
+def test_a_column_of_the_same_name_is_replaced(spark):
+    df = spark.createDataFrame([(1, "one two", 9), (2, "a " * 200, 9)], "doc_id bigint, text string, n_tokens int")
+    got = counted(df, FILE, 64, 16)
+    assert got.columns.count("n_tokens") == 1 and sorted(r.n_tokens for r in got.collect())[0] == 2

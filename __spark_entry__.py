@@ -25,7 +25,7 @@ from meterbook.plans.ingest import import_events, import_logs
 from meterbook.plans.merge import merge_decisions, merge_ledgers
 from meterbook.plans.report import report
 from meterbook.session import Staging, configure
-from meterbook.sources import claude, codex, copilot, gemini, jsonfile, ledger, lines, workbuddy
+from meterbook.sources import claude, codex, copilot, gemini, jsonfile, ledger, lines, rollup, workbuddy
 from meterbook.sources.profile import load_profile
 from meterbook.streaming.incremental import import_changes
 from testviews import view
@@ -1357,6 +1357,47 @@ def _import_indexed(spark, sf_dir):
     return decisions.join(dates, "event_id").select("event_id", "status", "event_date_utc")
 
 
+@_register(
+    "rollup_monthly",
+    f"""WITH l AS (SELECT *, CASE WHEN CAST(event_id AS BIGINT) % 3 = 1 THEN 2 ELSE 1 END AS copies FROM ({O.LEDGER}))
+ SELECT {O.bucket("monthly", "Asia/Kolkata")} AS label, CAST(SUM(copies) AS BIGINT) AS events,
+ {", ".join(f"CAST(SUM(copies * {t}) AS BIGINT) AS {t}" for t in S.TOKEN_COLUMNS)} FROM l GROUP BY 1""",
+)
+def _rollup_monthly(spark, sf_dir):
+    """Sums of a ledger and of a write that came later, which has no sums of its own yet."""
+    path = f"{Staging(spark, 'rollup').root}/ledger"
+    rows = normalize.cleaned(_ledger(spark, sf_dir))
+    ledger.write_ledger(rows, path)
+    rollup.refresh(spark, path)
+    more = rows.where(F.col("event_id").cast("bigint") % 3 == 1).withColumn("event_id", F.concat("event_id", F.lit("x")))
+    stored = normalize.with_derived(more).select(*S.STORED_SCHEMA.fieldNames())
+    ledger._commit(stored, path, None, 1, None, stored.select("event_id"))
+    return rollup.timeseries(rollup.rollup(spark, path), "monthly", Filters(timezone="Asia/Kolkata"))
+
+
+@_register(
+    "rollup_after_merge",
+    f"""WITH {O.MERGE}, u AS (SELECT l.event_id, CASE WHEN x.status = 'updated' AND d.act IN (4, 5) THEN 'gamma-3'
+   ELSE l.model_normalized END AS model_normalized, l.total_tokens, l.output_tokens
+   FROM l LEFT JOIN d USING (event_id) LEFT JOIN decided x USING (event_id)
+  UNION ALL SELECT event_id || 'x', model_normalized, total_tokens, output_tokens FROM l WHERE n % 3 = 1)
+ SELECT model_normalized AS label, COUNT(*) AS events, CAST(SUM(total_tokens) AS BIGINT) AS total_tokens,
+ CAST(SUM(output_tokens) AS BIGINT) AS output_tokens FROM u GROUP BY 1""",
+)
+def _rollup_merged(spark, sf_dir):
+    """Sums kept before and after a merge that writes dates anew."""
+    staging = Staging(spark, "rollup")
+    stored, incoming = f"{staging.root}/first", f"{staging.root}/second"
+    ledger.write_ledger(normalize.cleaned(_ledger(spark, sf_dir)), stored)
+    rollup.refresh(spark, stored)
+    allowed = _merge(spark, sf_dir).where(F.col("status") != reconcile.REJECTED).select("event_id")
+    ledger.write_ledger(view(spark, sf_dir, "incoming").join(allowed, "event_id", "left_semi"), incoming)
+    merge_ledgers(spark, incoming, stored, 9)
+    rollup.refresh(spark, stored)
+    models = rollup.breakdown(rollup.rollup(spark, stored), "model")
+    return models.select("label", "events", "total_tokens", "output_tokens")
+
+
 _USER = "CAST(split_part(session_key, '-', 2) AS BIGINT)"
 
 

@@ -73,13 +73,18 @@ def manifest_file(folder: str, number: int) -> str:
     return f"{folder}/commit-{number:020d}.parquet"
 
 
-def write_manifest(entries: DataFrame, folder: str, number: int) -> bool:
-    """Publish the manifest of a number unless another writer has; whether it was published."""
-    spark = entries.sparkSession
+def write_once(rows: DataFrame, folder: str, name: str) -> bool:
+    """Write a few rows as one Parquet file, unless there is one of that name; whether it was written."""
+    spark = rows.sparkSession
     new = f"{folder}/_new-{uuid.uuid4().hex}"
-    entries.coalesce(1).write.parquet(new)
+    rows.coalesce(1).write.parquet(new)
     part = next(n for n in children(spark, new) if n.startswith("part-"))
     try:
-        return publish(spark, f"{new}/{part}", manifest_file(folder, number))
+        return publish(spark, f"{new}/{part}", f"{folder}/{name}")
     finally:
         remove(spark, new)
+
+
+def write_manifest(entries: DataFrame, folder: str, number: int) -> bool:
+    """Publish the manifest of a number unless another writer has; whether it was published."""
+    return write_once(entries, folder, manifest_file("", number).removeprefix("/"))

@@ -10,7 +10,7 @@ from meterbook.operators import metrics, normalize, quality
 from meterbook.operators.filters import Filters
 from meterbook.plans.ingest import import_logs
 from meterbook.plans.merge import MergeConflict, merge_ledgers
-from meterbook.sources import filestate, keyindex, ledger, store
+from meterbook.sources import filestate, keyindex, ledger, rollup, store
 from meterbook.sources import lines as L
 from meterbook.streaming.incremental import follow, import_changes
 from pyspark.sql import functions as F
@@ -398,6 +398,29 @@ def test_vacuum_removes_what_no_manifest_names(spark, tmp_path):
     assert ledger.vacuum(spark, path, later) == []
 
 
+def test_sums_follow_the_manifest(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    ledger.write_ledger(three_events(spark), path)
+
+    def totals():
+        kept = rollup.rollup(spark, path)
+        row = kept.agg(F.sum("events"), F.sum("total_tokens")).first()
+        assert tuple(row) == tuple(ledger.read_ledger(spark, path).selectExpr("count(1)", "sum(total_tokens)").first())
+        return row[0]
+
+    assert totals() == 3  # from the events, as there are no sums yet
+    assert (rollup.refresh(spark, path), rollup.refresh(spark, path)) == (1, 0) and totals() == 3
+    old = ledger.read_ledger(spark, path)
+    anew = old.withColumn("total_tokens", F.col("total_tokens") + 100)
+    ledger._commit(anew, path, old.select("event_date_utc").distinct(), 1, anew.limit(0), anew.select("event_id"))
+    assert totals() == 3  # the date was replaced, and its sums with it
+    assert rollup.refresh(spark, path) == 1 and totals() == 3
+    filters = Filters(provider=ledger.read_ledger(spark, path).where("provider IS NOT NULL").first().provider)
+    assert rollup.breakdown(rollup.rollup(spark, path), "channel", filters).count() >= 1
+    with pytest.raises(ValueError):
+        rollup.breakdown(rollup.rollup(spark, path), "session")
+
+
 def test_a_deviating_file_in_one_date_is_noticed(spark, logs, tmp_path):
     path, runs = f"{tmp_path}/ledger", f"{tmp_path}/runs"
     import_logs(spark, {"claude": logs["claude"]}, path, runs, 1, grace_minutes=None)

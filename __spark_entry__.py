@@ -21,11 +21,12 @@ from meterbook.operators.counters import POLICY_COMPATIBLE, POLICY_LEDGER, snaps
 from meterbook.operators.dedupe import deduplicate_messages, first_occurrences
 from meterbook.operators.filters import Filters
 from meterbook.operators.pricing import Costing
+from meterbook.plans import pages
 from meterbook.plans.ingest import import_events, import_logs
 from meterbook.plans.merge import merge_decisions, merge_ledgers
 from meterbook.plans.report import report
 from meterbook.session import Staging, configure
-from meterbook.sources import claude, codex, copilot, gemini, jsonfile, ledger, lines, rollup, workbuddy
+from meterbook.sources import claude, codex, copilot, digests, gemini, jsonfile, ledger, lines, rollup, workbuddy
 from meterbook.sources.profile import load_profile
 from meterbook.streaming.incremental import import_changes
 from testviews import view
@@ -1440,6 +1441,62 @@ def _incremental(spark, sf_dir):
     return spark.createDataFrame(out, "step string, added int, skipped int, stored bigint")
 
 
+# Pages and comparisons of stored ledgers ---------------------------------------------------
+
+
+@_register(
+    "events_page_deep",
+    f"""SELECT {_EVENT_COLUMNS_SQL} FROM ({O.LEDGER}) WHERE channel <> 'claude'
+ ORDER BY timestamp_ms DESC, event_id LIMIT 700 OFFSET 450""",
+)
+def _events_page_deep(spark, sf_dir):
+    """A page of a stored ledger in two versions, one of them without sums; ranges are divided down
+    to 50 rows, as ranges of millions would be."""
+    path = f"{Staging(spark, 'pages').root}/ledger"
+    rows = _ledger(spark, sf_dir).where("channel <> 'claude'")
+    even = F.col("event_id").cast("bigint") % 2 == 0
+    ledger.write_ledger(rows.where(even), path)
+    rollup.refresh(spark, path)
+    late = normalize.with_derived(rows.where(~even)).select(*S.STORED_SCHEMA.fieldNames())
+    ledger._commit(late, path, None, 1, None, late.select("event_id"))
+    return pages.event_page(spark, path, limit=700, offset=450, most=50).items
+
+
+@_register("sessions_page_deep", O.sessions("ORDER BY last_ms DESC, session_key LIMIT 50 OFFSET 60"))
+def _sessions_page_deep(spark, sf_dir):
+    return pages.session_page(_ledger(spark, sf_dir), Filters(timezone=NEW_YORK), 50, 60, most=20).items
+
+
+@_register("ledger_diff_by_digests", _ORACLES["ledger_diff"])
+def _diff_by_digests(spark, sf_dir):
+    """The same difference, of two stored ledgers that are compared by their digests first."""
+    root = Staging(spark, "diff").root
+    for name, rows in (("candidate", view(spark, sf_dir, "incoming")), ("baseline", _ledger(spark, sf_dir))):
+        ledger.write_ledger(rows, f"{root}/{name}")
+        digests.refresh(spark, f"{root}/{name}")
+    sides = [ledger.snapshot(spark, f"{root}/{name}") for name in ("candidate", "baseline")]
+    return digests.diff(*sides, load_profile())
+
+
+@_register(
+    "ledger_changes",
+    f"""WITH {O.MERGE} SELECT event_id, CASE status WHEN 'inserted' THEN 'added' ELSE 'changed' END AS change
+ FROM decided WHERE status IN ('inserted', 'updated')""",
+)
+def _ledger_changes(spark, sf_dir):
+    """What a merge has changed in a ledger, by the digests of its states before and after."""
+    staging = Staging(spark, "changes")
+    stored, incoming = f"{staging.root}/first", f"{staging.root}/second"
+    ledger.write_ledger(normalize.cleaned(_ledger(spark, sf_dir)), stored)
+    digests.refresh(spark, stored)
+    before = ledger.snapshot(spark, stored)
+    allowed = _merge(spark, sf_dir).where(F.col("status") != reconcile.REJECTED).select("event_id")
+    ledger.write_ledger(view(spark, sf_dir, "incoming").join(allowed, "event_id", "left_semi"), incoming)
+    merge_ledgers(spark, incoming, stored, 9)
+    digests.refresh(spark, stored)
+    return digests.changes(ledger.snapshot(spark, stored), before).select("event_id", "change")
+
+
 # Training-data operators -----------------------------------------------------------------
 # They live in one subpackage and one pipeline module that may be absent as a whole.
 

@@ -192,9 +192,12 @@ def session_rollup(events: DataFrame, costing: Costing) -> DataFrame:
 
 def session_list(events: DataFrame, filters: Filters = Filters(), costing: Costing | None = None) -> DataFrame:
     """Every session, newest first; sorted in ranges, so no task sees them all."""
-    costing = costing or Costing.load()
-    rollup = session_rollup(apply_filters(events, filters), costing)
-    return _session_columns(_newest(rollup), filters, costing)
+    return session_rows(apply_filters(events, filters), filters, costing or Costing.load())
+
+
+def session_rows(rows: DataFrame, filters: Filters, costing: Costing) -> DataFrame:
+    """Every session of rows that are filtered already, newest first."""
+    return _session_columns(_newest(session_rollup(rows, costing)), filters, costing)
 
 
 def _newest(rollup: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterbook import schema as S
+from meterbook.functions import clock
 from meterbook.functions.clock import time_bucket
 from meterbook.operators.filters import Filters, apply_filters
 from meterbook.operators.metrics import dimension_label
@@ -45,7 +46,7 @@ def _summed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("timestamp_ms", slot).groupBy(*keys, *_KEYS).agg(F.count(F.lit(1)).alias("events"), *sums)
 
 
-def _version_rows(now: ledger.Snapshot, versions: list[str]) -> DataFrame:
+def version_rows(now: ledger.Snapshot, versions: list[str]) -> DataFrame:
     stored = T.StructType([*S.STORED_SCHEMA.fields, T.StructField(ledger.VERSION, T.StringType())])
     places = [f"{now.path}/data/version={v}" for v in versions]
     return now.spark.read.schema(stored).option("basePath", f"{now.path}/data").parquet(*places)
@@ -60,7 +61,7 @@ def _runs(spark: SparkSession, path: str) -> dict[str, str]:
     return {r.version: r.run for r in found.collect()}  # one row per version
 
 
-def _live(now: ledger.Snapshot) -> list[str]:
+def live_versions(now: ledger.Snapshot) -> list[str]:
     """Versions that count; one per write that has not been replaced as a whole."""
     return sorted(r[ledger.VERSION] for r in now.places.select(ledger.VERSION).distinct().collect())
 
@@ -69,11 +70,11 @@ def refresh(spark: SparkSession, path: str) -> int:
     """Sum up the versions that have no sums yet; how many there were."""
     now = ledger.snapshot(spark, path)
     known = _runs(spark, now.path)
-    missing = [v for v in _live(now) if v not in known]
+    missing = [v for v in live_versions(now) if v not in known]
     if not missing:
         return 0
     run = uuid.uuid4().hex
-    sums = _summed(_version_rows(now, missing), ledger.VERSION, ledger.PARTITION)
+    sums = _summed(version_rows(now, missing), ledger.VERSION, ledger.PARTITION)
     sums.select(*_SUMS_SCHEMA.fieldNames()).write.mode("errorifexists").partitionBy(
         ledger.VERSION, ledger.PARTITION
     ).parquet(f"{now.path}/rollups/run={run}")
@@ -85,10 +86,10 @@ def refresh(spark: SparkSession, path: str) -> int:
     return len(missing)
 
 
-def rollup(spark: SparkSession, path: str) -> DataFrame:
+def rollup(spark: SparkSession, path: str, now: ledger.Snapshot | None = None) -> DataFrame:
     """The sums that count now, shaped like events with their number in ``events``."""
-    now = ledger.snapshot(spark, path)
-    live, known = _live(now), _runs(spark, now.path)
+    now = now or ledger.snapshot(spark, path)
+    live, known = live_versions(now), _runs(spark, now.path)
     rows = spark.createDataFrame([], _SUMS_SCHEMA)
     if kept := [v for v in live if v in known]:
         base = f"{now.path}/rollups"
@@ -97,10 +98,25 @@ def rollup(spark: SparkSession, path: str) -> DataFrame:
         stored = spark.read.schema(schema).option("basePath", base).parquet(*places)
         rows = rows.unionByName(stored.drop("run"))
     if late := [v for v in live if v not in known]:
-        rows = rows.unionByName(_summed(_version_rows(now, late), ledger.VERSION, ledger.PARTITION))
+        rows = rows.unionByName(_summed(version_rows(now, late), ledger.VERSION, ledger.PARTITION))
     return rows.join(now.places, [ledger.VERSION, ledger.PARTITION], "left_semi").drop(ledger.VERSION)
 
 
+def answers(filters: Filters) -> bool:
+    """Whether the sums can tell what a selection holds: sessions are not among their dimensions,
+    and bounds given as instants may cut a quarter of an hour."""
+    f = filters.validate()
+    bounds = [clock.since_millis(f.since, f.timezone)] if f.since else []
+    bounds += [clock.until_millis(f.until, f.timezone)] if f.until else []
+    return not f.session and all(ms % SLOT_MS == 0 for ms in bounds)
+
+
+def _selected(sums: DataFrame, filters: Filters) -> DataFrame:
+    if not answers(filters):
+        raise ValueError("sums keep neither sessions nor parts of a quarter of an hour")
+    return apply_filters(sums, filters)
+
+
 def _report(rows: DataFrame, label: Column) -> DataFrame:
     sums = [F.coalesce(F.sum(t), F.lit(0)).cast("bigint").alias(t) for t in ("events", *S.TOKEN_COLUMNS)]
     return rows.groupBy(label.alias("label")).agg(*sums).orderBy("label")
@@ -108,7 +124,7 @@ def _report(rows: DataFrame, label: Column) -> DataFrame:
 
 def timeseries(sums: DataFrame, bucket: str, filters: Filters = Filters()) -> DataFrame:
     """A2 from sums: usage per day, week or month of the report zone."""
-    rows = apply_filters(sums, filters)
+    rows = _selected(sums, filters)
     return _report(rows, time_bucket(F.col("timestamp_ms"), filters.timezone, bucket))
 
 
@@ -116,5 +132,5 @@ def breakdown(sums: DataFrame, by: str, filters: Filters = Filters()) -> DataFra
     """A3-A8 from sums, for the dimensions that they keep; sessions are not among them."""
     if by == "session":
         raise ValueError("sums do not keep sessions")
-    rows = apply_filters(sums, filters)
+    rows = _selected(sums, filters)
     return _report(rows, dimension_label(rows, by))

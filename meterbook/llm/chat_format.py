@@ -2,8 +2,11 @@
 
 Layouts. A record's field paths (``messages[].role``, ``prompt``, ...) that any declared mapping
 knows are sorted and hashed; the hash selects the mapping. Fields no mapping knows do not count,
-so extra columns change nothing. A record whose hash no mapping declares is returned with a null
-layout and no turns, never dropped.
+so extra columns change nothing. Every layout but single turns is also declared with a ``system``
+field, which becomes the first turn. A hash that no mapping declares, as of a record with fields of
+two layouts, selects the mapping with most paths among those whose paths are all there, the one
+declared first if several have as many. Only a record that has no mapping's paths is unknown: it is
+returned with a null layout and no turns, never dropped.
 
 Template. A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts every ``<|``
 is written ``<||``, so no control string can occur there, and line feeds in roles are written
@@ -14,7 +17,8 @@ mask (texts of assistants). A conversation of any length is sorted and streamed,
 
 Defined cases: a null text or role is empty; turns sort by turn, nulls first, then by
 their formatted text, and rows that repeat are turns of their own; a null conversation id is one conversation;
-an empty table gives an empty result.
+a record with an empty or null list of turns has its layout and one row with a null turn; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ ASSISTANT = "assistant"
 #: Declared layouts: name, the field paths that identify it, and where its turns are. A turn is
 #: ``(role, text)``; a leading ``=`` marks a fixed role, everything else is a path. ``each`` names
 #: the list the paths are relative to.
-LAYOUTS = (
+_PLAIN = (
     {"name": "turn_rows", "each": None, "turns": (("role", "text"),)},
     {"name": "role_content", "each": "messages", "turns": (("role", "content"),)},
     {"name": "from_value", "each": "conversations", "turns": (("from", "value"),)},
@@ -48,20 +52,18 @@ LAYOUTS = (
         "each": None,
         "turns": (("=user", "instruction"), ("=user", "input"), ("=assistant", "output")),
     },
-    {
-        "name": "system_prompt_response",
-        "each": None,
-        "turns": (("=system", "system"), ("=user", "prompt"), ("=assistant", "response")),
-    },
     {"name": "question_answer", "each": None, "turns": (("=user", "question"), ("=assistant", "answer"))},
 )
-#: Names that sources use for the three roles.
+_SYSTEM = ("=system", "system")
+LAYOUTS = _PLAIN + tuple({**x, "name": f"system_{x['name']}", "lead": (_SYSTEM,)} for x in _PLAIN[1:])
+#: Names that sources use for the three roles; rows of single turns are taken by the names they have.
 ROLE_NAMES = {"human": "user", "gpt": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
 
 
 def _layout_paths(layout: dict) -> frozenset[str]:
     prefix = f"{layout['each']}[]." if layout["each"] else ""
-    return frozenset(prefix + p for turn in layout["turns"] for p in turn if p[0] != "=")
+    lead = {p for turn in layout.get("lead", ()) for p in turn if p[0] != "="}
+    return frozenset(lead.union(prefix + p for turn in layout["turns"] for p in turn if p[0] != "="))
 
 
 _KNOWN = frozenset().union(*map(_layout_paths, LAYOUTS))
@@ -75,6 +77,15 @@ def fingerprint(paths) -> str:
 REGISTRY = {fingerprint(_layout_paths(layout)): layout for layout in LAYOUTS}
 
 
+def layout_of(paths) -> dict | None:
+    """The mapping for a set of field paths."""
+    exact = REGISTRY.get(fingerprint(paths))
+    if exact is not None:
+        return exact
+    held = [layout for layout in LAYOUTS if _layout_paths(layout) <= set(paths)]
+    return max(held, key=lambda layout: len(_layout_paths(layout)), default=None)
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     """Leaf paths of a Spark type; ``[]`` marks list elements."""
     if isinstance(kind, T.ArrayType):
@@ -84,6 +95,12 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     return {at}
 
 
+def _empty_list_paths(record: dict) -> set[str]:
+    """The paths that the turns of an empty or null list would have."""
+    empty = {x["each"] for x in _PLAIN if x["each"] and x["each"] in record and not record[x["each"]]}
+    return set().union(*(_layout_paths(x) for x in _PLAIN if x["each"] in empty))
+
+
 def record_paths(value, at: str = "") -> set[str]:
     """Leaf paths of a parsed JSON value."""
     if isinstance(value, dict):
@@ -101,18 +118,20 @@ def _text(value) -> str:
 
 def _record_turns(layout: dict, record: dict) -> list[tuple[str, str]]:
     items = record.get(layout["each"]) if layout["each"] else [record]
-    turns = []
+    turns = [(role[1:], _text(record.get(text))) for role, text in layout.get("lead", ())]
+    names = ROLE_NAMES if layout["name"] != "turn_rows" else {}
     for item in items or []:
-        for role, text in layout["turns"]:
+        for role, text in layout["turns"] if isinstance(item, dict) else ():
             name = role[1:] if role[0] == "=" else _text(item.get(role))
-            turns.append((ROLE_NAMES.get(name, name), _text(item.get(text))))
+            turns.append((names.get(name, name), _text(item.get(text))))
     return turns
 
 
 def turns_of_json(records: DataFrame, record_id: str = "record_id", record: str = "record") -> DataFrame:
     """``conv_id, turn, role, text, layout`` from a column of JSON objects of any layout.
 
-    A record that is null, not an object, or of no declared layout gives one row with null turn.
+    A record that is null, not an object, or of no declared layout gives one row with null turn and
+    null layout. The id may be of any type, a struct included.
     """
 
     key_type = to_arrow_type(records.schema[record_id].dataType)
@@ -126,12 +145,13 @@ def turns_of_json(records: DataFrame, record_id: str = "record_id", record: str
                     value = json.loads(raw)
                 except (TypeError, ValueError):
                     value = None
-                layout = REGISTRY.get(fingerprint(record_paths(value))) if isinstance(value, dict) else None
-                if layout is None:
-                    rows.append((key, None, None, None, None))
-                    continue
-                for n, (role, text) in enumerate(_record_turns(layout, value)):
+                paths = record_paths(value) | _empty_list_paths(value) if isinstance(value, dict) else ()
+                layout = layout_of(paths)
+                turns = _record_turns(layout, value) if layout else []
+                for n, (role, text) in enumerate(turns):
                     rows.append((key, n, role, text, layout["name"]))
+                if not turns:
+                    rows.append((key, None, None, None, layout["name"] if layout else None))
             names = ["conv_id", "turn", "role", "text", "layout"]
             yield _batch(rows, names, kinds)
 
@@ -143,7 +163,7 @@ def turns_of_json(records: DataFrame, record_id: str = "record_id", record: str
 
 def turns_of_table(rows: DataFrame) -> DataFrame:
     """``conv_id, turn, role, text, layout`` from a typed table; its schema is hashed once."""
-    layout = REGISTRY.get(fingerprint(schema_paths(rows.schema)))
+    layout = layout_of(schema_paths(rows.schema))
     if layout is None:
         raise ValueError(f"no layout is declared for the fields {sorted(schema_paths(rows.schema))}")
     name = F.lit(layout["name"]).alias("layout")
@@ -154,17 +174,23 @@ def turns_of_table(rows: DataFrame) -> DataFrame:
         said = F.lit(role[1:]) if role[0] == "=" else item[role]
         return F.struct(F.lit(n).alias("n"), said.alias("role"), item[text].cast("string").alias("text"))
 
-    if layout["each"]:
+    lead = layout.get("lead", ())
+    row = F.struct(*[F.col(p) for p in sorted(_layout_paths(layout)) if "[]" not in p])
+    first = [turn(row, n, r, t) for n, (r, t) in enumerate(lead)]
+    if layout["each"]:  # a list without turns gives one row with a null turn, as for JSON
         (role, text), = layout["turns"]
         turns = F.transform(
             layout["each"],
-            lambda x, i: F.struct(i.alias("n"), x[role].alias("role"), x[text].cast("string").alias("text")),
+            lambda x, i: F.struct(
+                (i + len(lead)).alias("n"), x[role].cast("string").alias("role"), x[text].cast("string").alias("text")
+            ),
         )
+        if lead:
+            turns = F.concat(F.array(*first), F.coalesce(turns, F.array().cast("array<struct<n:int,role:string,text:string>>")))
     else:
-        row = F.struct(*[F.col(p) for p in sorted(_layout_paths(layout))])
-        turns = F.array(*[turn(row, n, r, t) for n, (r, t) in enumerate(layout["turns"])])
+        turns = F.array(*first, *[turn(row, n, r, t) for n, (r, t) in enumerate(layout["turns"], len(lead))])
     role_names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    return rows.select("conv_id", F.explode(turns).alias("t")).select(
+    return rows.select("conv_id", F.explode_outer(turns).alias("t")).select(
         "conv_id",
         F.col("t.n").cast("bigint").alias("turn"),
         F.coalesce(role_names[F.col("t.role")], F.col("t.role")).alias("role"),

@@ -27,6 +27,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
@@ -44,7 +45,7 @@ CAP = 2
 BUCKET_ROWS = 4_000
 MAX_SOURCES = 100_000
 _ONE = 1 << 30  # fixed-point rate of one copy
-_MAX_STEPS = 60
+_NEWTON_STEPS = 60  # brackets that are still open after these are halved until they close
 
 
 def word_count(text: Column) -> Column:
@@ -77,7 +78,7 @@ class _Root:
         self.fixed = _ONE * cap if target >= cap * size else 0 if target <= 0 else None
         self.done = self.fixed is not None
 
-    def step(self, words: float, slope: float) -> None:
+    def step(self, words: float, slope: float, halve: bool = False) -> None:
         """Move on, given the words taken at ``value`` and their derivative."""
         gap = words - self.target
         if abs(gap) <= max(0.25, 1e-9 * self.target):
@@ -87,7 +88,7 @@ class _Root:
             self.high = self.value
         else:
             self.low = self.value
-        new = self.value - gap / slope if slope > 0 else math.nan
+        new = self.value - gap / slope if slope > 0 and not halve else math.nan
         if not self.low < new < self.high:
             if math.isinf(self.low):
                 new = min(2 * self.value, -1.0)
@@ -110,11 +111,14 @@ def _state(spark, roots: list[_Root], keep) -> DataFrame:
 
 
 def _solve(histogram: DataFrame, roots: list[_Root], cap: int) -> None:
-    """Newton iterations on the dual; each is one aggregation over the histogram."""
+    """Newton iterations on the dual; each is one aggregation over the histogram.
+
+    Every root is found: a bracket that is halved closes within the digits of a double.
+    """
     spark = histogram.sparkSession
-    for _ in range(_MAX_STEPS):
-        if all(r.done for r in roots):
-            return
+    steps = itertools.count()
+    while not all(r.done for r in roots):
+        halve = next(steps) >= _NEWTON_STEPS
         # one row per source, at most MAX_SOURCES
         state = F.broadcast(_state(spark, roots, lambda r: not r.done))
         rate = _rate(F.col("multiplier"), F.col("unit"), F.col("size"), F.col("fixed"), cap)
@@ -129,7 +133,7 @@ def _solve(histogram: DataFrame, roots: list[_Root], cap: int) -> None:
             .collect()
         )
         for r in sums:
-            roots[r.k].step(float(r.words) / _ONE, float(r.slope or 0) / _ONE)
+            roots[r.k].step(float(r.words) / _ONE, float(r.slope or 0) / _ONE, halve)
 
 
 def _rounded(rated: DataFrame) -> DataFrame:

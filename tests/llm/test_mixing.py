@@ -86,3 +86,14 @@ def test_a_column_called_copies_is_replaced(spark):
     data = [(i, "a", "word " * 5, "s", "old", "k") for i in range(20)]
     got = mixing.mix(spark.createDataFrame(data, SCHEMA))
     assert got.columns.count("copies") == 1 and {r.copies for r in got.collect()} <= {1, 2}
+
+
+def test_roots_are_found_when_newton_steps_do_not_help():
+    """A derivative far too large moves the value by next to nothing; halving still ends."""
+    root = mixing._Root(size=1000, docs=10, target=Fraction(777), cap=2)
+    words = lambda x: min(1000 * math.exp(x), 2000.0)
+    for n in range(400):
+        if root.done:
+            break
+        root.step(words(root.value), 1e18, halve=n >= 60)
+    assert root.done and n < 200 and abs(words(root.value) - 777) <= 0.25

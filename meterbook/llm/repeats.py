@@ -9,20 +9,21 @@ input.
    An anchor met in two documents is live.
 2. Segments. Every live anchor gives the words of the windows that chose it. Documents without a
    live anchor take no further part.
-3. Automata. Segments are dealt by anchor and stream by in order of anchor and document. Shards of
-   ``SHARD_SEGMENTS`` confirm which windows recur and name the first document that has them; the
-   confirmed phrases are compiled into an Aho-Corasick automaton, over words as letters, and all
-   segments of the shard run through it. Every hit of a phrase that an earlier document has is
-   an occurrence to remove.
+3. Automata. Segments are dealt by anchor and stream by in order of anchor and document. In a shard
+   of ``SHARD_SEGMENTS`` and more, the windows whose hash recurs are the phrases; they are compiled into an
+   Aho-Corasick automaton, over words as letters, and all segments of the shard run through it in
+   order. The first document in which the automaton meets a phrase has it, every later occurrence
+   is to be removed. Words are compared by the automaton, hashes only say what to compile.
 4. The words found are removed from the documents that have any.
 
 Hot groups are reduced before every shuffle: of anchors that several documents of a batch share,
 one is dealt by anchor and the others are known to be live; of equal segments of a batch, those
 of all documents but the smallest are known to recur as a whole. Known rows are dealt by document.
-An anchor with very many segments, as at the edge of a passage that a third of all documents hold,
-is dealt window by window, by a hash of the window's words.
-A shard forgets its words at the end of an anchor, so a worker holds one shard, or the distinct
-windows of one anchor.
+An anchor with more segments than ``HOT_WORDS`` words can make, as at the edge of a passage that a
+third of all documents hold, is dealt window by window, by a hash of the window's words. The bound
+does not grow with the table. A shard ends with an anchor; only where one window alone has more
+words than ``SHARD_WORDS`` it ends before, and the next one knows its phrases. So a worker holds
+one shard.
 
 Bloom filters of at most 64 MiB keep documents that are not affected out of the two joins; when
 they fill up, more texts shuffle, at most all.
@@ -51,9 +52,10 @@ from meterbook.session import Staging
 WINDOW = 13
 GRAM = 5
 SHARD_SEGMENTS = 4_000
-#: An anchor is hot above this many rows, and above one ``HOT_SHARE``-th of all.
-HOT_ROWS = 2_000
-HOT_SHARE = 1_000
+#: An anchor is hot if its segments may have more words than this.
+HOT_WORDS = 500_000
+#: A shard ends at the next anchor above half of this, and at once above it; there are letters for more.
+SHARD_WORDS = 1_000_000
 _LAST = (1 << 63) - 1
 _PROBES = 4
 
@@ -184,16 +186,15 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return offsets, [f.to_numpy(zero_copy_only=False) for f in fields]
 
 
-def _hot_anchors(live: DataFrame) -> np.ndarray:
-    """Anchors with more rows than one task should get, sorted; at most ``HOT_SHARE`` of them."""
-    most = max(HOT_ROWS, live.count() // HOT_SHARE)
-    rows = live.groupBy("anchor").count().where(F.col("count") > most).collect()
-    return np.sort(np.array([r.anchor for r in rows], np.int64))
+def _with_hot(live: DataFrame, longest: int, staging: Staging) -> DataFrame:
+    """``live`` with ``hot``: has the anchor more rows of ``longest`` words than one task should get?"""
+    hot = live.groupBy("anchor").count().where(F.col("count") > HOT_WORDS // longest)
+    hot = staging.put(hot.select("anchor", F.lit(True).alias("hot")), "hot")
+    return live.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
-def _windows_of_hot(hot, offsets, anchors, starts, more):
+def _windows_of_hot(is_hot, offsets, anchors, starts, more):
     """Every segment of a hot anchor as its single windows."""
-    is_hot = np.isin(anchors, hot)
     times = np.where(is_hot, more + 1, 1)
     at = np.repeat(np.arange(len(anchors)), times)
     first = np.append(0, np.cumsum(times))
@@ -202,7 +203,7 @@ def _windows_of_hot(hot, offsets, anchors, starts, more):
     return first[offsets], anchors[at], starts[at] + inside, np.where(hot_rows, 0, more[at]), hot_rows
 
 
-def _segments(affected: DataFrame, window: int, hot) -> DataFrame:
+def _segments(affected: DataFrame, window: int) -> DataFrame:
     """``deal, doc, key, starts, words, segment``: where a document has a segment of so many words.
 
     Without a segment the spans are known to recur. A document that repeats a segment gives one
@@ -213,8 +214,8 @@ def _segments(affected: DataFrame, window: int, hot) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, (anchors, starts, more) = _lists(batch.column(3))
-            offsets, anchors, starts, more, by_window = _windows_of_hot(hot.value, offsets, anchors, starts, more)
+            offsets, (anchors, starts, more, hot) = _lists(batch.column(3))
+            offsets, anchors, starts, more, by_window = _windows_of_hot(hot, offsets, anchors, starts, more)
             each = np.diff(offsets)
             docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each)
             keys = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), each)
@@ -254,39 +255,51 @@ class _Letters(dict):
 
 
 class Shard:
-    """Segments in order of anchor and document, and the windows seen of the open anchor."""
+    """Segments in order of anchor and document, the automaton of their phrases, and its hits."""
 
     def __init__(self, window: int):
         self.window = window
         self.letters = _Letters()
-        self.first: dict[str, int] = {}
-        self.segments: list[tuple[int, int, list[int], str]] = []
-
-    def forget(self) -> None:
-        self.letters.clear()
-        self.first.clear()
-
-    def add(self, doc: int, key: int, starts: list[int], segment: bytes) -> None:
-        self.segments.append((doc, key, starts, "".join(map(self.letters.__getitem__, segment.split(b" ")))))
-
-    def spans(self) -> Iterator[tuple[int, int, int]]:
-        """``key, start, stop`` of all words to remove, and the segments are done."""
-        w, phrases = self.window, {}
-        for doc, _, _, text in self.segments:
-            for i in range(len(text) - w + 1):
-                phrase = text[i : i + w]
-                owner = self.first.setdefault(phrase, doc)
-                if owner < doc:
-                    phrases[phrase] = owner
+        self.segments: list[tuple[int, int, int, list[int], str]] = []
+        self.words = 0
+        #: phrases of the open deal with the document that has them, if the deal goes on
+        self.open: dict[str, int] = {}
+
+    def add(self, deal: int, doc: int, key: int, starts: list[int], segment: bytes) -> None:
+        text = "".join(map(self.letters.__getitem__, segment.split(b" ")))
+        self.segments.append((deal, doc, key, starts, text))
+        self.words += len(text)
+
+    def _phrases(self) -> set[str]:
+        """Windows whose hash recurs in the shard."""
+        w = self.window
+        text = "".join(s[-1] for s in self.segments)
+        sizes = np.array([len(s[-1]) for s in self.segments])
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        hashes = words.grams(codes * np.uint64(0x9E3779B97F4A7C15), w)
+        ends = np.repeat(np.cumsum(sizes), sizes)[: len(hashes)]
+        at = np.flatnonzero(np.arange(len(hashes)) + w <= ends)
+        _, which, n = np.unique(hashes[at], return_inverse=True, return_counts=True)
+        return {text[i : i + w] for i in at[n[which] > 1].tolist()}
+
+    def spans(self, goes_on: bool = False) -> Iterator[tuple[int, int, int]]:
+        """``key, start, stop`` of all words to remove; the segments are done.
+
+        With ``goes_on`` the last deal has more segments, else the shard forgets its words.
+        """
+        w, phrases = self.window, self._phrases().union(self.open)
         if phrases:
-            automaton = ahocorasick.Automaton()
-            for phrase, owner in phrases.items():
-                automaton.add_word(phrase, owner)
+            automaton, owners = ahocorasick.Automaton(), []
+            for phrase in phrases:
+                automaton.add_word(phrase, len(owners))
+                owners.append(self.open.get(phrase))
             automaton.make_automaton()
-            for doc, key, starts, text in self.segments:
+            for _, doc, key, starts, text in self.segments:
                 found: list[list[int]] = []
-                for at, owner in automaton.iter(text):
-                    if owner >= doc:
+                for at, phrase in automaton.iter(text):
+                    if owners[phrase] is None:
+                        owners[phrase] = doc
+                    if owners[phrase] >= doc:
                         continue
                     if found and at - w + 1 <= found[-1][1]:
                         found[-1][1] = at + 1
@@ -295,7 +308,15 @@ class Shard:
                 for start in starts if found else ():
                     for begin, end in found:
                         yield key, start + begin, start + end
-        self.segments = []
+        if goes_on:
+            last = self.segments[-1][0]
+            for deal, doc, _, _, text in self.segments:
+                for i in range(len(text) - w + 1) if deal == last else ():
+                    self.open.setdefault(text[i : i + w], doc)
+        else:
+            self.open.clear()
+            self.letters.clear()
+        self.segments, self.words = [], 0
 
 
 def _located(segments: DataFrame, window: int, shard_segments: int) -> DataFrame:
@@ -315,14 +336,13 @@ def _located(segments: DataFrame, window: int, shard_segments: int) -> DataFrame
                 if segment is None:
                     out += [(key, start, start + size) for start in starts]
                     continue
-                if len(shard.segments) >= shard_segments:
-                    out += shard.spans()
-                    if deal != last:
-                        shard.forget()
-                elif not shard.segments and deal != last:
-                    shard.forget()
+                if deal != last:
+                    if shard.open or len(shard.segments) >= shard_segments or shard.words > SHARD_WORDS // 2:
+                        out += shard.spans()
+                elif shard.words > SHARD_WORDS:
+                    out += shard.spans(goes_on=True)
                 last = deal
-                shard.add(doc, key, starts, segment)
+                shard.add(deal, doc, key, starts, segment)
             yield batch_of(out)
         yield batch_of(list(shard.spans()))
 
@@ -377,10 +397,10 @@ def without_repeats(
         F.coalesce("text", F.lit("")).alias("text"),
     )
     live = staging.put(_live(_anchors(keyed, window, gram), _radix(window, gram)), "live")
-    anchors = live.groupBy("key").agg(F.collect_set(F.struct("anchor", "start", "more")).alias("anchors"))
+    marked = _with_hot(live, 2 * window - gram, staging)
+    anchors = marked.groupBy("key").agg(F.collect_set(F.struct("anchor", "start", "more", "hot")).alias("anchors"))
     affected = keyed.where(_of_keys(keyed, live.select("key").distinct())).join(anchors, "key")
-    hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(live))
-    spans = staging.put(_located(_segments(affected, window, hot), window, shard_segments), "spans")
+    spans = staging.put(_located(_segments(affected, window), window, shard_segments), "spans")
 
     by_row = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     hit = _of_keys(keyed, spans.select("key").distinct())

@@ -48,11 +48,17 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize(
-    "seed, window, gram, shard, hot",
-    [(1, 13, 5, 4000, 2000), (2, 13, 5, 7, 20), (3, 6, 2, 1, 0), (4, 13, 13, 50, 2000)],
+    "seed, window, gram, shard, hot, shard_words",
+    [
+        (1, 13, 5, 4000, 500_000, 1_000_000),
+        (2, 13, 5, 7, 20 * 21, 1_000_000),
+        (3, 6, 2, 1, 0, 20),
+        (4, 13, 13, 50, 40_000, 300),
+    ],
 )
-def test_every_row_against_all_windows(spark, monkeypatch, seed, window, gram, shard, hot):
-    monkeypatch.setattr(R, "HOT_ROWS", hot)
+def test_every_row_against_all_windows(spark, monkeypatch, seed, window, gram, shard, hot, shard_words):
+    monkeypatch.setattr(R, "HOT_WORDS", hot)
+    monkeypatch.setattr(R, "SHARD_WORDS", shard_words)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, key string, doc int")
@@ -72,3 +78,22 @@ def test_windows_much_longer_than_their_grams(spark, window, gram):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = R.without_repeats(df.repartition(6), window, gram).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, window)
+
+
+def test_a_phrase_of_many_shards_has_one_owner(monkeypatch):
+    monkeypatch.setattr(R, "SHARD_WORDS", 8)
+    shard, out = R.Shard(3), []
+    for doc in range(10):
+        if shard.words > R.SHARD_WORDS:
+            out += shard.spans(goes_on=True)
+        shard.add(7, doc, doc + 100, [doc], b"a b c")
+    out += shard.spans()
+    assert out == [(doc + 100, doc, doc + 3) for doc in range(1, 10)]
+    assert not shard.open and not shard.letters
+
+
+def test_phrases_do_not_cross_segments():
+    shard = R.Shard(2)
+    for doc, segment in enumerate((b"a b", b"c d", b"b c", b"a b", b"b c")):
+        shard.add(0, doc, doc, [0], segment)
+    assert sorted(shard.spans()) == [(3, 0, 2), (4, 0, 2)]

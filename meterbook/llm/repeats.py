@@ -51,11 +51,13 @@ from meterbook.session import Staging
 
 WINDOW = 13
 GRAM = 5
-SHARD_SEGMENTS = 4_000
+SHARD_SEGMENTS = 1_000
 #: An anchor is hot if its segments may have more words than this.
 HOT_WORDS = 500_000
 #: A shard ends at the next anchor above half of this, and at once above it; there are letters for more.
 SHARD_WORDS = 1_000_000
+#: Letters that a worker keeps for later shards.
+_KEPT_LETTERS = 50_000
 _LAST = (1 << 63) - 1
 _PROBES = 4
 
@@ -285,7 +287,7 @@ class Shard:
     def spans(self, goes_on: bool = False) -> Iterator[tuple[int, int, int]]:
         """``key, start, stop`` of all words to remove; the segments are done.
 
-        With ``goes_on`` the last deal has more segments, else the shard forgets its words.
+        With ``goes_on`` the last deal has more segments, else the shard forgets its phrases.
         """
         w, phrases = self.window, self._phrases().union(self.open)
         if phrases:
@@ -315,7 +317,8 @@ class Shard:
                     self.open.setdefault(text[i : i + w], doc)
         else:
             self.open.clear()
-            self.letters.clear()
+            if len(self.letters) > _KEPT_LETTERS:
+                self.letters.clear()
         self.segments, self.words = [], 0
 
 
@@ -332,7 +335,11 @@ def _located(segments: DataFrame, window: int, shard_segments: int) -> DataFrame
 
         for batch in batches:
             out: list = []
-            for deal, doc, key, starts, size, segment in zip(*(c.to_pylist() for c in batch.columns)):
+            places = batch.column(3)
+            ends, flat = places.offsets.to_pylist(), places.values.to_pylist()
+            deals, docs, keys, sizes, segments = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))
+            for deal, doc, key, a, b, size, segment in zip(deals, docs, keys, ends, ends[1:], sizes, segments):
+                starts = flat[a:b]
                 if segment is None:
                     out += [(key, start, start + size) for start in starts]
                     continue

@@ -89,7 +89,7 @@ def test_a_phrase_of_many_shards_has_one_owner(monkeypatch):
         shard.add(7, doc, doc + 100, [doc], b"a b c")
     out += shard.spans()
     assert out == [(doc + 100, doc, doc + 3) for doc in range(1, 10)]
-    assert not shard.open and not shard.letters
+    assert not shard.open and not shard.segments
 
 
 def test_phrases_do_not_cross_segments():

@@ -145,13 +145,14 @@ def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def _partitioned(df: DataFrame) -> DataFrame:
-    """Rows in ranges of date, session and event.
+    """Rows by date, in order of session and event.
 
-    Ranges are balanced by rows, so a date or a session holding much of the table is
+    Tasks are balanced by size when the shuffle has run, so a date holding much of the table is
     written by many tasks, a small date goes into one file, and row groups cover few sessions.
+    Ranges would be balanced too, but to find them all rows are worked out twice.
     """
     order = (PARTITION, "session_key", "event_id")
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return df.hint("rebalance", PARTITION).sortWithinPartitions(*order)
 
 
 def _still_holds(base: Snapshot, now: Snapshot, removed: DataFrame, ids: DataFrame | None) -> bool:
@@ -199,8 +200,11 @@ def _commit(
     base, version = Snapshot(spark, path, expected), uuid.uuid4().hex
     written = _partitioned(rows.withColumn(VERSION, F.lit(version)))
     written.write.mode("append").partitionBy(VERSION, PARTITION).parquet(f"{path}/data")
-    places = (rows if new is None else new).select("event_id", PARTITION)
     fingerprint, none = _fingerprint(rows.schema), F.lit(None)
+    if store.children(spark, f"{path}/data/version={version}"):
+        # what follows reads a column or two of the files, and does not work out the rows again
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/data/version={version}")
+    places = (rows if new is None else new).select("event_id", PARTITION)
     removed = base.places.join(replaced, PARTITION, "left_semi") if replaced is not None else base.places.limit(0)
     entries = rows.select(PARTITION).distinct().select(
         F.lit(_DATA).alias("kind"),
@@ -267,7 +271,7 @@ def apply_changes(
     dates = staging.put(updated.select(PARTITION).distinct(), "dates")
     old = base.rows(strict=False).join(dates, PARTITION, "left_semi")
     kept = old.join(updated.select("event_id"), "event_id", "left_anti").select(*columns)
-    content = staging.put(kept.unionByName(rows.select(*columns)), "content")
+    content = kept.unionByName(rows.select(*columns))
     new = rows.where(F.col("change") != "updated")
     _commit(content, path, dates, base.number, new, ids)
 

@@ -190,3 +190,33 @@ def test_random_batches_match_the_fold(frame, staging):
         assert final[event].change == "inserted"
     assert got == want
     assert sum(R.status_counts(out.decisions).first()) == len(rows)
+
+
+def test_rounds_keep_no_rows_and_marks_leave_none_out(spark, staging, frame, monkeypatch):
+    """Stored rounds hold verdicts, not the batch; with few slots many events share one."""
+    monkeypatch.setattr(R, "SLOTS", 64)
+    better = {"model_normalized": "m", "model_resolution": "direct_event", "model_is_fallback": False, "content_sha256": "h1"}
+    rows = [{"event_id": f"e{n}", **more} for more in ({}, better, {"provider": "p"}) for n in range(200)]
+    stored = cleaned(frame([{"event_id": f"e{n}", **({} if n % 3 else better)} for n in range(0, 200, 2)]))
+    kept, put = {}, staging.put
+
+    def watched(df, name):
+        kept[name] = df.columns
+        return put(df, name)
+
+    monkeypatch.setattr(staging, "put", watched)
+    got = R.reconcile_batch(batch(frame, rows), stored, staging, 9).decisions
+    found = {(r.event_id, r.order_key.line): r.status for r in got.collect()}
+    assert got.count() == len(rows) == len(found)
+    assert "inc" not in kept["round1"]
+    for n in range(200):
+        # a stored event with the better model only lacks what the first row names beside it
+        first = "inserted" if n % 2 else "updated" if n % 6 == 0 else "skipped"
+        second = "skipped" if n % 6 == 0 else "updated"
+        assert [found[f"e{n}", n + 200 * k] for k in range(2)] == [first, second], n
+
+    ids = spark.range(500).selectExpr("CAST(id AS STRING) AS event_id")
+    marks = R.slots_of(ids.where("event_id % 9 = 0"))
+    sides = [R.may_be_in(ids, marks, side) for side in (True, False)]
+    assert sorted(r[0] for r in sides[0].unionByName(sides[1]).collect()) == sorted(r[0] for r in ids.collect())
+    assert sides[1].where("event_id % 9 = 0").isEmpty() and not sides[1].isEmpty()

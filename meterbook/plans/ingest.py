@@ -81,7 +81,7 @@ class Importer:
         if source == "copilot":
             roots, keep = L.preferred_copilot_roots(self.spark, roots), L.copilot_session_file
         else:
-            roots = self._roots(source, roots)
+            roots = self.roots_of(source, roots)
             keep = (lambda path: L.admitted_below(path, roots)) if source == "workbuddy" else None
         suffixes = [self.suffix] + [".json"] * (source == "gemini")
         none = "file_path string, length bigint, changed timestamp, location string"
@@ -125,7 +125,7 @@ class Importer:
         self.policy = duplicate_policy
         self.suffix = suffix
 
-    def _roots(self, product: str, roots: list[str]) -> list[str]:
+    def roots_of(self, product: str, roots: list[str]) -> list[str]:
         return L.existing(self.spark, L.discover_roots(self.spark, product, roots))
 
     def chosen(self, source: str, roots: list[str]) -> list[str]:
@@ -138,14 +138,14 @@ class Importer:
         return [_rejects(source, r) for r in rows]
 
     def claude(self, roots: list[str]) -> Extracted:
-        files, bad, told = _Files(self, "claude", self._roots("claude", roots)), [], []
+        files, bad, told = _Files(self, "claude", self.roots_of("claude", roots)), [], []
         scan = files.scan()
         rows = claude.extract(scan.raw, self.staging, scan, bad)
         records = deduplicate_messages(files.steady(rows, told, "source_file"))
         return Extracted(records, files.count, told + self._told("claude", bad))
 
     def codex(self, roots: list[str]) -> Extracted:
-        files, bad, told = _Files(self, "codex", self._roots("codex", roots)), [], []
+        files, bad, told = _Files(self, "codex", self.roots_of("codex", roots)), [], []
         scan = files.scan()
         rows = files.steady(codex.extract(scan.raw, self.staging, scan, bad), told)
         result = build_records(rows, self.policy, self.staging)
@@ -159,7 +159,7 @@ class Importer:
         return Extracted(result.records, files.count, rejects, result.diagnostics)
 
     def gemini(self, roots: list[str]) -> Extracted:
-        roots, bad, told = self._roots("gemini", roots), [], []
+        roots, bad, told = self.roots_of("gemini", roots), [], []
         logs, documents = _Files(self, "gemini", roots), _Files(self, "gemini", roots, ".json")
         scan = logs.scan()
         parts = jsonfile.scan_fragments(self.spark, self.chosen("gemini", roots), ".json", self.before, self.staging)
@@ -177,7 +177,7 @@ class Importer:
         return Extracted(records, files.count, told + self._told("copilot", bad))
 
     def workbuddy(self, roots: list[str]) -> Extracted:
-        roots, told = self._roots("workbuddy", roots), []
+        roots, told = self.roots_of("workbuddy", roots), []
         files = _Files(self, "workbuddy", roots, keep=lambda path: L.admitted_below(path, roots))
         scan = files.scan()
         records, bad = workbuddy.extract(scan.raw, self.staging, scan)

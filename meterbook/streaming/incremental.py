@@ -76,24 +76,28 @@ def import_changes(
         n_changed = changed.count()
         if not n_changed:
             return Changes(0, 0, None)
-        links = spark.createDataFrame([], filestate.LINKS)
-        for name, roots in _locations(changed, names).items():
-            links = links.unionByName(job.links(name, sources[name] if roots is None else roots))
+        links, n_listed = spark.createDataFrame([], filestate.LINKS), listed.count()
+        for name, roots in _locations(changed, names, n_changed == n_listed).items():
+            links = links.unionByName(job.links(name, job.roots_of(name, sources[name]) if roots is None else roots))
         links = staging.put(links, "links")
         closure = state.closure(changed, links, staging)
         wanted = staging.put(listed.join(closure, list(filestate.FILE), "left_semi"), "wanted")
-        only = _locations(wanted, names)
+        n_wanted = wanted.count()
+        only = _locations(wanted, names, n_wanted == n_listed)
         whole = any(files is None for files in only.values())
         result = import_logs(
             spark, sources, ledger_path, runs_path, now_ms,
             grace_minutes=grace_minutes, suffix=suffix, only=None if whole else only, **options,
         )
         state.add(changed, links)
-        return Changes(n_changed, listed.count() if whole else wanted.count(), result)
+        return Changes(n_changed, n_listed if whole else n_wanted, result)
 
 
-def _locations(files: DataFrame, names: list[str]) -> dict[str, list[str] | None]:
-    """Files by source, ``MOST_NAMED`` at most, or None for a source with more."""
+def _locations(files: DataFrame, names: list[str], every: bool) -> dict[str, list[str] | None]:
+    """Files by source, ``MOST_NAMED`` at most, or None for a source with more. Where the files are
+    ``every`` one there is, as in a first import, none has to be named."""
+    if every:
+        return dict.fromkeys(names)
     out: dict[str, list[str] | None] = {}
     for name in names:
         rows = files.where(F.col("source") == name).select("location").limit(MOST_NAMED + 1).collect()

@@ -533,3 +533,64 @@ def test_schema_is_strict(spark, tmp_path):
     )
     with pytest.raises(ValueError):
         ledger.read_ledger(spark, f"{tmp_path}/odd")
+
+
+def test_listing_and_splits_are_bounded(spark):
+    """A listing of many folders is a few tasks, and a task reads 32 MB or 32 small files."""
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 4 * 8
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "1m"
+
+
+def test_written_logs_are_a_file_per_user(spark, tmp_path):
+    import __spark_entry__ as E
+    from meterbook.session import Staging
+
+    rows = [(n, datetime(2024, 1, 2), n % 5, "view", 1.5, '{"k": 3}') for n in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    with Staging(spark, "logs") as staging:
+        root = E._written_logs(spark, str(tmp_path), staging)
+        files = L.file_states(spark, [root], ".txt")
+        assert files.count() == 5 and spark.read.text(root).count() == 400
+
+
+def test_first_import_names_no_files(spark, tmp_path, monkeypatch):
+    """Where all files are new, folders are read as they are; later the changed files by name."""
+    from meterbook.streaming import incremental
+
+    root, named, whole = tmp_path / "c/projects", [], incremental.import_logs
+
+    def watched(*args, only, **options):
+        named.append(only and {k: len(v) for k, v in only.items()})
+        return whole(*args, only=only, **options)
+
+    monkeypatch.setattr(incremental, "import_logs", watched)
+    places = [str(tmp_path / n) for n in ("ledger", "runs", "state")]
+    write(root, "p/s/a.jsonl", message("1", 10))
+    write(root, "p/t/b.jsonl", message("2", 5))
+    write(tmp_path / "c", "elsewhere.jsonl", message("9", 5))
+    sources = {"claude": [str(tmp_path / "c")], "codex": [str(tmp_path / "none")]}
+    got = [import_changes(spark, sources, *places, 1, grace_minutes=None)]
+    write(root, "p/t/c.jsonl", message("3", 5))
+    got.append(import_changes(spark, sources, *places, 1, grace_minutes=None))
+    assert [(g.changed, g.read, g.result.run["events_added"]) for g in got] == [(2, 2, 2), (1, 1, 1)]
+    assert named == [None, {"claude": 1, "codex": 0}]
+
+
+def test_rows_of_a_write_are_worked_out_once(spark, tmp_path):
+    """Neither the order of the files nor dates nor the index work out the rows of a write again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(n):
+        made.add(1)
+        return f"e{n}"
+
+    base = view(spark, "/root/testdata/sf0.001", "ledger").limit(50).localCheckpoint()
+    path = str(tmp_path / "ledger")
+    ledger.write_ledger(base.withColumn("event_id", name("event_id")), path)
+    assert made.value == 50
+    assert ledger.read_ledger(spark, path).count() == ledger.snapshot(spark, path).dates_of(
+        ledger.read_ledger(spark, path).select("event_id")
+    ).count() == 50

@@ -273,6 +273,8 @@ def reconcile_batch(
         ).where(F.col("turn").isNull() | (F.col("order_key") <= F.col("turn")))
         decisions += [may_be_in(verdicts, marks, False), met.drop("turn")]
         versions.append(turns.select("event_id", "cur", F.lit(round_no).alias("round")))
+        if round_no == 1:
+            good = _as_often_as_stored(good, known, staging)
         state, rows = turns, may_be_in(good, marks, True)
 
     all_decisions = decisions[0]
@@ -292,6 +294,16 @@ def reconcile_batch(
     return Reconciled(all_decisions, changes)
 
 
+def _as_often_as_stored(rows: DataFrame, known: DataFrame, staging: Staging) -> DataFrame:
+    """A row meets every stored row of its id, and goes on as often, should an id be stored twice."""
+    several = known.groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("_n")).where("_n > 1")
+    several = staging.put(several, "several")
+    if several.isEmpty():
+        return rows
+    times = F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)))
+    return rows.join(several, "event_id", "left").withColumn("_n", F.explode(times)).select(*rows.columns)
+
+
 def _slot() -> Column:
     return F.pmod(F.xxhash64("event_id"), F.lit(SLOTS))
 

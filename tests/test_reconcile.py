@@ -220,3 +220,17 @@ def test_rounds_keep_no_rows_and_marks_leave_none_out(spark, staging, frame, mon
     sides = [R.may_be_in(ids, marks, side) for side in (True, False)]
     assert sorted(r[0] for r in sides[0].unionByName(sides[1]).collect()) == sorted(r[0] for r in ids.collect())
     assert sides[1].where("event_id % 9 = 0").isEmpty() and not sides[1].isEmpty()
+
+
+def test_an_id_stored_twice_is_met_twice_in_every_round(staging, frame):
+    """A row is judged against both stored rows; the rows after a change go on as often."""
+    better = {"model_normalized": "m", "model_resolution": "direct_event", "model_is_fallback": False, "content_sha256": "h1"}
+    known = cleaned(frame([{"raw_sha256": "x"}] * 2 + [{"event_id": "f", "raw_sha256": "x"}]))
+    rows = [{}, better, better, {"event_id": "f"}, {"event_id": "f", **better}, {"event_id": "f", **better}]
+    got = R.reconcile_batch(batch(frame, rows), known, staging, 9).decisions.collect()
+    counts = {}
+    for r in got:
+        key = (r.event_id, r.order_key.line, r.status)
+        counts[key] = counts.get(key, 0) + 1
+    statuses = ("skipped", "updated", "skipped")
+    assert counts == {(e, n + k, s): times for e, n, times in (("e", 0, 2), ("f", 3, 1)) for k, s in enumerate(statuses)}

@@ -13,10 +13,10 @@ one object as a whole document, and one element, are ever put together in one pl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterbook.operators.carry import Carry, carry
+from meterbook.operators import carry as C
 from meterbook.session import Staging
 from meterbook.sources import lines as L
 
@@ -29,6 +29,8 @@ _END = rf"^({_WHITE},{_NULL})*{_WHITE}\]{_WHITE}$"
 _ONLY_NULLS = rf"^{_WHITE}\[({_NULL}(,{_NULL})*|{_WHITE})\]{_WHITE}$"
 
 FRAGMENT = ("file_path", "no", "value", "closed")
+#: Bytes of text that a task reads at least where splits are smaller.
+TASK_BYTES = 32 << 20
 
 
 def fragments_of(documents: DataFrame) -> DataFrame:
@@ -43,55 +45,123 @@ def fragments_of(documents: DataFrame) -> DataFrame:
 
 
 def scan_fragments(spark: SparkSession, roots: list[str], suffix: str, before, staging: Staging) -> DataFrame:
-    """The fragments of all files below the roots; the text is read once, in splits of any size."""
+    """The fragments of all files below the roots; the text is read once, in splits of any size.
+
+    With the columns of ``_blocks``: the blocks of a file are its splits.
+    """
     read = L.reader(spark, suffix, before).option("lineSep", "}").text(roots)
     raw = staging.put(
-        read.select(
-            L.plain_path(F.col("_metadata.file_path")).alias("file_path"),
-            F.col("_metadata.file_size").alias("file_size"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("seq"),
-            "value",
+        _in_few_tasks(
+            read.select(
+                L.plain_path(F.col("_metadata.file_path")).alias("file_path"),
+                F.col("_metadata.file_size").alias("file_size"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("seq"),
+                _quotes(F.col("value")).alias("quotes"),
+                "value",
+            )
         ),
         "fragments",
     )
-    scan = L.number_lines(raw, staging)
-    placed = raw.select("*", F.struct("split", "seq").alias("line_number"))
-    numbered = scan.numbered(placed).withColumnRenamed("line_number", "no")
+    cut = _in_few_tasks(raw).groupBy("file_path", "block").agg(
+        F.min("seq").alias("first_seq"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("quotes").alias("quotes"),
+        F.sum(F.octet_length("value").cast("bigint") + 1).alias("size"),
+        F.max("file_size").alias("file_size"),
+    )
+    whole = Window.partitionBy("file_path")
     # Behind the last brace nothing is left as a fragment if the file ends there. Then, and only
     # then, the fragments with a brace each make up the whole file (but for a byte order mark).
-    size = F.sum(F.octet_length("value").cast("bigint") + 1)
-    files = raw.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), (F.first("file_size") - size).alias("left"))
-    rows = numbered.drop("split", "seq", "file_size").join(files, "file_path")
-    closed = (F.col("no") < F.col("n")) | F.col("left").isin(0, 3)
-    return rows.select("file_path", "no", "value", closed.alias("closed"))
+    left = F.col("file_size") - F.sum("size").over(whole)
+    cut = staging.put(
+        cut.select(
+            "file_path",
+            "block",
+            (_sum_before("n") - F.col("first_seq") + 1).alias("to_no"),
+            _sum_before("quotes").alias("quotes_before"),
+            F.when(left.isin(0, 3), 2**62).otherwise(F.sum("n").over(whole)).alias("open_no"),
+        ),
+        "splits",
+    )
+    rows = raw.drop("file_size").join(cut, ["file_path", "block"])
+    no = F.col("seq") + F.col("to_no")
+    closed = no < F.col("open_no")
+    return rows.select("file_path", no.alias("no"), "value", closed.alias("closed"), "block", "quotes", "quotes_before")
+
+
+def _in_few_tasks(read: DataFrame) -> DataFrame:
+    """Rows of many small splits or files, several to a task; rows and their ids are those of the splits."""
+    spark = read.sparkSession
+    n, size = read.rdd.getNumPartitions(), L.split_bytes(spark)
+    tasks = max(-(-n * size // TASK_BYTES), spark.sparkContext.defaultParallelism)
+    return read.coalesce(tasks) if tasks < n else read
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def _sum_before(name: str) -> Column:
+    """Sum over the blocks of a file before this one."""
+    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(name).over(earlier), _zero())
+
+
+def _count(text: Column, *marks: str) -> Column:
+    """How often any of some characters of one byte occurs."""
+    size = F.octet_length(text)
+    return sum((size - F.octet_length(F.replace(text, F.lit(m))) for m in marks), F.lit(0)).cast("bigint")
+
 
+def _bare(text: Column) -> Column:
+    return F.when(text.contains("\\"), F.regexp_replace(text, r"(?s)\\.", "")).otherwise(text)
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+
+def _quotes(text: Column) -> Column:
+    return _count(_bare(text), '"')
+
+
+def _blocks(fragments: DataFrame, staging: Staging) -> DataFrame:
+    """Fragments with ``block``, consecutive rows of a file, and ``quotes`` in and before the block."""
+    if "quotes_before" in fragments.columns:
+        return fragments
+    block = C.block_of(F.col("no"), C.BLOCK_ROWS)
+    rows = staging.put(fragments.select(*FRAGMENT, block.alias("block"), _quotes(F.col("value")).alias("quotes")), "quotes")
+    sums = rows.groupBy("file_path", "block").agg(F.sum("quotes").alias("quotes"))
+    entering = sums.select("file_path", "block", _sum_before("quotes").alias("quotes_before"))
+    known = rows.join(entering, ["file_path", "block"], "left")
+    return known.withColumn("quotes_before", F.coalesce("quotes_before", _zero()))
 
 
 def _structure(fragments: DataFrame, staging: Staging) -> DataFrame:
-    """Fragments with ``depth`` at their begin and behind them (``depth_after``), whether they begin
-    and end ``outside`` strings, and ``plain``: their text with every string as one quote."""
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    counted = staging.put(fragments.withColumn("quotes", _count(bare, '"')), "quotes")
-    placed = carry(counted, [Carry("quotes_before", F.col("quotes"), ("file_path",), "sum")], "no")
-    inside = F.coalesce("quotes_before", F.lit(0).cast("bigint")) % 2 == 1
+    """Fragments with ``depth`` at their begin, the ``step`` from there, whether they begin ``outside``
+    strings, and ``plain``: their text with every string as one quote.
+
+    Sums inside a block need its rows only; what enters a block is one row of another table.
+    """
+    here = Window.partitionBy("file_path", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    within = lambda name: F.coalesce(F.sum(name).over(here), _zero())
+    placed = _blocks(fragments, staging).withColumn("quotes_before", F.col("quotes_before") + within("quotes"))
+    inside = F.col("quotes_before") % 2 == 1
+    bare = _bare(F.col("value"))
     text = F.when(inside, F.concat(F.lit('"'), bare)).otherwise(bare)
-    ends_inside = (F.coalesce("quotes_before", F.lit(0).cast("bigint")) + F.col("quotes")) % 2 == 1
+    ends_outside = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
     known = placed.select(
         *FRAGMENT,
+        "block",
+        "quotes",
         (~inside).alias("outside"),
-        (~ends_inside).alias("ends_outside"),
+        F.when(F.col("closed") & ends_outside, 1).otherwise(0).alias("closes"),
         F.regexp_replace(text, r'(?s)"[^"]*("|$)', '"').alias("plain"),
     )
-    closes = F.when(F.col("closed") & F.col("ends_outside"), 1).otherwise(0)
-    known = known.withColumn("step", _count(F.col("plain"), r"[\[{]") - _count(F.col("plain"), r"\]") - closes)
+    step = _count(F.col("plain"), "[", "{") - _count(F.col("plain"), "]") - F.col("closes")
+    known = known.withColumn("step", step).withColumn("depth", within("step")).drop("closes")
     known = staging.put(known, "strings")
-    deep = carry(known, [Carry("depth", F.col("step"), ("file_path",), "sum")], "no")
-    depth = F.coalesce("depth", F.lit(0).cast("bigint"))
-    return deep.withColumn("depth", depth).withColumn("depth_after", F.col("depth") + F.col("step"))
+    sums = known.groupBy("file_path", "block").agg(F.sum("step").alias("step"))
+    entering = sums.select("file_path", "block", _sum_before("step").alias("entering")).where("entering <> 0")
+    deep = known.join(entering, ["file_path", "block"], "left")
+    return deep.withColumn("depth", F.col("depth") + F.coalesce("entering", _zero())).drop("entering")
 
 
 def values(
@@ -103,56 +173,79 @@ def values(
     one per object of an array, numbered from 1 with its null elements. Refused:
     ``file_path, is_array, has_words, head`` for files that are neither.
     """
-    rows = staging.put(_structure(fragments, staging), "structure")
     first, between = F.col("no") == 1, (F.col("depth") == 1) & F.col("outside") & (F.col("no") > 1)
     plain = F.col("plain")
     opens = F.when(first, plain.rlike(_FIRST)).otherwise(plain.rlike(_NEXT))
     ends = F.when(first, plain.rlike(_ONLY_NULLS)).otherwise(plain.rlike(_END)) & ~F.col("closed")
     early = (F.col("no") > 1) & F.col("outside") & (F.col("depth") < 1)
-    last = F.struct("no", "depth_after", "ends_outside")
     tail = F.when(early, ~F.col("closed") & plain.rlike(f"^{_WHITE}$")).otherwise(True)
-    words_in = F.lit(False)
+    words_in = F.col("value").contains("\\u")
     for word in words:
         words_in = words_in | F.col("value").contains(word)
-    files = rows.groupBy("file_path").agg(
-        F.min_by(plain.rlike(rf"^{_WHITE}\["), "no").alias("is_array"),
-        F.min_by(plain.rlike(rf"^{_WHITE}\{{"), "no").alias("is_object"),
-        F.min_by(F.substr("value", F.lit(1), F.lit(200)), "no").alias("head"),
-        F.bool_and(F.when(first | between, opens | ends).otherwise(True)).alias("separated"),
-        F.bool_and(tail).alias("whole"),
-        F.bool_or(early).alias("goes_on"),
-        F.max_by(last, "no").alias("last"),
-        F.bool_or(words_in | F.col("value").contains("\\u")).alias("has_words"),
+    commas = _count(F.regexp_extract(plain, r"^[^{]*", 0), ",")
+    started = F.when(first & opens, commas + 1).when(between & opens, commas)
+    here = Window.partitionBy("file_path", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _structure(fragments, staging).select(
+        *FRAGMENT,
+        "block",
+        "quotes",
+        "step",
+        F.when(first, plain.rlike(rf"^{_WHITE}\[")).alias("is_array"),
+        F.when(first, plain.rlike(rf"^{_WHITE}\{{")).alias("is_object"),
+        F.when(first | between, opens | ends).otherwise(True).alias("separated"),
+        ((first | between) & ends).alias("ends"),
+        tail.alias("tail"),
+        early.alias("early"),
+        words_in.alias("words"),
+        started.alias("started"),
+    )
+    rows = staging.put(rows.withColumn("index", F.coalesce(F.sum("started").over(here), _zero())), "structure")
+
+    blocks = rows.groupBy("file_path", "block").agg(
+        F.max("is_array").alias("is_array"),
+        F.max("is_object").alias("is_object"),
+        F.bool_and("separated").alias("separated"),
+        F.bool_and("tail").alias("whole"),
+        F.bool_or("early").alias("goes_on"),
+        F.bool_or("words").alias("has_words"),
+        F.sum("step").alias("step"),
+        F.sum("quotes").alias("quotes"),
+        F.sum("started").alias("started"),
     )
-    done = (F.col("last.depth_after") == 0) & F.col("last.ends_outside")
-    array = F.col("is_array") & F.col("separated") & done & ~F.col("goes_on")
+    blocks = staging.put(blocks.withColumn("index_before", _sum_before("started")), "blocks")
+    files = blocks.groupBy("file_path").agg(
+        *[F.max(name).alias(name) for name in ("is_array", "is_object")],
+        *[F.bool_and(name).alias(name) for name in ("separated", "whole")],
+        *[F.bool_or(name).alias(name) for name in ("goes_on", "has_words")],
+        ((F.sum("step") == 0) & (F.sum("quotes") % 2 == 0)).alias("done"),
+    )
+    array = F.col("is_array") & F.col("separated") & F.col("done") & ~F.col("goes_on")
     files = staging.put(
         files.select(
-            "file_path", "is_array", "has_words", "head", array.alias("array"),
-            (F.col("is_object") & F.col("whole") & done).alias("object"),
+            "file_path", "is_array", "has_words", array.alias("array"),
+            (F.col("is_object") & F.col("whole") & F.col("done")).alias("object"),
         ),
         "files",
     )
 
-    arrays = rows.join(files.where("array").select("file_path"), "file_path")
-    commas = _count(F.regexp_extract(plain, r"^[^{]*", 0), ",")
-    started = F.when(first & opens, commas + 1).when(between & opens, commas)
-    index = carry(
-        staging.put(arrays.withColumn("started", started).withColumn("ends", (first | between) & ends), "arrays"),
-        [Carry("line_number", F.col("started"), ("file_path",), "sum", inclusive=True)],
-        "no",
-    )
-    opening = F.col("started").isNotNull()
-    text = F.concat(F.when(opening, F.regexp_replace("value", r"^[^{]*", "")).otherwise(F.col("value")), F.lit("}"))
-    elements = index.where(~F.col("ends")).select("file_path", "line_number", "no", text.alias("text"))
-    objects = rows.join(files.where("object").select("file_path"), "file_path").select(
+    good = files.where("array OR object").select("file_path", F.col("array").alias("in_array"))
+    entering = blocks.select("file_path", "block", "index_before").join(good, "file_path")
+    known = rows.join(entering, ["file_path", "block"]).where("NOT (in_array AND ends)")
+    opening = F.col("in_array") & F.col("started").isNotNull()
+    brace = F.when(F.col("in_array") | F.col("closed"), F.lit("}")).otherwise("")
+    both = known.select(
         "file_path",
-        F.lit(1).cast("bigint").alias("line_number"),
+        F.when(F.col("in_array"), F.col("index_before") + F.col("index")).otherwise(1).alias("line_number"),
+        "in_array",
         "no",
-        F.concat("value", F.when(F.col("closed"), F.lit("}")).otherwise("")).alias("text"),
+        F.concat(F.when(opening, F.regexp_replace("value", r"^[^{]*", "")).otherwise(F.col("value")), brace).alias("text"),
     )
-    both = elements.withColumn("in_array", F.lit(True)).unionByName(objects.withColumn("in_array", F.lit(False)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda p: p["text"])
     joined = both.groupBy("file_path", "line_number", "in_array").agg(F.concat_ws("", parts).alias("value"))
-    refused = files.where(~F.col("array") & ~F.col("object")).select("file_path", "is_array", "has_words", "head")
+    # the text of the first fragment; a file that is refused may have no path
+    heads = rows.where("no = 1").groupBy("file_path").agg(F.min(F.substr("value", F.lit(1), F.lit(200))).alias("head"))
+    heads = heads.withColumnRenamed("file_path", "of")
+    bad = files.where(~F.col("array") & ~F.col("object"))
+    refused = bad.join(heads, F.col("file_path").eqNullSafe(F.col("of")), "left")
+    refused = refused.select("file_path", "is_array", "has_words", "head")
     return joined.select("file_path", "line_number", "value", "in_array"), refused

@@ -55,6 +55,11 @@ def reader(spark: SparkSession, suffix: str, before: datetime | None):
     return reader
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """Bytes of a split at most."""
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
 @dataclass
 class LogScan:
     """Lines of a scan whose numbers are not yet known.

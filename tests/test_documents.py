@@ -1,5 +1,6 @@
 """JSON documents in parts, and lines of every length by one rule."""
 
+import datetime
 import json
 import random
 
@@ -89,6 +90,47 @@ def test_files_in_many_splits(spark, staging, tmp_path):
     assert refused == {n for n, t in bad.items() if "usageMetadata" in t}
 
 
+def test_many_small_files_are_few_tasks(spark, staging, tmp_path):
+    for k in range(60):
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"id": f"{k}-{n}", "usageMetadata": {"promptTokenCount": n}} for n in range(k)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        fragments = jsonfile.scan_fragments(spark, [str(tmp_path)], ".json", None, staging)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    written = spark.read.option("recursiveFileLookup", True).parquet(f"{staging.root}/fragments-*").inputFiles()
+    assert 0 < len(written) <= spark.sparkContext.defaultParallelism
+    rows = gemini.extract_fragments(fragments, staging).select("source_file", "line_number", "native_event_id").collect()
+    want = [(f"{tmp_path}/{k}.json", n + 1, f"{k}-{n}") for k in range(60) for n in range(k)]
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
+@pytest.mark.parametrize("advisory", ["64MB", "1KB"])
+def test_documents_of_every_size_has_one_file_per_name(spark, tmp_path, advisory):
+    import __spark_entry__ as E
+
+    start = datetime.datetime(2024, 1, 1)
+    events = [(n, start + datetime.timedelta(seconds=n), n % 29, "signup" if n % 3 else "view", n / 7, f'{{"k": {n % 90}}}') for n in range(3000)]
+    df = spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory, "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        got = E.queries()["documents_of_every_size"](spark, str(tmp_path)).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    signups = [e for e in events if e[3] == "signup"]
+    want = [("broken", None, "not_a_json_object", None)] + [("all", n, "record", str(e[0])) for n, e in enumerate(signups, 1)]
+    for user in range(29):
+        want += [(str(user), n, "record", str(e[0])) for n, e in enumerate((e for e in signups if e[2] == user), 1)]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:4]) for r in got)
+
+
 ODD = [
     '{"response":"x","usageMetadata":{"promptTokenCount":1}}', '{"usageMetadata":{"promptTokenCount":2}} x', '{"id":"a"},{"id":"b"}',
     '{"id":"a"}] [', '{"id":"a"}]', '{"id":"a"},"w":{}', "{'id':'a'}", '{"id":NaN}', '{"id":"a","id":"b"}', '{"id":1e400}', " {} ",
